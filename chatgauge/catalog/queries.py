@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import chat, labels
-from ..functions.rounding import percent, round_exact
+from ..functions.rounding import exact_sql
 from ..functions.text import is_truncated, truncate_tokens
 from ..operators import classifier, metrics, runs, timings
 from ..operators.convert import to_messages
@@ -79,7 +79,7 @@ SELECT conv_id, CAST(turn // 4096 AS BIGINT) AS part,
 FROM conversations GROUP BY conv_id, turn // 4096""")
 def last_assistant(spark, sf_dir):
     chats = messages_from_turns(table(spark, sf_dir, "conversations"))
-    m = F.col("messages")
+    m = "messages"
     return chats.select(
         "conv_id", "part", chat.last_assistant(m).alias("expected"),
         F.size(chat.prompt_messages(m)).cast("bigint").alias("n_prompt"),
@@ -92,7 +92,7 @@ SELECT conv_id, CAST(turn // 4096 AS BIGINT) AS part, string_agg({sql.turn()}, c
 FROM conversations GROUP BY conv_id, turn // 4096""")
 def chat_text(spark, sf_dir):
     chats = messages_from_turns(table(spark, sf_dir, "conversations"))
-    return chats.select("conv_id", "part", chat.render_chat(F.col("messages")).alias("text"))
+    return chats.select("conv_id", "part", chat.render_chat("messages").alias("text"))
 
 
 PROMPT_PIECES = f"""
@@ -108,9 +108,8 @@ SELECT conv_id, CAST(turn // 4096 AS BIGINT) AS part, string_agg(piece, chr(10)
 FROM pieces GROUP BY conv_id, turn // 4096""")
 def prompt_text(spark, sf_dir):
     chats = messages_from_turns(table(spark, sf_dir, "conversations"))
-    m = F.col("messages")
-    text = F.when(F.col("is_last"), chat.render_prompt(chat.prompt_messages(m))).otherwise(chat.render_chat(m))
-    return chats.select("conv_id", "part", text.alias("prompt"))
+    asked, whole = chat.prompt_sql(chat.asked_sql("messages")), chat.chat_sql("messages")
+    return chats.selectExpr("conv_id", "part", f"if(is_last, {asked}, {whole}) AS prompt")
 
 
 @query(PROMPT_PIECES + f""",
@@ -273,7 +272,7 @@ def convert_mixed(spark, sf_dir):
 
 @query(f"SELECT doc_id, {sql.label('text', WORDS, WORD_ORDER)} AS label FROM documents")
 def extract_label(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", labels.extract_label(F.col("text"), WORDS).alias("label"))
+    return table(spark, sf_dir, "documents").select("doc_id", labels.extract_label("text", WORDS).alias("label"))
 
 
 @query(f"""
@@ -281,14 +280,14 @@ SELECT doc_id, CASE WHEN lang = 'en' THEN {sql.label('text', ['THE', 'WITH', 'AN
   ELSE {sql.label('text', ['ICH', 'UND', 'NICHT', 'LES'], ['NICHT', 'ICH', 'UND', 'LES'])} END AS label
 FROM documents""")
 def extract_label_by_row(spark, sf_dir):
-    lists = F.when(F.col("lang") == "en", F.array(*map(F.lit, ["the", "with", "and"]))).otherwise(
-        F.array(*map(F.lit, ["ich", "und", "nicht", "les"])))
-    return table(spark, sf_dir, "documents").select("doc_id", labels.extract_label_by_row(F.col("text"), lists).alias("label"))
+    rows = table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "text", "if(lang = 'en', array('the', 'with', 'and'), array('ich', 'und', 'nicht', 'les')) AS classes")
+    return rows.select("doc_id", labels.extract_label_by_row("text", "classes").alias("label"))
 
 
 @query(f"SELECT doc_id, {sql.first_tokens('text', 50)[1]} AS text, {sql.first_tokens('text', 50)[0]} AS truncated FROM documents")
 def truncated_text(spark, sf_dir):
-    text = F.col("text")
+    text = "text"
     return table(spark, sf_dir, "documents").select(
         "doc_id", truncate_tokens(text, 50).alias("text"), is_truncated(text, 50).alias("truncated")
     )
@@ -534,10 +533,9 @@ SELECT task, 'Task: quality' || chr(10) || 'Model: org/Model-1B' || chr(10) || '
 FROM m, (SELECT CAST(printf('%.1f', max(n_chars) / 60.0) AS DOUBLE) AS minutes FROM documents)""")
 def run_summary_text(spark, sf_dir):
     result = evaluate_scored(scored_documents(spark, sf_dir), quality_specs()).metrics
-    longest = table(spark, sf_dir, "documents").agg(F.max("n_chars").alias("n"))
-    run = longest.select(
-        F.lit("quality").alias("task"), F.lit("org/Model-1B").alias("model"), F.lit("outputs/quality").alias("output"),
-        round_exact(F.col("n") / 60, 1).alias("train_time_minutes"), F.lit(None).cast("string").alias("overfitting_warning"),
+    run = table(spark, sf_dir, "documents").agg(F.expr("max(n_chars) / 60 AS minutes")).selectExpr(
+        "'quality' AS task", "'org/Model-1B' AS model", "'outputs/quality' AS output",
+        f"{exact_sql('minutes', 1)} AS train_time_minutes", "CAST(NULL AS STRING) AS overfitting_warning",
     )
     return run_summary(result, run).select("task", F.array_join("lines", "\n").alias("report"))
 
@@ -710,7 +708,7 @@ def jsonl_source(spark, sf_dir):
     read = files.load_train(spark, path, shipped_specs()[0], format="jsonl")
     m = F.col("messages")
     return read.select(
-        m[0]["content"].cast("bigint").alias("conv_id"), (F.size(m) - 1).cast("bigint").alias("n"), chat.last_assistant(m).alias("expected")
+        m[0]["content"].cast("bigint").alias("conv_id"), (F.size(m) - 1).cast("bigint").alias("n"), chat.last_assistant("messages").alias("expected")
     )
 
 

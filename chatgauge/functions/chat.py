@@ -1,48 +1,64 @@
-"""Column functions over an array of (role, content) messages."""
+"""Functions over an array of (role, content) messages."""
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import ANSWER_OPEN, TURN_CLOSE, TURN_OPEN
+from .expr import literal
 
 
-def render_turn(role: Column, content: Column) -> Column:
+def turn_sql(role: str, content: str) -> str:
     """Markup of one turn; a missing role or content is written as empty text."""
-    return F.concat(
-        F.lit(TURN_OPEN), F.coalesce(role, F.lit("")), F.lit("\n"),
-        F.coalesce(content, F.lit("")), F.lit(TURN_CLOSE),
+    return (
+        f"concat({literal(TURN_OPEN)}, coalesce({role}, ''), '\\n', coalesce({content}, ''), {literal(TURN_CLOSE)})"
     )
 
 
-def render_chat(messages: Column) -> Column:
+def _turns_sql(messages: str) -> str:
+    return f"transform({messages}, m -> {turn_sql('m.role', 'm.content')})"
+
+
+def chat_sql(messages: str) -> str:
     """Training text: every turn, joined by line breaks."""
-    return F.array_join(F.transform(messages, lambda m: render_turn(m["role"], m["content"])), "\n")
+    return f"array_join({_turns_sql(messages)}, '\\n')"
 
 
-def render_prompt(messages: Column) -> Column:
+def prompt_sql(messages: str) -> str:
     """Prompt text: every turn, then an open assistant turn."""
-    turns = F.transform(messages, lambda m: render_turn(m["role"], m["content"]))
-    return F.array_join(F.array_append(turns, F.lit(ANSWER_OPEN)), "\n")
+    return f"array_join(array_append({_turns_sql(messages)}, {literal(ANSWER_OPEN)}), '\\n')"
 
 
-def prompt_messages(messages: Column) -> Column:
+def asked_sql(messages: str) -> str:
     """All messages but the last, whatever its role."""
-    return F.slice(messages, F.lit(1), F.greatest(F.size(messages) - 1, F.lit(0)))
+    return f"slice({messages}, 1, greatest(size({messages}) - 1, 0))"
 
 
-def prompt_before_answer(messages: Column) -> Column:
+def before_answer_sql(messages: str) -> str:
     """Messages before the last assistant turn, so that no answer leaks into the prompt."""
-    spots = F.filter(
-        F.transform(messages, lambda m, i: F.when(m["role"] == "assistant", i)), lambda i: i.isNotNull()
-    )
-    return F.slice(messages, F.lit(1), F.coalesce(F.array_max(spots), F.size(messages)))
+    spots = f"transform({messages}, (m, i) -> if(m.role = 'assistant', i, NULL))"
+    return f"slice({messages}, 1, coalesce(array_max({spots}), size({messages})))"
 
 
-def last_assistant(messages: Column) -> Column:
+def answer_sql(messages: str) -> str:
     """Content of the last assistant message, null where there is none."""
-    return F.try_element_at(F.filter(messages, lambda m: m["role"] == "assistant"), F.lit(-1))["content"]
+    return f"try_element_at(filter({messages}, m -> m.role = 'assistant'), -1).content"
+
+
+def render_chat(messages: str) -> Column:
+    return F.expr(chat_sql(messages))
+
+
+def render_prompt(messages: str) -> Column:
+    return F.expr(prompt_sql(messages))
+
+
+def prompt_messages(messages: str) -> Column:
+    return F.expr(asked_sql(messages))
+
+
+def prompt_before_answer(messages: str) -> Column:
+    return F.expr(before_answer_sql(messages))
 
 
-def has_answer(expected: Column) -> Column:
-    """Whether a ground truth is there to score against (neither null nor empty)."""
-    return F.coalesce(expected != "", F.lit(False))
+def last_assistant(messages: str) -> Column:
+    return F.expr(answer_sql(messages))

@@ -11,6 +11,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expr import literal
+
 BEFORE = r"(^|[^\p{L}\p{N}_])"
 AFTER = r"($|[^\p{L}\p{N}_])"
 
@@ -18,13 +20,13 @@ AFTER = r"($|[^\p{L}\p{N}_])"
 def clean_classes(classes) -> tuple:
     """Upper-cased class names; rejects names the whole-word rule cannot carry."""
     names = tuple(str(c).upper() for c in classes)
+    if not names:
+        raise ValueError("at least one class is needed")
     for name in names:
-        if not re.fullmatch(r"\w(.*\w)?", name, re.S):
+        if not re.fullmatch(r"\w(.*\w)?", name, re.S) or "\\E" in name:
             raise ValueError(f"class name must begin and end with a word character: {name!r}")
     if len(set(names)) != len(names):
         raise ValueError(f"duplicate class names: {names}")
-    if not names:
-        raise ValueError("at least one class is needed")
     return names
 
 
@@ -33,39 +35,37 @@ def search_order(classes) -> list:
     return sorted(clean_classes(classes), key=len, reverse=True)
 
 
-def names_class(upper_text: Column, name: str) -> Column:
+def names_class_sql(upper_text: str, name: str) -> str:
     """Whether the upper-cased text holds ``name`` as a whole word."""
-    quoted = re.sub(r"(\W)", r"\\\1", name, flags=re.A) if name.isascii() else f"\\Q{name}\\E"
     # the byte search is far cheaper than the pattern and rules out most texts
-    return F.contains(upper_text, F.lit(name)) & upper_text.rlike(BEFORE + quoted + AFTER)
+    pattern = BEFORE + "\\Q" + name + "\\E" + AFTER
+    return f"(contains({upper_text}, {literal(name)}) AND {upper_text} RLIKE {literal(pattern)})"
 
 
-def extract_label(text: Column, classes) -> Column:
+def label_sql(text: str, classes) -> str:
     """Label of each text for a fixed class list; null text gives null."""
     names = clean_classes(classes)
-    upper = F.upper(text)
-    found = F.when(text.isNull(), F.lit(None).cast("string"))
-    for name in search_order(names):
-        found = found.when(names_class(upper, name), name)
-    return found.otherwise(F.lit(names[0]))
+    tests = " ".join(
+        f"WHEN {names_class_sql(f'upper({text})', name)} THEN {literal(name)}" for name in search_order(names)
+    )
+    return f"CASE WHEN {text} IS NULL THEN NULL {tests} ELSE {literal(names[0])} END"
 
 
-def extract_label_by_row(text: Column, classes: Column) -> Column:
+def extract_label(text: str, classes) -> Column:
+    return F.expr(label_sql(text, classes))
+
+
+def extract_label_by_row(text: str, classes: str) -> Column:
     """Label of each text where every row brings its own class list."""
-    names = F.transform(classes, F.upper)
-    ordered = F.array_sort(names, lambda a, b: F.length(b) - F.length(a))
-    upper = F.upper(text)
-    hits = F.filter(
-        ordered,
-        lambda c: F.contains(upper, c)
-        & F.rlike(upper, F.concat(F.lit(BEFORE + "\\Q"), c, F.lit("\\E" + AFTER))),
-    )
-    return F.when(
-        text.isNotNull(), F.coalesce(F.try_element_at(hits, F.lit(1)), F.try_element_at(names, F.lit(1)))
+    pattern = f"concat({literal(BEFORE)}, '\\\\Q', c, '\\\\E', {literal(AFTER)})"
+    ordered = f"array_sort(transform({classes}, c -> upper(c)), (a, b) -> length(b) - length(a))"
+    hits = f"filter({ordered}, c -> contains(upper({text}), c) AND upper({text}) RLIKE {pattern})"
+    return F.expr(
+        f"CASE WHEN {text} IS NOT NULL THEN coalesce(try_element_at({hits}, 1), upper(try_element_at({classes}, 1))) END"
     )
 
 
-def extract_label_by_task(text: Column, task: Column, specs) -> Column:
+def task_label_sql(text: str, task: str, specs) -> str:
     """Label of each text by the class list of its task.
 
     The lists are known when the plan is built, so every pattern is a literal that
@@ -73,10 +73,12 @@ def extract_label_by_task(text: Column, task: Column, specs) -> Column:
     """
     by_list = {}
     for spec in specs:
-        by_list.setdefault(spec.classes, []).append(spec.task)
-    branches = None
-    for classes, tasks in by_list.items():
-        condition = task.isin(tasks)
-        label = extract_label(text, classes)
-        branches = F.when(condition, label) if branches is None else branches.when(condition, label)
-    return branches
+        by_list.setdefault(spec.classes, []).append(literal(spec.task))
+    branches = " ".join(
+        f"WHEN {task} IN ({', '.join(tasks)}) THEN {label_sql(text, classes)}" for classes, tasks in by_list.items()
+    )
+    return f"CASE {branches} END"
+
+
+def extract_label_by_task(text: str, task: str, specs) -> Column:
+    return F.expr(task_label_sql(text, task, specs))

@@ -2,47 +2,43 @@
 
 Spark's ``round``/``bround`` decide ties on the printed decimal (1/160 prints
 0.00625 and ``bround`` gives 0.0062) although the stored binary value lies
-slightly above it.  Here the sign of ``x*2*10^d - (2k+1)`` is found exactly: the
-double is split into two halves whose products with a small integer carry no
-rounding error.  Everything is plain double arithmetic, so it stays in codegen.
+slightly above it.  ``rint(x * 10^d)`` is right unless the product comes out as
+exactly k + 0.5; then the sign of the product's rounding error decides, and it is
+found exactly by splitting the double into halves whose products carry no error.
+Everything is double arithmetic, so it stays in generated code.
+
+Arguments are column names: the expression repeats them, so give longer ones a
+name in an earlier projection.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SPLIT = 134217729.0  # 2**27 + 1
-
 
-def round_exact(x: Column, digits: int) -> Column:
+def exact_sql(x: str, digits: int) -> str:
     """Round half to even on the exact binary value; null stays null."""
-    scale = float(10**digits)
-    size = F.abs(x.cast("double"))
-    whole = F.floor(size * scale)
-    high = size * _SPLIT - (size * _SPLIT - size)
-    low = size - high
-    beyond_half = (high * (2 * scale) - (whole.cast("double") * 2 + 1)) + low * (2 * scale)
-    nearest = (
-        F.when(beyond_half > 0, whole + 1)
-        .when(beyond_half < 0, whole)
-        .otherwise(whole + F.pmod(whole, F.lit(2)))
+    scale, split = f"{10**digits}D", "134217729D"  # 2**27 + 1
+    product = f"({x} * {scale})"
+    high = f"({x} * {split} - ({x} * {split} - {x}))"
+    error = f"(({high} * {scale} - {product}) + ({x} - {high}) * {scale})"
+    # beyond 2**52 a product has no digits left to round
+    return (
+        f"CASE WHEN abs({product}) >= 4503599627370496D THEN CAST({x} AS DOUBLE) "
+        f"WHEN abs({product} - rint({product})) = 0.5D "
+        f"THEN rint({product} + signum({error}) * 0.25D) / {scale} "
+        f"ELSE rint({product}) / {scale} END"
     )
-    sign = F.when(x < 0, -1.0).otherwise(1.0)
-    # beyond 2**52/scale a double has no digits left to round
-    return F.when(
-        size * scale < float(2**52), nearest.cast("double") / scale * sign
-    ).otherwise(x.cast("double"))
 
 
-def fixed(x: Column, digits: int) -> Column:
-    """Text of ``x`` with ``digits`` decimals."""
-    return F.format_string(f"%.{digits}f", round_exact(x, digits))
+def round_exact(x: str, digits: int) -> Column:
+    return F.expr(exact_sql(x, digits))
 
 
-def percent(x: Column, digits: int = 1) -> Column:
-    """Text of a 0..1 share as a percentage."""
-    return F.concat(fixed(x * 100, digits), F.lit("%"))
+def printed_sql(x: str, digits: int) -> str:
+    """Text with that many decimals of a value already rounded to them."""
+    return f"CAST(CAST({x} AS DECIMAL(28,{digits})) AS STRING)"
 
 
-def safe_ratio(a: Column, b: Column) -> Column:
+def ratio_sql(a: str, b: str) -> str:
     """a / b as double, 0 where b is 0."""
-    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    return f"coalesce(try_divide(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE)), 0D)"

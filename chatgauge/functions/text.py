@@ -4,73 +4,78 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BLANKS = "[ \\t\\r\\n]+"
+BLANKS = "[ \\\\t\\\\r\\\\n]+"  # as a SQL literal
+BLANK_CHARS = "' \\t\\r\\n'"
 
-_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.DecimalType)
 _FLOATS = (T.FloatType, T.DoubleType)
 
 
-def float_text(value: Column) -> Column:
+def float_text_sql(x: str) -> str:
     """Shortest text of a double: plain from 1e-4 up to 1e16, else ``1e-05`` style."""
-    java = value.cast("string")
-    mantissa = F.regexp_extract(java, r"^(-?[0-9.]+)E", 1)
-    exponent = F.regexp_extract(java, r"E(-?[0-9]+)$", 1).try_cast("int")
-    plain = F.regexp_replace(value.try_cast("decimal(38,21)").cast("string"), r"(\.\d+?)0+$", "$1")
-    scientific = F.concat(
-        F.regexp_replace(mantissa, r"\.0$", ""),
-        F.when(exponent < 0, "e-").otherwise("e+"),
-        F.lpad(F.abs(exponent).cast("string"), F.greatest(F.lit(2), F.length(F.abs(exponent).cast("string"))), F.lit("0")),
+    java = f"CAST({x} AS STRING)"
+    power = f"CAST(substring_index({java}, 'E', -1) AS INT)"
+    plain = f"regexp_replace(CAST(CAST({x} AS DECIMAL(38,21)) AS STRING), '(\\\\.[0-9]+?)0+$', '$1')"
+    scientific = (
+        f"concat(regexp_replace(substring_index({java}, 'E', 1), '\\\\.0$', ''), "
+        f"if({power} < 0, 'e-', 'e+'), lpad(abs({power}), greatest(2, length(abs({power}))), '0'))"
     )
     return (
-        F.when(java == "NaN", "nan")
-        .when(java == "Infinity", "inf")
-        .when(java == "-Infinity", "-inf")
-        .when(exponent.isNull(), java)
-        .when((exponent >= -4) & (exponent < 16), plain)
-        .otherwise(scientific)
+        f"CASE WHEN NOT contains({java}, 'E') THEN "
+        f"CASE {java} WHEN 'NaN' THEN 'nan' WHEN 'Infinity' THEN 'inf' WHEN '-Infinity' THEN '-inf' ELSE {java} END "
+        f"WHEN {power} BETWEEN -4 AND 15 THEN {plain} ELSE {scientific} END"
     )
 
 
-def plain_text(value: Column, dtype: T.DataType) -> Column:
+def plain_text_sql(x: str, dtype: T.DataType) -> str:
     """Text of a typed column the way the converters print values; null prints None."""
+    if isinstance(dtype, T.NullType):
+        return "'None'"
     if isinstance(dtype, T.StringType):
-        text = value
+        text = x
     elif isinstance(dtype, T.BooleanType):
-        text = F.when(value, "True").otherwise("False")
-    elif isinstance(dtype, _INTEGERS) or isinstance(dtype, T.DecimalType):
-        text = value.cast("string")
+        text = f"if({x}, 'True', 'False')"
+    elif isinstance(dtype, _WHOLE):
+        text = f"CAST({x} AS STRING)"
     elif isinstance(dtype, _FLOATS):
-        text = float_text(value)
-    elif isinstance(dtype, T.NullType):
-        return F.lit("None")
+        text = float_text_sql(x)
     else:
         raise TypeError(f"cannot print values of type {dtype.simpleString()} in a message")
-    return F.when(value.isNull(), "None").otherwise(text)
+    return f"CASE WHEN {x} IS NULL THEN 'None' ELSE {text} END"
 
 
-def is_filled(value: Column, dtype: T.DataType) -> Column:
+def is_filled_sql(x: str, dtype: T.DataType) -> str:
     """False for null, empty text, zero and false; true otherwise."""
     if isinstance(dtype, T.NullType):
-        return F.lit(False)
+        return "false"
     if isinstance(dtype, T.StringType):
-        filled = value != ""
+        filled = f"{x} <> ''"
     elif isinstance(dtype, T.BooleanType):
-        filled = value
+        filled = x
     else:
-        filled = value != 0
-    return F.coalesce(filled, F.lit(False))
+        filled = f"{x} <> 0"
+    return f"coalesce({filled}, false)"
+
+
+def _rest_sql(text: str, n: int) -> str:
+    """What follows the n-th token, empty where nothing does."""
+    return f"coalesce(try_element_at(split(ltrim({BLANK_CHARS}, {text}), '{BLANKS}', {n + 1}), {n + 1}), '')"
+
+
+def truncate_sql(text: str, n: int) -> str:
+    """The text up to the end of its n-th blank-separated token, spacing kept.
+
+    ``split`` stops after n pieces, so the tail of a long text is never cut up.
+    """
+    body, rest = f"ltrim({BLANK_CHARS}, {text})", _rest_sql(text, n)
+    head = f"substring({body}, 1, length({body}) - length({rest}))"
+    return f"CASE WHEN {rest} = '' THEN {text} ELSE rtrim({BLANK_CHARS}, {head}) END"
 
 
-def truncate_tokens(text: Column, n: int) -> Column:
-    """The text up to the end of its n-th blank-separated token, spacing kept."""
-    body = F.ltrim(text, F.lit(" \t\r\n"))
-    pieces = F.split(body, BLANKS, n + 1)
-    rest = F.coalesce(F.try_element_at(pieces, F.lit(n + 1)), F.lit(""))
-    head = F.substring(body, F.lit(1), F.length(body) - F.length(rest))
-    return F.when(rest == "", text).otherwise(F.rtrim(head, F.lit(" \t\r\n")))
+def truncate_tokens(text: str, n: int) -> Column:
+    return F.expr(truncate_sql(text, n))
 
 
-def is_truncated(text: Column, n: int) -> Column:
+def is_truncated(text: str, n: int) -> Column:
     """Whether the text holds more than n tokens."""
-    pieces = F.split(F.ltrim(text, F.lit(" \t\r\n")), BLANKS, n + 1)
-    return F.coalesce(F.try_element_at(pieces, F.lit(n + 1)), F.lit("")) != ""
+    return F.expr(f"{_rest_sql(text, n)} <> ''")

@@ -4,19 +4,17 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.chat import has_answer, last_assistant, prompt_messages, render_prompt
-from ..functions.labels import clean_classes, extract_label
+from ..functions.chat import answer_sql, asked_sql, prompt_sql
+from ..functions.expr import literal
+from ..functions.labels import clean_classes, label_sql
 
 
 def training_rows(chats: DataFrame, classes) -> DataFrame:
     """(example_id, prompt, label) of chats that have an answer."""
-    answer = last_assistant(F.col("messages"))
-    return chats.where(has_answer(answer)).select(
-        "example_id",
-        render_prompt(prompt_messages(F.col("messages"))).alias("prompt"),
-        extract_label(answer, classes).alias("label"),
+    answered = chats.selectExpr("example_id", "messages", f"{answer_sql('messages')} AS answer").where("answer <> ''")
+    return answered.selectExpr(
+        "example_id", f"{prompt_sql(asked_sql('messages'))} AS prompt", f"{label_sql('answer', classes)} AS label"
     )
 
 
@@ -26,9 +24,8 @@ def fit_label_model(rows: DataFrame, classes, features=1 << 16, iterations=20) -
     The class list fixes the label numbers, so no pass is needed to index labels,
     and the hashed features keep the model's size fixed whatever the vocabulary.
     """
-    names = clean_classes(classes)
-    number = (F.array_position(F.array(*map(F.lit, names)), F.col("label")) - 1).cast("double")
-    numbered = rows.select("prompt", number.alias("label_no")).where(F.col("label_no") >= 0)
+    number = f"CAST(array_position({literal(clean_classes(classes))}, label) - 1 AS DOUBLE) AS label_no"
+    numbered = rows.selectExpr("prompt", number).where("label_no >= 0")
     stages = [
         RegexTokenizer(inputCol="prompt", outputCol="words", pattern=r"[^\p{L}\p{N}_]+"),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
@@ -43,7 +40,5 @@ def fit_label_model(rows: DataFrame, classes, features=1 << 16, iterations=20) -
 
 def predict_labels(model: PipelineModel, rows: DataFrame, classes) -> DataFrame:
     """Add ``predicted``, the class name of the model's answer."""
-    names = F.array(*map(F.lit, clean_classes(classes)))
-    kept = rows.columns
-    scored = model.transform(rows)
-    return scored.select(*kept, F.element_at(names, F.col("predicted_no").cast("int") + 1).alias("predicted"))
+    name = f"element_at({literal(clean_classes(classes))}, CAST(predicted_no AS INT) + 1) AS predicted"
+    return model.transform(rows).selectExpr(*rows.columns, name)

@@ -3,174 +3,156 @@
 Precedence: messages, CVE, instruction, question/answer, prompt/completion.  What
 counts is the presence of a key, not its value.  A table whose columns are the keys
 is decided when the plan is built; rows of differing layouts come as one JSON text
-per row and are decided per row on a VARIANT value.
+per row and are decided per row on VARIANT values.
 """
 
-from functools import reduce
-from typing import NamedTuple
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions.text import float_text, is_filled, plain_text
+from ..functions.expr import literal
+from ..functions.text import float_text_sql, is_filled_sql, plain_text_sql
 from ..schema import CVE_SYSTEM, CVE_UNRATED, HELPER_SYSTEM, MESSAGES
 
-LAYOUTS = ("messages", "cve", "instruction", "qa", "prompt")
-
-
-class Field(NamedTuple):
-    """One key of an example: is it there, its text, is its value non-empty, is it null."""
-
-    present: Column
-    text: Column
-    filled: Column
-    null: Column
+# keys that decide a layout: all of one of the groups must be present
+RULES = {
+    "messages": [["messages"]],
+    "cve": [["description"], ["cve_id"]],
+    "instruction": [["instruction", "output"]],
+    "qa": [["question", "answer"]],
+    "prompt": [["prompt", "completion"]],
+}
 
+# keys that fill the parts of a chat, the first one present counting
+PARTS = {
+    "cve": {"id": ["cve_id"], "ask": ["description", "text"], "answer": ["severity", "label"]},
+    "instruction": {"ask": ["instruction"], "extra": ["input"], "answer": ["output"]},
+    "qa": {"ask": ["question"], "answer": ["answer"]},
+    "prompt": {"ask": ["prompt"], "answer": ["completion"]},
+}
+NAMES = ("id", "ask", "extra", "answer")
 
-def _chat(system: str, user: Column, answer: Column) -> Column:
-    turns = [("system", F.lit(system)), ("user", user), ("assistant", answer)]
-    return F.array(*[
-        F.struct(F.lit(role).alias("role"), content.alias("content")) for role, content in turns
-    ])
 
+def _chat_sql(system, user, answer):
+    turns = [("system", literal(system)), ("user", user), ("assistant", answer)]
+    return "array(" + ", ".join(f"named_struct('role', '{r}', 'content', {c})" for r, c in turns) + ")"
 
-def _cve(get) -> Column:
-    cve, body, rest = get("cve_id"), get("description"), get("text")
-    severity, label = get("severity"), get("label")
-    user = F.concat(
-        F.lit("Analyze this CVE:\n\nCVE ID: "),
-        F.when(cve.present, cve.text).otherwise("Unknown"),
-        F.lit("\nDescription: "),
-        F.when(body.present, body.text).when(rest.present, rest.text).otherwise(""),
-    )
-    answer = (
-        F.when(severity.present & severity.filled, severity.text)
-        .when(~severity.present & label.present & label.filled, label.text)
-        .otherwise(CVE_UNRATED)
-    )
-    return _chat(CVE_SYSTEM, user, answer)
 
+def chat_from_parts_sql(layout) -> str:
+    """Messages from columns _id, _ask, _extra, _answer: (text, filled), text null if absent."""
+    if layout == "cve":
+        user = (
+            "concat('Analyze this CVE:\\n\\nCVE ID: ', coalesce(_id.text, 'Unknown'), "
+            "'\\nDescription: ', coalesce(_ask.text, ''))"
+        )
+        return _chat_sql(CVE_SYSTEM, user, f"if(_answer.filled, _answer.text, {literal(CVE_UNRATED)})")
+    user = "_ask.text"
+    if layout == "instruction":
+        # a null instruction has no text to extend and stays null
+        user = "if(_ask.none, NULL, concat(_ask.text, if(_extra.filled, concat('\\n\\n', _extra.text), '')))"
+    return _chat_sql(HELPER_SYSTEM, user, "_answer.text")
 
-def _instruction(get) -> Column:
-    ask, extra = get("instruction"), get("input")
-    # a null instruction has no text to extend and stays null
-    user = F.when(~ask.null, F.concat(
-        ask.text, F.when(extra.present & extra.filled, F.concat(F.lit("\n\n"), extra.text)).otherwise(""),
-    ))
-    return _chat(HELPER_SYSTEM, user, get("output").text)
 
+def _part_sql(text, filled, none):
+    return f"named_struct('text', {text}, 'filled', {filled}, 'none', {none})"
 
-def _pair(ask: str, answer: str):
-    return lambda get: _chat(HELPER_SYSTEM, get(ask).text, get(answer).text)
 
-
-BUILDERS = {
-    "cve": _cve,
-    "instruction": _instruction,
-    "qa": _pair("question", "answer"),
-    "prompt": _pair("prompt", "completion"),
-}
-
-# keys that decide a layout: all of one of the groups must be present
-RULES = {
-    "messages": [["messages"]],
-    "cve": [["description"], ["cve_id"]],
-    "instruction": [["instruction", "output"]],
-    "qa": [["question", "answer"]],
-    "prompt": [["prompt", "completion"]],
-}
+ABSENT = _part_sql("CAST(NULL AS STRING)", "false", "false")
 
 
 def table_layout(columns):
     """Layout of a table whose columns are the example's keys, or None."""
-    for layout in LAYOUTS:
-        if any(all(key in columns for key in group) for group in RULES[layout]):
+    for layout, groups in RULES.items():
+        if any(all(key in columns for key in group) for group in groups):
             return layout
     return None
 
 
-def _table_field(df: DataFrame):
+def _from_table(df: DataFrame, layout) -> DataFrame:
     types = {f.name: f.dataType for f in df.schema.fields}
 
-    def get(key):
-        if key not in types:
-            return Field(F.lit(False), F.lit(None).cast("string"), F.lit(False), F.lit(True))
-        column = F.col(f"`{key}`")
-        return Field(
-            F.lit(True), plain_text(column, types[key]), is_filled(column, types[key]), column.isNull()
-        )
-
-    return get
-
-
-def _json_field(variant: Column):
-    def get(key):
-        value = F.try_variant_get(variant, f"$.{key}", "variant")
-        kind = F.schema_of_variant(value)
-        text = F.try_variant_get(variant, f"$.{key}", "string")
-        number = F.try_variant_get(variant, f"$.{key}", "double")
-        decimal = kind.startswith("DECIMAL")
-        # whole numbers too long for BIGINT arrive as DECIMAL without a fraction,
-        # and so do short ones written with a zero fraction
-        long_whole = decimal & kind.endswith(",0)") & (F.length(text) > 18)
-        printed = (
-            F.when((kind == "STRING") | (kind == "BIGINT") | long_whole, text)
-            .when(kind == "BOOLEAN", F.initcap(text))
-            .when(kind == "VOID", "None")
-            .when(decimal | (kind == "DOUBLE"), float_text(number))
-            .when(kind.isNotNull(), F.raise_error(F.concat(
-                F.lit(f"key {key}: cannot print a value of type "), kind, F.lit(" in a message"))))
-        )
-        filled = (
-            F.when(kind == "STRING", text != "")
-            .when(kind == "BOOLEAN", text == "true")
-            .when(kind == "VOID", F.lit(False))
-            .otherwise(number != 0)
-        )
-        return Field(value.isNotNull(), printed, F.coalesce(filled, F.lit(False)), F.coalesce(kind == "VOID", F.lit(True)))
-
-    return get
+    def part(name):
+        for key in PARTS[layout].get(name, []):
+            if key in types:
+                kind = types[key]
+                return _part_sql(plain_text_sql(f"`{key}`", kind), is_filled_sql(f"`{key}`", kind), f"`{key}` IS NULL")
+        return ABSENT
+
+    kept = [c for c in df.columns if c != "messages"]
+    rows = df.select(*kept, *[F.expr(f"{part(name)} AS _{name}") for name in NAMES])
+    return rows.select(*kept, F.expr(chat_from_parts_sql(layout)).cast(MESSAGES).alias("messages"))
+
+
+def _printed_sql(part):
+    kind, text = f"{part}.kind", f"{part}.text"
+    number = f"TRY_CAST({text} AS DOUBLE)"
+    # a whole number too long for BIGINT and a short one written with a zero
+    # fraction both arrive as DECIMAL without a fraction; the length tells them apart
+    long_whole = f"({kind} LIKE 'DECIMAL(%,0)' AND length({text}) > 18)"
+    printed = (
+        f"CASE WHEN {kind} IS NULL OR {kind} IN ('STRING', 'BIGINT') OR {long_whole} THEN {text} "
+        f"WHEN {kind} = 'VOID' THEN 'None' WHEN {kind} = 'BOOLEAN' THEN initcap({text}) "
+        f"WHEN {kind} LIKE 'DECIMAL%' OR {kind} = 'DOUBLE' THEN {float_text_sql(number)} "
+        f"ELSE raise_error(concat('cannot print a value of type ', {kind}, ' in a message')) END"
+    )
+    filled = (
+        f"coalesce(CASE {kind} WHEN 'STRING' THEN {text} <> '' WHEN 'BOOLEAN' THEN {text} = 'true' "
+        f"WHEN 'VOID' THEN false ELSE {number} <> 0 END, false)"
+    )
+    return _part_sql(printed, filled, f"coalesce({kind} = 'VOID', false)")
 
 
-def _json_layout(get) -> Column:
-    """Layout name of each JSON object."""
-    chosen = None
-    for layout in LAYOUTS:
-        groups = [reduce(lambda a, b: a & b, [get(k).present for k in g]) for g in RULES[layout]]
-        condition = reduce(lambda a, b: a | b, groups)
-        chosen = F.when(condition, layout) if chosen is None else chosen.when(condition, layout)
-    return chosen
+def _from_json(df: DataFrame, raw) -> DataFrame:
+    """Each step is a projection of its own, so that a row is parsed only once."""
+    kept = [c for c in df.columns if c != "messages"]
+    parsed = df.select(*kept, F.expr(f"parse_json({raw}) AS _v"))
+    opened = parsed.select(*kept, "_v", F.expr("try_variant_get(_v, '$', 'map<string,variant>') AS _m"))
 
+    def present(key):
+        return f"coalesce(map_contains_key(_m, '{key}'), false)"
 
-def messages_from_json(raw: Column) -> Column:
-    """Messages of one JSON text: ``{"messages": [...]}``, a bare list, or another layout."""
-    variant = F.parse_json(raw)
-    get = _json_field(variant)
-    layout = _json_layout(get)
-    kind = F.schema_of_variant(variant)
-    listed = F.from_json(raw, MESSAGES, {"mode": "FAILFAST"})
-    wrapped = F.from_json(raw, T.StructType([T.StructField("messages", MESSAGES)]), {"mode": "FAILFAST"})
-    out = F.when(kind.startswith("ARRAY"), listed).when(layout == "messages", wrapped["messages"])
-    for name, build in BUILDERS.items():
-        out = out.when(layout == name, build(get))
-    return out
+    tests = " ".join(
+        "WHEN " + " OR ".join("(" + " AND ".join(map(present, group)) + ")" for group in groups) + f" THEN '{layout}'"
+        for layout, groups in RULES.items()
+    )
+    layouts = opened.select(*kept, "_v", "_m", F.expr(f"CASE WHEN _m IS NULL THEN 'list' {tests} END AS _layout"))
+
+    def part(name):
+        cases = []
+        for layout, keys in PARTS.items():
+            if name in keys:
+                first = " ".join(f"WHEN {present(key)} THEN _m['{key}']" for key in keys[name])
+                cases.append(f"WHEN '{layout}' THEN CASE {first} END")
+        return F.expr(f"CASE _layout {' '.join(cases)} END AS _{name}")
+
+    def typed(name):
+        return F.expr(f"named_struct('kind', schema_of_variant(_{name}), 'text', CAST(_{name} AS STRING)) AS _{name}")
+
+    values = layouts.select(*kept, "_v", "_layout", *[part(name) for name in NAMES])
+    kinds = values.select(*kept, "_v", "_layout", *[typed(name) for name in NAMES])
+    printed = kinds.select(*kept, "_v", "_layout", *[F.expr(f"{_printed_sql('_' + n)} AS _{n}") for n in NAMES])
+    shape = MESSAGES.simpleString()
+    built = " ".join(f"WHEN '{layout}' THEN {chat_from_parts_sql(layout)}" for layout in PARTS)
+    return printed.select(*kept, F.expr(
+        f"CASE _layout WHEN 'list' THEN variant_get(_v, '$', '{shape}') "
+        f"WHEN 'messages' THEN variant_get(_v, '$.messages', '{shape}') {built} END AS messages"
+    ))
 
 
 def to_messages(df: DataFrame, layout="auto", drop_unknown=True, raw="raw") -> DataFrame:
     """Add ``messages``; rows of no known layout, or with no message, go unless kept.
 
-    ``layout`` is one of LAYOUTS, ``json`` (one JSON text per row in column ``raw``),
-    or ``auto``: the table's columns decide, and a lone JSON column means ``json``.
+    ``layout`` is a key of RULES, ``json`` (one JSON text per row in column ``raw``:
+    ``{"messages": [...]}``, a bare list of messages, or another layout), or ``auto``:
+    the table's columns decide, and a lone JSON column means ``json``.
     """
     if layout == "auto":
         layout = table_layout(df.columns) or ("json" if raw in df.columns else None)
     if layout == "json":
-        out = df.withColumn("messages", messages_from_json(F.col(raw)))
+        out = _from_json(df, raw)
     elif layout == "messages":
         out = df
     elif layout is None:
         out = df.withColumn("messages", F.lit(None).cast(MESSAGES))
     else:
-        out = df.withColumn("messages", BUILDERS[layout](_table_field(df)))
-    return out.where(F.size("messages") > 0) if drop_unknown else out
+        out = _from_table(df, layout)
+    return out.where("size(messages) > 0") if drop_unknown else out

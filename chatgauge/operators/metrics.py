@@ -8,20 +8,23 @@ whose ``expected`` is null were skipped: they count in n and nowhere else.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import round_exact, safe_ratio
+from ..functions.expr import literal
+from ..functions.rounding import exact_sql, ratio_sql
 from ..sources.specs import spec_classes, spec_frame
 
+SCORES = ("accuracy", "precision", "recall", "f1")
+BINARY = "task_type IN ('binary', 'per_class')"
+
 
 def confusion(scored: DataFrame) -> DataFrame:
     """(task, expected, predicted, n), the one pass over scored rows."""
-    return scored.groupBy("task", "expected", "predicted").agg(F.count("*").alias("n"))
+    return scored.groupBy("task", "expected", "predicted").agg(F.expr("count(*) AS n"))
 
 
 def confusion_matrix(counts: DataFrame, classes) -> DataFrame:
     """One row per (task, expected), one column of counts per predicted class."""
-    classes = list(classes)
-    wide = counts.where(F.col("expected").isNotNull()).groupBy("task", "expected").pivot("predicted", classes).agg(F.sum("n"))
-    return wide.na.fill(0, classes)
+    cells = [F.expr(f"coalesce(sum(n) FILTER (WHERE predicted = {literal(c)}), 0L) AS `{c}`") for c in classes]
+    return counts.where("expected IS NOT NULL").groupBy("task", "expected").agg(*cells)
 
 
 def class_counts(counts: DataFrame) -> DataFrame:
@@ -30,23 +33,16 @@ def class_counts(counts: DataFrame) -> DataFrame:
     Each cell speaks for two labels: its expected one (sample, hit or miss) and its
     predicted one (false alarm), so one aggregate covers both sides.
     """
-    hit = F.col("expected").eqNullSafe(F.col("predicted"))
-    n, zero = F.col("n"), F.lit(0).cast("bigint")
-    truth = F.struct(
-        F.col("expected").alias("label"), n.alias("samples"), F.when(hit, n).otherwise(zero).alias("tp"),
-        zero.alias("fp"), F.when(hit, zero).otherwise(n).alias("fn"), zero.alias("skipped"),
-    )
-    guess = F.struct(
-        F.col("predicted").alias("label"), zero.alias("samples"), zero.alias("tp"),
-        F.when(hit, zero).otherwise(n).alias("fp"), zero.alias("fn"), zero.alias("skipped"),
-    )
-    skip = F.struct(
-        F.lit(None).cast("string").alias("label"), zero.alias("samples"), zero.alias("tp"),
-        zero.alias("fp"), zero.alias("fn"), n.alias("skipped"),
-    )
-    roles = F.when(F.col("expected").isNull(), F.array(skip)).otherwise(F.array(truth, guess))
+    def role(label, **numbers):
+        cells = ", ".join(f"'{c}', {numbers.get(c, '0L')}" for c in ("samples", "tp", "fp", "fn", "skipped"))
+        return f"named_struct('label', {label}, {cells})"
+
+    miss = "if(expected <=> predicted, 0L, n)"
+    truth = role("expected", samples="n", tp=f"n - {miss}", fn=miss)
+    guess = role("predicted", fp=miss)
+    roles = f"CASE WHEN expected IS NULL THEN array({role('expected', skipped='n')}) ELSE array({truth}, {guess}) END"
     sums = [F.sum(c).alias(c) for c in ("samples", "tp", "fp", "fn", "skipped")]
-    return counts.select("task", F.explode(roles).alias("r")).select("task", "r.*").groupBy("task", "label").agg(*sums)
+    return counts.selectExpr("task", f"inline({roles})").groupBy("task", "label").agg(*sums)
 
 
 def per_class_report(counts: DataFrame, specs) -> DataFrame:
@@ -55,33 +51,29 @@ def per_class_report(counts: DataFrame, specs) -> DataFrame:
     Multiclass tasks list all their classes, seen or not; binary tasks only those
     seen as ground truth.
     """
-    spark = counts.sparkSession
-    kinds = {s.task: s.is_binary for s in specs}
-    # the specs come from the driver, so this side is small by construction
-    listed = spec_classes(spark, specs)
-    found = class_counts(counts).where(F.col("label").isNotNull()).drop("skipped")
-    table = listed.join(found, ["task", "label"], "left").na.fill(0, ["samples", "tp", "fp", "fn"])
-    binary = F.col("task").isin([t for t, b in kinds.items() if b])
-    return table.where(~binary | (F.col("samples") > 0)).select(
-        "task", "label", "pos", "samples",
-        safe_ratio(F.col("tp"), F.col("samples")).alias("accuracy"), "tp", "fp", "fn",
+    listed = spec_classes(counts.sparkSession, specs)
+    found = class_counts(counts).where("label IS NOT NULL")
+    cells = [f"coalesce({c}, 0L) AS {c}" for c in ("samples", "tp", "fp", "fn")]
+    table = listed.join(found, ["task", "label"], "left").selectExpr("task", "task_type", "label", "pos", *cells)
+    return table.where(f"NOT {BINARY} OR samples > 0").selectExpr(
+        "task", "label", "pos", "samples", f"{ratio_sql('tp', 'samples')} AS accuracy", "tp", "fp", "fn"
     )
 
 
 def task_totals(counts: DataFrame, specs) -> DataFrame:
     """One row per task: n, evaluated, correct, and the counts of its classes by position."""
-    listed = F.broadcast(spec_classes(counts.sparkSession, specs))
-    entry = F.struct("pos", "samples", "tp", "fp", "fn")
+    # the specs come from the driver, so this side is small by construction
+    listed = F.broadcast(spec_classes(counts.sparkSession, specs).drop("task_type"))
     return (
         class_counts(counts)
         .join(listed, ["task", "label"], "left")
         .groupBy("task")
         .agg(
-            F.sum(F.col("samples") + F.col("skipped")).alias("total_samples"),
-            F.sum("samples").alias("evaluated"),
-            F.sum("tp").alias("correct"),
+            F.expr("sum(samples + skipped) AS total_samples"),
+            F.expr("sum(samples) AS evaluated"),
+            F.expr("sum(tp) AS correct"),
             # one entry per configured class, no more
-            F.collect_list(F.when(F.col("pos").isNotNull(), entry)).alias("found"),
+            F.expr("collect_list(if(pos IS NULL, NULL, struct(pos, tp, fp, fn))) AS found"),
         )
     )
 
@@ -93,51 +85,43 @@ def metrics(counts: DataFrame, specs) -> DataFrame:
     average over all configured classes, summing in class order.  A task without
     any row gets zeros.  The gate looks at the accuracy rounded to four places.
     """
-    spark = counts.sparkSession
-    table = spec_frame(spark, specs).select("task", "task_type", "classes", "quality_gate")
-    totals = task_totals(counts, specs)
-    rows = table.join(totals, "task", "left").na.fill(0, ["total_samples", "evaluated", "correct"])
-
-    def side(pos, field):
-        hit = F.try_element_at(F.filter("found", lambda e: e["pos"] == pos), F.lit(1))
-        return F.coalesce(hit[field], F.lit(0).cast("bigint"))
-
-    def quality(tp, fp, fn):
-        p, r = safe_ratio(tp, tp + fp), safe_ratio(tp, tp + fn)
-        return p, r, safe_ratio(2 * p * r, p + r)
-
-    def scores(pos):
-        p, r, f = quality(side(pos, "tp"), side(pos, "fp"), side(pos, "fn"))
-        return F.struct(p.alias("precision"), r.alias("recall"), f.alias("f1"))
-
-    size = F.size("classes")
-    rows = rows.withColumn("scores", F.transform(F.sequence(F.lit(0), size - 1), scores))
-
-    def mean(field):
-        total = F.aggregate("scores", F.lit(0.0), lambda acc, s: acc + s[field])
-        return total / size.cast("double")
-
-    binary = F.col("task_type").isin("binary", "per_class")
-    first = F.col("scores")[0]
-    rows = rows.select(
-        "task",
-        F.when(binary, "binary").otherwise("multiclass").alias("task_type"),
-        "total_samples", "evaluated", "correct",
-        safe_ratio(F.col("correct"), F.col("total_samples")).alias("accuracy"),
-        *[F.when(binary, first[m]).otherwise(mean(m)).alias(m) for m in ("precision", "recall", "f1")],
-        *[F.when(binary, side(F.lit(0), m)).alias(m) for m in ("tp", "fp", "fn")],
-        "quality_gate",
+    settings = spec_frame(counts.sparkSession, specs).select("task", "task_type", "classes", "quality_gate")
+    rows = settings.join(task_totals(counts, specs), "task", "left").selectExpr(
+        "task", f"if({BINARY}, 'binary', 'multiclass') AS task_type", "quality_gate",
+        *[f"coalesce({c}, 0L) AS {c}" for c in ("total_samples", "evaluated", "correct")],
+        "transform(sequence(0, size(classes) - 1), i -> coalesce(try_element_at(filter(found, e -> e.pos = i), 1), "
+        "named_struct('pos', i, 'tp', 0L, 'fp', 0L, 'fn', 0L))) AS cells",
+    )
+    rates = rows.selectExpr(
+        "*", "transform(cells, c -> named_struct("
+        f"'precision', {ratio_sql('c.tp', '(c.tp + c.fp)')}, 'recall', {ratio_sql('c.tp', '(c.tp + c.fn)')})) AS rates",
+    )
+    f1 = ratio_sql("2 * r.precision * r.recall", "(r.precision + r.recall)")
+    scores = rates.selectExpr(
+        "*", "transform(rates, r -> named_struct("
+        f"'precision', r.precision, 'recall', r.recall, 'f1', {f1})) AS scores",
+    )
+
+    def score(name):
+        mean = f"aggregate(scores, 0D, (acc, s) -> acc + s.{name}) / CAST(size(scores) AS DOUBLE)"
+        return f"if(task_type = 'binary', scores[0].{name}, {mean}) AS {name}"
+
+    tn = "evaluated - cells[0].tp - cells[0].fp - cells[0].fn"
+    table = scores.selectExpr(
+        "task", "task_type", "total_samples", "evaluated", "correct",
+        f"{ratio_sql('correct', 'total_samples')} AS accuracy",
+        *map(score, ("precision", "recall", "f1")),
+        *[f"if(task_type = 'binary', cells[0].{c}, NULL) AS {c}" for c in ("tp", "fp", "fn")],
+        f"if(task_type = 'binary', {tn}, NULL) AS tn", "quality_gate",
     )
-    tn = F.when(F.col("task_type") == "binary", F.col("evaluated") - F.col("tp") - F.col("fp") - F.col("fn"))
-    return quality_gate(rows.withColumn("tn", tn))
+    return quality_gate(table)
 
 
 def quality_gate(table: DataFrame) -> DataFrame:
     """Add ``quality_gate_passed``: the rounded accuracy reaches the gate."""
-    return table.withColumn("quality_gate_passed", round_exact(F.col("accuracy"), 4) >= F.col("quality_gate"))
+    return table.selectExpr("*", f"{exact_sql('accuracy', 4)} >= quality_gate AS quality_gate_passed")
 
 
 def rounded(table: DataFrame, digits=4) -> DataFrame:
     """Metrics as reported: four decimals."""
-    names = [c for c in ("accuracy", "precision", "recall", "f1") if c in table.columns]
-    return table.withColumns({c: round_exact(F.col(c), digits) for c in names})
+    return table.selectExpr(*[f"{exact_sql(c, digits)} AS {c}" if c in SCORES else f"`{c}`" for c in table.columns])

@@ -1,40 +1,35 @@
 """Over-fitting flags and reported metrics of training runs."""
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from ..functions.rounding import fixed, round_exact
+from ..functions.rounding import exact_sql, printed_sql
 from ..schema import LOSS_GAP
 
 
-def overfit_warning(train_loss: Column, eval_loss: Column) -> Column:
-    """The warning text where the evaluation loss is more than LOSS_GAP above; else null.
+def overfit_flags(runs: DataFrame) -> DataFrame:
+    """Add ``overfitting_warning`` where the evaluation loss is more than LOSS_GAP above.
 
     A loss that is null or exactly 0 never gives a warning.
     """
-    gap = eval_loss - train_loss
-    text = F.concat(
-        F.lit("OVERFITTING DETECTED: eval_loss ("), fixed(eval_loss, 4),
-        F.lit(") >> train_loss ("), fixed(train_loss, 4),
-        F.lit("), gap="), fixed(gap, 4),
-        F.lit(". Consider: fewer steps, higher dropout, or more data."),
+    kept = runs.columns
+    gaps = runs.selectExpr(
+        *kept, f"if(eval_loss <> 0 AND train_loss <> 0 AND eval_loss - train_loss > {LOSS_GAP!r}D, eval_loss - train_loss, NULL) AS _gap"
     )
-    return F.when((eval_loss != 0) & (train_loss != 0) & (gap > LOSS_GAP), text)
-
-
-def overfit_flags(runs: DataFrame) -> DataFrame:
-    """Add ``overfitting_warning``."""
-    return runs.withColumn("overfitting_warning", overfit_warning(F.col("train_loss"), F.col("eval_loss")))
+    shown = gaps.selectExpr(
+        *kept, f"{exact_sql('_gap', 4)} AS _gap", f"{exact_sql('eval_loss', 4)} AS _eval", f"{exact_sql('train_loss', 4)} AS _train"
+    )
+    text = (
+        f"concat('OVERFITTING DETECTED: eval_loss (', {printed_sql('_eval', 4)}, ') >> train_loss (', "
+        f"{printed_sql('_train', 4)}, '), gap=', {printed_sql('_gap', 4)}, "
+        "'. Consider: fewer steps, higher dropout, or more data.')"
+    )
+    return shown.selectExpr(*kept, f"if(_gap IS NULL, NULL, {text}) AS overfitting_warning")
 
 
 def run_metrics(runs: DataFrame) -> DataFrame:
     """Runs as reported: minutes with one decimal, losses with four, the warning."""
-    evaluated = F.when(F.col("eval_loss") != 0, round_exact(F.col("eval_loss"), 4))
-    return overfit_flags(runs).select(
-        "run",
-        round_exact(F.col("train_seconds") / 60, 1).alias("train_time_minutes"),
-        round_exact(F.col("train_loss"), 4).alias("final_loss"),
-        evaluated.alias("eval_loss"),
-        F.col("steps").alias("steps_completed"),
-        "overfitting_warning",
+    rows = overfit_flags(runs.selectExpr("*", "train_seconds / 60 AS _minutes"))
+    return rows.selectExpr(
+        "run", f"{exact_sql('_minutes', 1)} AS train_time_minutes", f"{exact_sql('train_loss', 4)} AS final_loss",
+        f"if(eval_loss <> 0, {exact_sql('eval_loss', 4)}, NULL) AS eval_loss", "steps AS steps_completed", "overfitting_warning",
     )

@@ -8,12 +8,11 @@ from typing import Callable, Iterator, List
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.chat import has_answer, last_assistant, prompt_before_answer, prompt_messages, render_prompt
-from ..functions.labels import extract_label_by_task
-from ..functions.text import truncate_tokens
+from ..functions.chat import answer_sql, asked_sql, before_answer_sql, prompt_sql
+from ..functions.labels import task_label_sql
+from ..functions.text import truncate_sql
 from ..schema import PROMPT_TOKENS
 
 Predictor = Callable[[List[str]], List[str]]
@@ -25,17 +24,12 @@ def prepare(examples: DataFrame, specs, max_tokens=PROMPT_TOKENS, hide_answer=Fa
     Examples without ground truth stay, with null in both, since they count in n.
     Only the label of the answer is carried on, not its text.
     """
-    messages = F.col("messages")
-    answer = last_assistant(messages)
-    asked = prompt_before_answer(messages) if hide_answer else prompt_messages(messages)
-    prompt = render_prompt(asked)
-    if max_tokens:
-        prompt = truncate_tokens(prompt, max_tokens)
-    return examples.select(
-        "task", "example_id",
-        F.when(has_answer(answer), extract_label_by_task(answer, F.col("task"), specs)).alias("expected"),
-        F.when(has_answer(answer), prompt).alias("prompt"),
+    asked = before_answer_sql("messages") if hide_answer else asked_sql("messages")
+    texts = examples.selectExpr("task", "example_id", "messages", f"nullif({answer_sql('messages')}, '') AS answer").selectExpr(
+        "task", "example_id", "answer", f"if(answer IS NULL, NULL, {prompt_sql(asked)}) AS prompt"
     )
+    prompt = truncate_sql("prompt", max_tokens) if max_tokens else "prompt"
+    return texts.selectExpr("task", "example_id", f"{task_label_sql('answer', 'task', specs)} AS expected", f"{prompt} AS prompt")
 
 
 def respond(prepared: DataFrame, factory: Callable[[], Predictor]) -> DataFrame:
@@ -66,13 +60,14 @@ def attach_responses(prepared: DataFrame, predictions: DataFrame) -> DataFrame:
     """
     stored = predictions.select("task", "example_id", "response")
     joined = prepared.drop("prompt").join(stored, ["task", "example_id"], "left")
-    return joined.withColumn("response", F.when(F.col("expected").isNotNull(), F.col("response")))
+    kept = [c for c in joined.columns if c != "response"]
+    return joined.selectExpr(*kept, "if(expected IS NULL, NULL, response) AS response")
 
 
 def label_responses(responses: DataFrame, specs) -> DataFrame:
     """Turn ``response`` into ``predicted``."""
-    label = extract_label_by_task(F.col("response"), F.col("task"), specs)
-    return responses.withColumn("predicted", label).drop("response")
+    kept = [c for c in responses.columns if c != "response"]
+    return responses.selectExpr(*kept, f"{task_label_sql('response', 'task', specs)} AS predicted")
 
 
 def score_examples(examples: DataFrame, specs, factory, **options) -> DataFrame:

@@ -3,52 +3,38 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import fixed, percent
-from .metrics import rounded
+from ..functions.rounding import exact_sql, printed_sql
+from .metrics import SCORES, rounded
 
+GATE = "if(quality_gate_passed, 'PASS', 'FAIL')"
 
-def _count(name):
-    return F.col(name).cast("string")
+
+def _with_percents(table: DataFrame) -> DataFrame:
+    """Rounded metrics with a text column ``<name>_text`` for each share."""
+    names = [c for c in SCORES if c in table.columns]
+    scaled = rounded(table).selectExpr("*", *[f"{c} * 100 AS _{c}" for c in names])
+    exact = scaled.selectExpr(*table.columns, *[f"{exact_sql(f'_{c}', 1)} AS _{c}" for c in names])
+    return exact.selectExpr(*table.columns, *[f"concat({printed_sql(f'_{c}', 1)}, '%') AS {c}_text" for c in names])
 
 
 def summary_lines(metrics: DataFrame, per_class: DataFrame) -> DataFrame:
     """(task, lines): headline metrics, counts of binary tasks, classes, gate."""
+    line = "concat('  ', label, ': ', accuracy_text, ' (', tp, '/', samples, ')')"
     classes = (
-        rounded(per_class)
+        _with_percents(per_class)
         .groupBy("task")
-        .agg(F.array_sort(F.collect_list(F.struct(
-            "pos",
-            F.concat(
-                F.lit("  "), F.col("label"), F.lit(": "), percent(F.col("accuracy")), F.lit(" ("),
-                _count("tp"), F.lit("/"), _count("samples"), F.lit(")"),
-            ).alias("line"),
-        ))).alias("classes"))  # at most one entry per configured class
-    )
-    m = rounded(metrics).join(classes, "task", "left")
-    head = F.array(
-        F.concat(F.lit("Accuracy: "), percent(F.col("accuracy")), F.lit(" | F1: "), percent(F.col("f1"))),
-        F.concat(F.lit("Precision: "), percent(F.col("precision")), F.lit(" | Recall: "), percent(F.col("recall"))),
-    )
-    cells = F.concat_ws(" ", *[F.concat(F.lit(f"{c.upper()}="), _count(c)) for c in ("tp", "fp", "fn", "tn")])
-    listed = F.when(
-        F.col("classes").isNotNull(),
-        F.concat(F.array(F.lit(""), F.lit("Per-class breakdown:")), F.transform("classes", lambda c: c["line"])),
-    )
-    gate = F.array(
-        F.lit(""),
-        F.concat(
-            F.lit("Quality Gate ("), percent(F.col("quality_gate"), 0), F.lit("): "),
-            F.when(F.col("quality_gate_passed"), "PASS").otherwise("FAIL"),
-        ),
+        # at most one entry per configured class
+        .agg(F.expr(f"transform(array_sort(collect_list(struct(pos, {line} AS line))), c -> c.line) AS classes"))
     )
-    none = F.array().cast("array<string>")
-    lines = F.concat(
-        head,
-        F.when(F.col("task_type") == "binary", F.array(cells)).otherwise(none),
-        F.coalesce(listed, none),
-        gate,
+    table = _with_percents(metrics.selectExpr("*", "quality_gate * 100 AS _gate")).selectExpr("*", f"{exact_sql('_gate', 0)} AS gate")
+    lines = (
+        "concat(array(concat('Accuracy: ', accuracy_text, ' | F1: ', f1_text), "
+        "concat('Precision: ', precision_text, ' | Recall: ', recall_text)), "
+        "if(task_type = 'binary', array(concat('TP=', tp, ' FP=', fp, ' FN=', fn, ' TN=', tn)), array()), "
+        "if(classes IS NULL, array(), concat(array('', 'Per-class breakdown:'), classes)), "
+        f"array('', concat('Quality Gate (', {printed_sql('gate', 0)}, '%): ', {GATE})))"
     )
-    return m.select("task", lines.alias("lines"))
+    return table.join(classes, "task", "left").selectExpr("task", f"{lines} AS lines")
 
 
 def run_summary(metrics: DataFrame, runs: DataFrame) -> DataFrame:
@@ -56,18 +42,12 @@ def run_summary(metrics: DataFrame, runs: DataFrame) -> DataFrame:
 
     ``runs`` is (task, model, output, train_time_minutes, overfitting_warning).
     """
-    m = rounded(metrics).join(runs, "task")
-    warned = F.col("overfitting_warning")
-    lines = F.concat(
-        F.array(
-            F.concat(F.lit("Task: "), F.col("task")),
-            F.concat(F.lit("Model: "), F.col("model")),
-            F.concat(F.lit("Accuracy: "), percent(F.col("accuracy"))),
-            F.concat(F.lit("F1: "), percent(F.col("f1"))),
-            F.concat(F.lit("Train time: "), fixed(F.col("train_time_minutes"), 1), F.lit(" min")),
-            F.concat(F.lit("Output: "), F.col("output")),
-        ),
-        F.when(warned.isNotNull(), F.array(warned)).otherwise(F.array().cast("array<string>")),
-        F.array(F.when(F.col("quality_gate_passed"), "Quality gate passed.").otherwise("Quality gate NOT passed.")),
+    lines = (
+        "concat(array(concat('Task: ', task), concat('Model: ', model), concat('Accuracy: ', accuracy_text), "
+        f"concat('F1: ', f1_text), concat('Train time: ', {printed_sql('train_time_minutes', 1)}, ' min'), "
+        "concat('Output: ', output)), "
+        "if(overfitting_warning IS NULL, array(), array(overfitting_warning)), "
+        "array(if(quality_gate_passed, 'Quality gate passed.', 'Quality gate NOT passed.')))"
     )
-    return m.select("task", lines.alias("lines"))
+    minutes = [f"{exact_sql('train_time_minutes', 1)} AS {c}" if c == "train_time_minutes" else c for c in runs.columns]
+    return _with_percents(metrics).join(runs.selectExpr(*minutes), "task").selectExpr("task", f"{lines} AS lines")

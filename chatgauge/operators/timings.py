@@ -1,9 +1,9 @@
 """Latency, size and variant comparison over tables of timed runs."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rounding import fixed, round_exact
+from ..functions.rounding import exact_sql, printed_sql
 from ..schema import FP16_BYTES, INT4_BYTES, TOKENS_PER_RUN, WARMUP_RUNS
 
 
@@ -13,21 +13,33 @@ def latency_summary(timings: DataFrame, warmup=WARMUP_RUNS, tokens=TOKENS_PER_RU
     The first ``warmup`` runs are left out.  Seconds are summed as decimals, so the
     mean does not depend on how the rows are partitioned.
     """
-    timed = timings.where(F.col("run_no") > warmup)
-    total = F.sum(F.col("seconds").cast("decimal(24,9)")).cast("double")
-    means = timed.groupBy("model", "variant").agg(F.count("*").alias("runs"), total.alias("total"))
-    mean = F.col("total") / F.col("runs")
-    return means.select(
-        "model", "variant", "runs",
-        (mean * 1000).alias("avg_latency_ms"),
-        F.try_divide(F.lit(float(tokens)), mean).alias("tokens_per_second"),
+    means = (
+        timings.where(f"run_no > {int(warmup)}")
+        .groupBy("model", "variant")
+        .agg(F.expr("count(*) AS runs"), F.expr("CAST(sum(CAST(seconds AS DECIMAL(24,9))) AS DOUBLE) / count(*) AS mean"))
     )
+    return means.selectExpr(
+        "model", "variant", "runs", "mean * 1000 AS avg_latency_ms",
+        f"try_divide({float(tokens)!r}D, mean) AS tokens_per_second",
+    )
+
 
+def estimate_size_sql(parameters: str, variant: str) -> str:
+    """Megabytes of a model by its parameter count, unrounded; null for an unknown variant."""
+    width = f"CASE {variant} WHEN 'fp16' THEN {FP16_BYTES!r}D WHEN 'int4' THEN {INT4_BYTES!r}D END"
+    return f"CAST({parameters} AS DOUBLE) * {width} / 1e6D"
 
-def estimate_size_mb(parameters: Column, variant: Column) -> Column:
-    """Megabytes of a model by its parameter count; null for an unknown variant."""
-    width = F.when(variant == "fp16", FP16_BYTES).when(variant == "int4", INT4_BYTES)
-    return round_exact(parameters * width / 1e6, 1)
+
+def benchmark_report(latencies: DataFrame, models: DataFrame) -> DataFrame:
+    """Latencies joined with (model, total_parameters), rounded as reported."""
+    rows = latencies.join(models, "model").selectExpr(
+        "model", "variant", "total_parameters", f"{estimate_size_sql('total_parameters', 'variant')} AS size_mb",
+        "avg_latency_ms", "tokens_per_second",
+    )
+    return rows.selectExpr(
+        "model", "variant", "total_parameters",
+        *[f"{exact_sql(c, 1)} AS {c}" for c in ("size_mb", "avg_latency_ms", "tokens_per_second")],
+    )
 
 
 def compare_variants(benchmarks: DataFrame) -> DataFrame:
@@ -36,21 +48,10 @@ def compare_variants(benchmarks: DataFrame) -> DataFrame:
     A variant that could not be run has nulls, and so has the saving.
     """
     wide = benchmarks.groupBy("model").agg(*[
-        F.max(F.when(F.col("variant") == v, F.col(c))).alias(f"{v}_{short}")
+        F.expr(f"max({c}) FILTER (WHERE variant = '{v}') AS {v}_{short}")
         for c, short in (("size_mb", "size_mb"), ("avg_latency_ms", "latency_ms"))
         for v in ("fp16", "int4")
     ])
-    kept = F.try_divide(F.col("int4_size_mb"), F.col("fp16_size_mb"))
-    saving = F.when(kept.isNotNull(), F.concat(fixed((1 - kept) * 100, 0), F.lit("%")))
-    return wide.withColumn("size_reduction", saving)
-
-
-def benchmark_report(latencies: DataFrame, models: DataFrame) -> DataFrame:
-    """Latencies joined with (model, total_parameters), rounded as reported."""
-    rows = latencies.join(models, "model")
-    return rows.select(
-        "model", "variant", "total_parameters",
-        estimate_size_mb(F.col("total_parameters").cast("double"), F.col("variant")).alias("size_mb"),
-        round_exact(F.col("avg_latency_ms"), 1).alias("avg_latency_ms"),
-        round_exact(F.col("tokens_per_second"), 1).alias("tokens_per_second"),
-    )
+    saved = wide.selectExpr("*", "(1 - try_divide(int4_size_mb, fp16_size_mb)) * 100 AS saved")
+    shown = saved.selectExpr(*wide.columns, f"{exact_sql('saved', 0)} AS saved")
+    return shown.selectExpr(*wide.columns, f"concat({printed_sql('saved', 0)}, '%') AS size_reduction")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.expr import literal
 from ..operators.metrics import rounded
 from ..sources.specs import spec_frame
 
@@ -15,31 +16,25 @@ def build_report(metrics: DataFrame, per_class: DataFrame, benchmarks: DataFrame
     ``benchmarks`` is (task, base_model, …): every further column goes into the
     card's ``benchmark`` part.
     """
-    spark = metrics.sparkSession
-    settings = spec_frame(spark, specs)
+    counts = "struct(label, struct(samples, accuracy, tp, fp, fn) AS counts)"
     classes = (
         rounded(per_class)
         .groupBy("task")
-        .agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(
-            "label", F.struct("samples", "accuracy", "tp", "fp", "fn").alias("counts")
-        )))).alias("per_class"))  # at most one entry per configured class
+        # at most one entry per configured class
+        .agg(F.expr(f"map_from_entries(array_sort(collect_list({counts}))) AS per_class"))
     )
-    kept = [c for c in metrics.columns if c not in ("task", "quality_gate", "evaluated", "correct")]
-    scores = rounded(metrics).join(classes, "task", "left").select(
-        "task", F.struct(*kept, "per_class").alias("metrics")
+    kept = ", ".join(c for c in metrics.columns if c not in ("task", "quality_gate", "evaluated", "correct"))
+    scores = rounded(metrics).join(classes, "task", "left").selectExpr("task", f"struct({kept}, per_class) AS metrics")
+    extras = ", ".join(c for c in benchmarks.columns if c not in ("task", "base_model"))
+    bench = benchmarks.selectExpr("task", "base_model", f"struct({extras}) AS benchmark")
+    limits = "task_type, classes, quality_gate, max_samples, max_val_samples, max_test_samples"
+    settings = spec_frame(metrics.sparkSession, specs).selectExpr("task", "task_type", "system_prompt", f"struct({limits}) AS config")
+    return settings.join(scores, "task").join(bench, "task").selectExpr(
+        "task",
+        f"to_json(struct({literal(project)} AS project, {literal(version)} AS version, base_model, task, task_type, "
+        f"system_prompt, {literal(METHOD)} AS method, config, metrics, benchmark, "
+        "date_format(current_timestamp(), \"yyyy-MM-dd HH:mm:ss 'UTC'\") AS timestamp)) AS card",
     )
-    extras = [c for c in benchmarks.columns if c not in ("task", "base_model")]
-    bench = benchmarks.select("task", "base_model", F.struct(*extras).alias("benchmark"))
-    config = F.struct(
-        "task_type", "classes", "quality_gate", "max_samples", "max_val_samples", "max_test_samples"
-    )
-    rows = settings.select("task", "task_type", "system_prompt", config.alias("config")).join(scores, "task").join(bench, "task")
-    card = F.struct(
-        F.lit(project).alias("project"), F.lit(version).alias("version"), "base_model", "task", "task_type",
-        "system_prompt", F.lit(METHOD).alias("method"), "config", "metrics", "benchmark",
-        F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss 'UTC'").alias("timestamp"),
-    )
-    return rows.select("task", F.to_json(card).alias("card"))
 
 
 def write_report(report: DataFrame, path, mode="errorifexists"):

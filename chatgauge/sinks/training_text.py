@@ -1,16 +1,15 @@
 """Training text: one ``text`` column, one row per example."""
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ..functions.chat import render_chat
-from ..functions.text import truncate_tokens
+from ..functions.chat import chat_sql
+from ..functions.text import truncate_sql
 
 
 def training_text(examples: DataFrame, max_tokens=None) -> DataFrame:
     """Render ``messages``; with ``max_tokens`` each text is cut after that many."""
-    text = render_chat(F.col("messages"))
-    return examples.select((truncate_tokens(text, max_tokens) if max_tokens else text).alias("text"))
+    texts = examples.selectExpr(f"{chat_sql('messages')} AS text")
+    return texts.selectExpr(f"{truncate_sql('text', max_tokens)} AS text") if max_tokens else texts
 
 
 def write_training_text(examples: DataFrame, path, format="parquet", max_tokens=None, mode="errorifexists"):

@@ -3,8 +3,8 @@
 from typing import NamedTuple, Optional
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..functions.expr import literal
 from ..functions.labels import clean_classes
 from ..schema import BINARY_CLASSES, MULTICLASS_CLASSES
 
@@ -57,7 +57,7 @@ SHIPPED = [
     },
 ]
 
-SPEC_SCHEMA = (
+COLUMNS = (
     "task STRING, task_type STRING, classes ARRAY<STRING>, quality_gate DOUBLE, "
     "max_samples BIGINT, max_val_samples BIGINT, max_test_samples BIGINT, system_prompt STRING"
 )
@@ -98,10 +98,17 @@ def shipped_specs(hdfs_profile="accuracy") -> list:
 
 
 def spec_frame(spark: SparkSession, specs) -> DataFrame:
-    """The specs as a DataFrame; they come from the driver, so their size is known."""
-    return spark.createDataFrame([tuple(s._replace(classes=list(s.classes))) for s in specs], SPEC_SCHEMA)
+    """The specs as an inline table; they come from the driver, so their size is known."""
+    names, types = zip(*[column.strip().split(" ") for column in COLUMNS.split(", ")])
+    rows = ", ".join(
+        "(" + ", ".join(f"CAST({literal(value)} AS {kind})" for value, kind in zip(spec, types)) + ")" for spec in specs
+    )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({', '.join(names)})")
 
 
 def spec_classes(spark: SparkSession, specs) -> DataFrame:
     """One row per (task, class) with the position of the class in its list."""
-    return spec_frame(spark, specs).select("task", F.posexplode("classes").alias("pos", "label"))
+    rows = ", ".join(
+        f"({literal(s.task)}, {literal(s.task_type)}, {pos}, {literal(label)})" for s in specs for pos, label in enumerate(s.classes)
+    )
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(task, task_type, pos, label)")

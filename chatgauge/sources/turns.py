@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.chat import has_answer, render_turn
-from ..functions.labels import clean_classes, extract_label_by_task, names_class, search_order
-from ..functions.text import truncate_tokens
+from ..functions.chat import turn_sql
+from ..functions.expr import literal
+from ..functions.labels import clean_classes, names_class_sql, search_order, task_label_sql
+from ..functions.text import truncate_sql
 from ..operators.limits import head_n_per_task
 from ..schema import ANSWER_OPEN, MESSAGES, PROMPT_TOKENS
 
@@ -25,22 +26,18 @@ def messages_from_turns(turns: DataFrame, turns_per_part=TURNS_PER_PART) -> Data
     Part p holds the turn numbers p*turns_per_part and up, so no part outgrows that
     many messages and a huge chat spreads over many tasks.
     """
-    part = F.floor(F.col("turn") / turns_per_part).alias("part")
-    entry = F.struct("turn", "role", F.col("text").alias("content"))
+    size = int(turns_per_part)
     parts = (
-        turns.select("conv_id", part, entry.alias("entry"))
+        turns.selectExpr("conv_id", f"turn DIV {size} AS part", "struct(turn, role, text AS content) AS entry")
         .groupBy("conv_id", "part")
-        .agg(F.array_sort(F.collect_list("entry")).alias("entries"))
+        .agg(F.expr("array_sort(collect_list(entry)) AS entries"))
     )
     # numbers only: the texts are not read for this pass
-    ends = (
-        turns.groupBy("conv_id")
-        .agg(F.max("turn").alias("end"))
-        .select("conv_id", F.floor(F.col("end") / turns_per_part).alias("part"), F.lit(True).alias("is_last"))
-    )
-    messages = F.transform("entries", lambda e: F.struct(e["role"].alias("role"), e["content"].alias("content")))
-    return parts.join(ends, ["conv_id", "part"], "left").select(
-        "conv_id", "part", F.coalesce("is_last", F.lit(False)).alias("is_last"), messages.cast(MESSAGES).alias("messages")
+    ends = turns.groupBy("conv_id").agg(F.expr(f"max(turn) DIV {size} AS part")).selectExpr("conv_id", "part", "true AS is_last")
+    shape = MESSAGES.simpleString()
+    return parts.join(ends, ["conv_id", "part"], "left").selectExpr(
+        "conv_id", "part", "coalesce(is_last, false) AS is_last",
+        f"CAST(transform(entries, e -> struct(e.role AS role, e.content AS content)) AS {shape}) AS messages",
     )
 
 
@@ -50,11 +47,10 @@ def answers_from_turns(turns: DataFrame) -> DataFrame:
     The turn number is found first, on numbers alone, and the text fetched by the
     unique pair (conv_id, turn), so texts of other turns are never shuffled.
     """
-    is_answer = F.col("role") == "assistant"
     chats = turns.groupBy("conv_id").agg(
-        F.count("*").alias("n_turns"), F.max(F.when(is_answer, F.col("turn"))).alias("turn")
+        F.expr("count(*) AS n_turns"), F.expr("max(turn) FILTER (WHERE role = 'assistant') AS turn")
     )
-    texts = turns.where(is_answer).select("conv_id", "turn", F.col("text").alias("expected"))
+    texts = turns.where("role = 'assistant'").selectExpr("conv_id", "turn", "text AS expected")
     return chats.join(texts, ["conv_id", "turn"], "left").select("conv_id", "n_turns", "expected")
 
 
@@ -70,23 +66,22 @@ def prompts_from_turns(turns: DataFrame, max_tokens=PROMPT_TOKENS) -> DataFrame:
     turn_cap = max_tokens // 2 + 1
     salts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ends = turns.groupBy("conv_id").agg(F.max("turn").alias("end"))
-    early = turns.select(
-        "conv_id", "turn",
-        truncate_tokens(render_turn(F.col("role"), F.col("text")), max_tokens).alias("piece"),
-        F.pmod("turn", F.lit(salts)).alias("salt"),
+    rendered = turns.selectExpr("conv_id", "turn", f"{turn_sql('role', 'text')} AS piece")
+    early = rendered.selectExpr(
+        "conv_id", "turn", f"{truncate_sql('piece', max_tokens)} AS piece", f"pmod(turn, {salts}) AS salt"
     )
     # ranked per salt first, so that a huge chat's turns do not meet in one task
     for keys in (["conv_id", "salt"], ["conv_id"]):
         rank = F.row_number().over(W.partitionBy(*keys).orderBy("turn"))
         early = early.withColumn("rank", rank).where(F.col("rank") <= turn_cap).drop("rank")
-    shown = F.when(F.col("turn") == F.col("end"), F.lit(ANSWER_OPEN)).otherwise(F.col("piece"))
-    pieces = (
+    shown = f"if(turn = end, {literal(ANSWER_OPEN)}, piece) AS piece"
+    texts = (
         early.join(ends, "conv_id")
         .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(F.struct("turn", shown.alias("piece")))).alias("pieces"))
+        .agg(F.expr(f"array_sort(collect_list(struct(turn, {shown}))) AS pieces"))
+        .selectExpr("conv_id", "array_join(transform(pieces, p -> p.piece), '\\n') AS prompt")
     )
-    text = F.array_join(F.transform("pieces", lambda p: p["piece"]), "\n")
-    return pieces.select("conv_id", truncate_tokens(text, max_tokens).alias("prompt"))
+    return texts.selectExpr("conv_id", f"{truncate_sql('prompt', max_tokens)} AS prompt")
 
 
 def label_chats(turns: DataFrame, classes) -> DataFrame:
@@ -101,30 +96,30 @@ def label_chats(turns: DataFrame, classes) -> DataFrame:
     if any("\n" in name for name in names):
         raise ValueError("class names must not hold line breaks")
     order = search_order(names)
-    upper, body = F.upper(render_turn(F.col("role"), F.col("text"))), F.upper("text")
-
-    rank = F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.lit(None).cast("int"))
-    for i, name in enumerate(order):
-        rank = rank.when(names_class(body, name), i)
-    rank = rank.otherwise(order.index(names[0]))
-    rows = turns.select(
-        "conv_id", "turn", (F.col("role") == "assistant").alias("is_answer"),
-        F.when(F.col("role") == "assistant", F.coalesce(rank, F.lit(-1))).alias("rank"),
-        *[F.when(names_class(upper, name), F.col("turn")).alias(f"at_{i}") for i, name in enumerate(order)],
+    # named once, so that every text is rendered and upper-cased once
+    upper = turns.selectExpr(
+        "conv_id", "turn", "role = 'assistant' AS is_answer",
+        "upper(if(role = 'assistant', text, NULL)) AS body", f"upper({turn_sql('role', 'text')}) AS piece",
+    )
+    ranks = " ".join(f"WHEN {names_class_sql('body', name)} THEN {i}" for i, name in enumerate(order))
+    rank = f"CASE WHEN NOT is_answer THEN NULL WHEN coalesce(body, '') = '' THEN -1 {ranks} ELSE {order.index(names[0])} END"
+    rows = upper.selectExpr(
+        "conv_id", "turn", f"{rank} AS rank", "if(is_answer, turn, NULL) AS answer_turn",
+        *[f"if({names_class_sql('piece', name)}, turn, NULL) AS at_{i}" for i, name in enumerate(order)],
     )
     chats = rows.groupBy("conv_id").agg(
-        F.max("turn").alias("end"),
-        # the rank of the last answer; null ranks only where no turn is an answer
-        F.max_by("rank", F.when(F.col("is_answer"), F.col("turn"))).alias("rank"),
-        *[F.min(f"at_{i}").alias(f"at_{i}") for i in range(len(order))],
+        F.expr("max(turn) AS end"), F.expr("max_by(rank, answer_turn) AS rank"),
+        *[F.expr(f"min(at_{i}) AS at_{i}") for i in range(len(order))],
+    )
+    found = " ".join(
+        f"WHEN coalesce(at_{i} < end, false) OR {names_class_sql(literal(ANSWER_OPEN.upper()), name)} THEN {literal(name)}"
+        for i, name in enumerate(order)
+    )
+    return chats.selectExpr(
+        "conv_id",
+        f"if(rank >= 0, element_at({literal(order)}, rank + 1), NULL) AS expected",
+        f"CASE WHEN coalesce(rank, -1) < 0 THEN NULL {found} ELSE {literal(names[0])} END AS predicted",
     )
-    scored = F.col("rank") >= 0
-    expected = F.when(scored, F.element_at(F.array(*map(F.lit, order)), F.col("rank") + 1))
-    found = F.when(~F.coalesce(scored, F.lit(False)), F.lit(None).cast("string"))
-    for i, name in enumerate(order):
-        in_open_turn = names_class(F.lit(ANSWER_OPEN.upper()), name)
-        found = found.when(F.coalesce(F.col(f"at_{i}") < F.col("end"), F.lit(False)) | in_open_turn, name)
-    return chats.select("conv_id", expected.alias("expected"), found.otherwise(F.lit(names[0])).alias("predicted"))
 
 
 def prepare_turns(turns: DataFrame, specs, max_tokens=PROMPT_TOKENS) -> DataFrame:
@@ -142,9 +137,7 @@ def prepare_turns(turns: DataFrame, specs, max_tokens=PROMPT_TOKENS) -> DataFram
     answers = answers_from_turns(kept)
     tasks = kept.select("conv_id", "task").distinct()
     scored = answers.join(tasks, "conv_id").join(prompts_from_turns(kept, max_tokens), "conv_id")
-    answered = has_answer(F.col("expected"))
-    return scored.select(
-        "task", F.col("conv_id").alias("example_id"),
-        F.when(answered, extract_label_by_task(F.col("expected"), F.col("task"), specs)).alias("expected"),
-        F.when(answered, F.col("prompt")).alias("prompt"),
+    return scored.selectExpr("task", "conv_id AS example_id", "nullif(expected, '') AS answer", "prompt").selectExpr(
+        "task", "example_id", f"{task_label_sql('answer', 'task', specs)} AS expected",
+        "if(answer IS NULL, NULL, prompt) AS prompt",
     )
