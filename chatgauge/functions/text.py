@@ -12,7 +12,10 @@ _FLOATS = (T.FloatType, T.DoubleType)
 
 
 def float_text_sql(x: str) -> str:
-    """Shortest text of a double: plain from 1e-4 up to 1e16, else ``1e-05`` style."""
+    """Shortest text of a double: plain from 1e-4 up to 1e16, else ``1e-05`` style.
+
+    Spark writes doubles plainly from 1e-3 up to 1e7 only; the other forms are rare.
+    """
     java = f"CAST({x} AS STRING)"
     power = f"CAST(substring_index({java}, 'E', -1) AS INT)"
     plain = f"regexp_replace(CAST(CAST({x} AS DECIMAL(38,21)) AS STRING), '(\\\\.[0-9]+?)0+$', '$1')"
@@ -21,9 +24,9 @@ def float_text_sql(x: str) -> str:
         f"if({power} < 0, 'e-', 'e+'), lpad(abs({power}), greatest(2, length(abs({power}))), '0'))"
     )
     return (
-        f"CASE WHEN NOT contains({java}, 'E') THEN "
-        f"CASE {java} WHEN 'NaN' THEN 'nan' WHEN 'Infinity' THEN 'inf' WHEN '-Infinity' THEN '-inf' ELSE {java} END "
-        f"WHEN {power} BETWEEN -4 AND 15 THEN {plain} ELSE {scientific} END"
+        f"CASE WHEN {x} = 0D OR (abs({x}) >= 1e-3D AND abs({x}) < 1e7D) THEN {java} "
+        f"WHEN isnan({x}) THEN 'nan' WHEN abs({x}) = DOUBLE('Infinity') THEN if({x} > 0, 'inf', '-inf') "
+        f"WHEN abs({x}) >= 1e-4D AND abs({x}) < 1e16D THEN {plain} ELSE {scientific} END"
     )
 
 

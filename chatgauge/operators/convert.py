@@ -38,25 +38,27 @@ def _chat_sql(system, user, answer):
 
 
 def chat_from_parts_sql(layout) -> str:
-    """Messages from columns _id, _ask, _extra, _answer: (text, filled), text null if absent."""
+    """Messages from the part columns: _text (null if absent), _filled and _none of each part."""
     if layout == "cve":
         user = (
-            "concat('Analyze this CVE:\\n\\nCVE ID: ', coalesce(_id.text, 'Unknown'), "
-            "'\\nDescription: ', coalesce(_ask.text, ''))"
+            "concat('Analyze this CVE:\\n\\nCVE ID: ', coalesce(_id_text, 'Unknown'), "
+            "'\\nDescription: ', coalesce(_ask_text, ''))"
         )
-        return _chat_sql(CVE_SYSTEM, user, f"if(_answer.filled, _answer.text, {literal(CVE_UNRATED)})")
-    user = "_ask.text"
+        return _chat_sql(CVE_SYSTEM, user, f"if(_answer_filled, _answer_text, {literal(CVE_UNRATED)})")
+    user = "_ask_text"
     if layout == "instruction":
         # a null instruction has no text to extend and stays null
-        user = "if(_ask.none, NULL, concat(_ask.text, if(_extra.filled, concat('\\n\\n', _extra.text), '')))"
-    return _chat_sql(HELPER_SYSTEM, user, "_answer.text")
+        user = "if(_ask_none, NULL, concat(_ask_text, if(_extra_filled, concat('\\n\\n', _extra_text), '')))"
+    return _chat_sql(HELPER_SYSTEM, user, "_answer_text")
 
 
-def _part_sql(text, filled, none):
-    return f"named_struct('text', {text}, 'filled', {filled}, 'none', {none})"
+def _part(name, text="CAST(NULL AS STRING)", filled="false", none="false"):
+    """The three columns of a part.
 
-
-ABSENT = _part_sql("CAST(NULL AS STRING)", "false", "false")
+    Flat columns rather than a struct: the optimizer merges projections that only
+    take structs apart again, and would then repeat their long expressions.
+    """
+    return [f"{text} AS _{name}_text", f"{filled} AS _{name}_filled", f"{none} AS _{name}_none"]
 
 
 def table_layout(columns):
@@ -73,18 +75,17 @@ def _from_table(df: DataFrame, layout) -> DataFrame:
     def part(name):
         for key in PARTS[layout].get(name, []):
             if key in types:
-                kind = types[key]
-                return _part_sql(plain_text_sql(f"`{key}`", kind), is_filled_sql(f"`{key}`", kind), f"`{key}` IS NULL")
-        return ABSENT
+                column, kind = f"`{key}`", types[key]
+                return _part(name, plain_text_sql(column, kind), is_filled_sql(column, kind), f"{column} IS NULL")
+        return _part(name)
 
-    kept = [c for c in df.columns if c != "messages"]
-    rows = df.select(*kept, *[F.expr(f"{part(name)} AS _{name}") for name in NAMES])
-    return rows.select(*kept, F.expr(chat_from_parts_sql(layout)).cast(MESSAGES).alias("messages"))
+    kept = [f"`{c}`" for c in df.columns if c != "messages"]
+    rows = df.selectExpr(*kept, *[column for name in NAMES for column in part(name)])
+    return rows.selectExpr(*kept, f"CAST({chat_from_parts_sql(layout)} AS {MESSAGES.simpleString()}) AS messages")
 
 
-def _printed_sql(part):
-    kind, text = f"{part}.kind", f"{part}.text"
-    number = f"TRY_CAST({text} AS DOUBLE)"
+def _printed(name):
+    kind, text, number = f"_{name}_kind", f"_{name}_text", f"_{name}_number"
     # a whole number too long for BIGINT and a short one written with a zero
     # fraction both arrive as DECIMAL without a fraction; the length tells them apart
     long_whole = f"({kind} LIKE 'DECIMAL(%,0)' AND length({text}) > 18)"
@@ -98,14 +99,18 @@ def _printed_sql(part):
         f"coalesce(CASE {kind} WHEN 'STRING' THEN {text} <> '' WHEN 'BOOLEAN' THEN {text} = 'true' "
         f"WHEN 'VOID' THEN false ELSE {number} <> 0 END, false)"
     )
-    return _part_sql(printed, filled, f"coalesce({kind} = 'VOID', false)")
+    return _part(name, printed, filled, f"coalesce({kind} = 'VOID', false)")
 
 
-def _from_json(df: DataFrame, raw) -> DataFrame:
-    """Each step is a projection of its own, so that a row is parsed only once."""
-    kept = [c for c in df.columns if c != "messages"]
-    parsed = df.select(*kept, F.expr(f"parse_json({raw}) AS _v"))
-    opened = parsed.select(*kept, "_v", F.expr("try_variant_get(_v, '$', 'map<string,variant>') AS _m"))
+def _from_json(df: DataFrame, raw, drop_unknown) -> DataFrame:
+    """Each step is a projection of its own, so that a row is parsed only once.
+
+    The last step is a generator: a filter on ``messages``, ours or a later one, would
+    be pushed below the projections with all their expressions put into it.
+    """
+    kept = [f"`{c}`" for c in df.columns if c != "messages"]
+    parsed = df.selectExpr(*kept, f"parse_json({raw}) AS _v")
+    opened = parsed.selectExpr(*kept, "_v", "try_variant_get(_v, '$', 'map<string,variant>') AS _m")
 
     def present(key):
         return f"coalesce(map_contains_key(_m, '{key}'), false)"
@@ -114,28 +119,34 @@ def _from_json(df: DataFrame, raw) -> DataFrame:
         "WHEN " + " OR ".join("(" + " AND ".join(map(present, group)) + ")" for group in groups) + f" THEN '{layout}'"
         for layout, groups in RULES.items()
     )
-    layouts = opened.select(*kept, "_v", "_m", F.expr(f"CASE WHEN _m IS NULL THEN 'list' {tests} END AS _layout"))
+    layouts = opened.selectExpr(*kept, "_v", "_m", f"CASE WHEN _m IS NULL THEN 'list' {tests} END AS _layout")
 
-    def part(name):
+    def value(name):
         cases = []
         for layout, keys in PARTS.items():
             if name in keys:
                 first = " ".join(f"WHEN {present(key)} THEN _m['{key}']" for key in keys[name])
                 cases.append(f"WHEN '{layout}' THEN CASE {first} END")
-        return F.expr(f"CASE _layout {' '.join(cases)} END AS _{name}")
+        return f"CASE _layout {' '.join(cases)} END AS _{name}"
 
-    def typed(name):
-        return F.expr(f"named_struct('kind', schema_of_variant(_{name}), 'text', CAST(_{name} AS STRING)) AS _{name}")
-
-    values = layouts.select(*kept, "_v", "_layout", *[part(name) for name in NAMES])
-    kinds = values.select(*kept, "_v", "_layout", *[typed(name) for name in NAMES])
-    printed = kinds.select(*kept, "_v", "_layout", *[F.expr(f"{_printed_sql('_' + n)} AS _{n}") for n in NAMES])
+    values = layouts.selectExpr(*kept, "_v", "_layout", *map(value, NAMES))
+    typed = [
+        column for n in NAMES for column in (
+            f"schema_of_variant(_{n}) AS _{n}_kind", f"CAST(_{n} AS STRING) AS _{n}_text", f"TRY_CAST(_{n} AS DOUBLE) AS _{n}_number",
+        )
+    ]
+    printed = values.selectExpr(*kept, "_v", "_layout", *typed).selectExpr(
+        *kept, "_v", "_layout", *[column for name in NAMES for column in _printed(name)]
+    )
     shape = MESSAGES.simpleString()
     built = " ".join(f"WHEN '{layout}' THEN {chat_from_parts_sql(layout)}" for layout in PARTS)
-    return printed.select(*kept, F.expr(
+    rows = printed.selectExpr(
+        *kept,
         f"CASE _layout WHEN 'list' THEN variant_get(_v, '$', '{shape}') "
-        f"WHEN 'messages' THEN variant_get(_v, '$.messages', '{shape}') {built} END AS messages"
-    ))
+        f"WHEN 'messages' THEN variant_get(_v, '$.messages', '{shape}') {built} END AS messages",
+    )
+    keep = "if(size(messages) > 0, array(messages), array())" if drop_unknown else "array(messages)"
+    return rows.selectExpr(*kept, f"explode({keep}) AS messages")
 
 
 def to_messages(df: DataFrame, layout="auto", drop_unknown=True, raw="raw") -> DataFrame:
@@ -148,11 +159,8 @@ def to_messages(df: DataFrame, layout="auto", drop_unknown=True, raw="raw") -> D
     if layout == "auto":
         layout = table_layout(df.columns) or ("json" if raw in df.columns else None)
     if layout == "json":
-        out = _from_json(df, raw)
-    elif layout == "messages":
-        out = df
-    elif layout is None:
-        out = df.withColumn("messages", F.lit(None).cast(MESSAGES))
-    else:
-        out = _from_table(df, layout)
+        return _from_json(df, raw, drop_unknown)
+    if layout not in (None, "messages"):
+        return _from_table(df, layout)
+    out = df if layout else df.withColumn("messages", F.lit(None).cast(MESSAGES))
     return out.where("size(messages) > 0") if drop_unknown else out
