@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import chat, labels
 from ..functions.rounding import exact_sql
-from ..functions.text import is_truncated, truncate_tokens
+from ..functions.text import is_truncated, truncated
 from ..operators import classifier, metrics, runs, timings
 from ..operators.convert import to_messages
 from ..operators.limits import head_n, head_n_per_task
@@ -287,10 +287,8 @@ def extract_label_by_row(spark, sf_dir):
 
 @query(f"SELECT doc_id, {sql.first_tokens('text', 50)[1]} AS text, {sql.first_tokens('text', 50)[0]} AS truncated FROM documents")
 def truncated_text(spark, sf_dir):
-    text = "text"
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", truncate_tokens(text, 50).alias("text"), is_truncated(text, 50).alias("truncated")
-    )
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", is_truncated("text", 50).alias("truncated"))
+    return truncated(rows, "text", 50)
 
 
 @query("SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 500")
@@ -680,10 +678,10 @@ def registry_after_removal(spark, sf_dir):
     return registry.registry_list(spark, path).drop("registered_at")
 
 
-@query(f"WITH {ENTRIES} SELECT * FROM e WHERE name = 'task-5' OR task = 'task-5' ORDER BY seq LIMIT 1")
+@query(f"WITH {ENTRIES} SELECT * FROM e WHERE name = 'task-15' OR task = 'task-15' ORDER BY seq LIMIT 1")
 def registry_find(spark, sf_dir):
     entries = registry.registry_entries(supplier_models(spark, sf_dir))
-    return registry.registry_find(entries, "task-5").drop("registered_at", "removed")
+    return registry.registry_find(entries, "task-15").drop("registered_at", "removed")
 
 
 @query(f"WITH {ENTRIES} SELECT name, task, seq FROM e WHERE name <> '{GONE}'")

@@ -32,8 +32,7 @@ def turn(role="role", text="text"):
 
 def first_tokens(text, n):
     more = f"regexp_matches({text}, '^{BLANK}*({SOLID}+{BLANK}+){{{n}}}{SOLID}')"
-    # the cut text starts at its first token
-    cut = f"regexp_extract(ltrim({text}, ' ' || chr(9) || chr(10) || chr(13)), '^({SOLID}+{BLANK}+){{{n - 1}}}{SOLID}+')"
+    cut = f"regexp_extract({text}, '^{BLANK}*({SOLID}+{BLANK}+){{{n - 1}}}{SOLID}+')"
     return more, f"CASE WHEN {more} THEN {cut} ELSE {text} END"
 
 

@@ -59,10 +59,10 @@ def extract_label_by_row(text: str, classes: str) -> Column:
     """Label of each text where every row brings its own class list."""
     pattern = f"concat({literal(BEFORE)}, '\\\\Q', c, '\\\\E', {literal(AFTER)})"
     ordered = f"array_sort(transform({classes}, c -> upper(c)), (a, b) -> length(b) - length(a))"
-    hits = f"filter({ordered}, c -> contains(upper({text}), c) AND upper({text}) RLIKE {pattern})"
-    return F.expr(
-        f"CASE WHEN {text} IS NOT NULL THEN coalesce(try_element_at({hits}, 1), upper(try_element_at({classes}, 1))) END"
-    )
+    hit = f"try_element_at(filter({ordered}, c -> contains(u, c) AND u RLIKE {pattern}), 1)"
+    # the one-element array gives the upper-cased text a name, so it is made once per row
+    hits = f"element_at(transform(array(upper({text})), u -> {hit}), 1)"
+    return F.expr(f"CASE WHEN {text} IS NOT NULL THEN coalesce({hits}, upper(try_element_at({classes}, 1))) END")
 
 
 def task_label_sql(text: str, task: str, specs) -> str:

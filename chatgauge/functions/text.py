@@ -1,6 +1,6 @@
 """Text helpers: value-to-text conversion, truthiness and token truncation."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,14 +65,22 @@ def _rest_sql(text: str, n: int) -> str:
     return f"coalesce(try_element_at(split(ltrim({BLANK_CHARS}, {text}), '{BLANKS}', {n + 1}), {n + 1}), '')"
 
 
+def _head_sql(text: str, rest: str) -> str:
+    return f"if({rest} = '', {text}, rtrim({BLANK_CHARS}, left({text}, length({text}) - length({rest}))))"
+
+
 def truncate_sql(text: str, n: int) -> str:
     """The text up to the end of its n-th blank-separated token, spacing kept.
 
     ``split`` stops after n pieces, so the tail of a long text is never cut up.
     """
-    body, rest = f"ltrim({BLANK_CHARS}, {text})", _rest_sql(text, n)
-    head = f"substring({body}, 1, length({body}) - length({rest}))"
-    return f"CASE WHEN {rest} = '' THEN {text} ELSE rtrim({BLANK_CHARS}, {head}) END"
+    return _head_sql(text, _rest_sql(text, n))
+
+
+def truncated(df: DataFrame, column: str, n: int) -> DataFrame:
+    """Truncate a column of a table; each text is split only once."""
+    staged = df.selectExpr("*", f"{_rest_sql(column, n)} AS _rest")
+    return staged.selectExpr(*[f"{_head_sql(c, '_rest')} AS {c}" if c == column else f"`{c}`" for c in df.columns])
 
 
 def truncate_tokens(text: str, n: int) -> Column:

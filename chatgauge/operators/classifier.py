@@ -26,16 +26,23 @@ def fit_label_model(rows: DataFrame, classes, features=1 << 16, iterations=20) -
     """
     number = f"CAST(array_position({literal(clean_classes(classes))}, label) - 1 AS DOUBLE) AS label_no"
     numbered = rows.selectExpr("prompt", number).where("label_no >= 0")
-    stages = [
+    counting = PipelineModel([
         RegexTokenizer(inputCol="prompt", outputCol="words", pattern=r"[^\p{L}\p{N}_]+"),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
+    ])
+    weighing = Pipeline(stages=[
         IDF(inputCol="counts", outputCol="features"),
         LogisticRegression(
             featuresCol="features", labelCol="label_no", predictionCol="predicted_no",
             maxIter=iterations, regParam=0.01, aggregationDepth=3,
         ),
-    ]
-    return Pipeline(stages=stages).fit(numbered)
+    ])
+    # the weights and the solver pass over the counts several times: tokenise once
+    counts = counting.transform(numbered).select("counts", "label_no").persist()
+    try:
+        return PipelineModel(counting.stages + weighing.fit(counts).stages)
+    finally:
+        counts.unpersist()
 
 
 def predict_labels(model: PipelineModel, rows: DataFrame, classes) -> DataFrame:

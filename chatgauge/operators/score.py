@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions.chat import answer_sql, asked_sql, before_answer_sql, prompt_sql
 from ..functions.labels import task_label_sql
-from ..functions.text import truncate_sql
+from ..functions.text import truncated
 from ..schema import PROMPT_TOKENS
 
 Predictor = Callable[[List[str]], List[str]]
@@ -28,8 +28,8 @@ def prepare(examples: DataFrame, specs, max_tokens=PROMPT_TOKENS, hide_answer=Fa
     texts = examples.selectExpr("task", "example_id", "messages", f"nullif({answer_sql('messages')}, '') AS answer").selectExpr(
         "task", "example_id", "answer", f"if(answer IS NULL, NULL, {prompt_sql(asked)}) AS prompt"
     )
-    prompt = truncate_sql("prompt", max_tokens) if max_tokens else "prompt"
-    return texts.selectExpr("task", "example_id", f"{task_label_sql('answer', 'task', specs)} AS expected", f"{prompt} AS prompt")
+    labelled = texts.selectExpr("task", "example_id", f"{task_label_sql('answer', 'task', specs)} AS expected", "prompt")
+    return truncated(labelled, "prompt", max_tokens) if max_tokens else labelled
 
 
 def respond(prepared: DataFrame, factory: Callable[[], Predictor]) -> DataFrame:

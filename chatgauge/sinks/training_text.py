@@ -3,13 +3,13 @@
 from pyspark.sql import DataFrame
 
 from ..functions.chat import chat_sql
-from ..functions.text import truncate_sql
+from ..functions.text import truncated
 
 
 def training_text(examples: DataFrame, max_tokens=None) -> DataFrame:
     """Render ``messages``; with ``max_tokens`` each text is cut after that many."""
     texts = examples.selectExpr(f"{chat_sql('messages')} AS text")
-    return texts.selectExpr(f"{truncate_sql('text', max_tokens)} AS text") if max_tokens else texts
+    return truncated(texts, "text", max_tokens) if max_tokens else texts
 
 
 def write_training_text(examples: DataFrame, path, format="parquet", max_tokens=None, mode="errorifexists"):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.chat import turn_sql
 from ..functions.expr import literal
 from ..functions.labels import clean_classes, names_class_sql, search_order, task_label_sql
-from ..functions.text import truncate_sql
+from ..functions.text import truncated
 from ..operators.limits import head_n_per_task
 from ..schema import ANSWER_OPEN, MESSAGES, PROMPT_TOKENS
 
@@ -63,25 +63,31 @@ def prompts_from_turns(turns: DataFrame, max_tokens=PROMPT_TOKENS) -> DataFrame:
     brings more than max_tokens tokens along.  The open assistant turn stands in for
     the dropped last turn.
     """
-    turn_cap = max_tokens // 2 + 1
+    ends = turns.groupBy("conv_id").agg(F.expr("max(turn) AS end"))
+    return _join_pieces(_first_pieces(turns, ["conv_id"], max_tokens).join(ends, "conv_id"), ["conv_id"], max_tokens)
+
+
+def _first_pieces(turns, keys, max_tokens, extra=()):
+    """The rendered first turns of every chat, as many as a prompt can show."""
     salts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ends = turns.groupBy("conv_id").agg(F.max("turn").alias("end"))
-    rendered = turns.selectExpr("conv_id", "turn", f"{turn_sql('role', 'text')} AS piece")
-    early = rendered.selectExpr(
-        "conv_id", "turn", f"{truncate_sql('piece', max_tokens)} AS piece", f"pmod(turn, {salts}) AS salt"
-    )
+    rendered = turns.selectExpr(*keys, *extra, "turn", f"pmod(turn, {salts}) AS salt", f"{turn_sql('role', 'text')} AS piece")
+    early = truncated(rendered, "piece", max_tokens)
     # ranked per salt first, so that a huge chat's turns do not meet in one task
-    for keys in (["conv_id", "salt"], ["conv_id"]):
-        rank = F.row_number().over(W.partitionBy(*keys).orderBy("turn"))
-        early = early.withColumn("rank", rank).where(F.col("rank") <= turn_cap).drop("rank")
+    for group in ([*keys, "salt"], keys):
+        rank = F.row_number().over(W.partitionBy(*group).orderBy("turn"))
+        early = early.withColumn("rank", rank).where(F.col("rank") <= max_tokens // 2 + 1).drop("rank")
+    return early
+
+
+def _join_pieces(early, keys, max_tokens):
     shown = f"if(turn = end, {literal(ANSWER_OPEN)}, piece) AS piece"
     texts = (
-        early.join(ends, "conv_id")
-        .groupBy("conv_id")
+        early.groupBy(*keys)
+        # at most max_tokens / 2 + 1 entries
         .agg(F.expr(f"array_sort(collect_list(struct(turn, {shown}))) AS pieces"))
-        .selectExpr("conv_id", "array_join(transform(pieces, p -> p.piece), '\\n') AS prompt")
+        .selectExpr(*keys, "array_join(transform(pieces, p -> p.piece), '\\n') AS prompt")
     )
-    return texts.selectExpr("conv_id", f"{truncate_sql('prompt', max_tokens)} AS prompt")
+    return truncated(texts, "prompt", max_tokens)
 
 
 def label_chats(turns: DataFrame, classes) -> DataFrame:
@@ -128,16 +134,19 @@ def prepare_turns(turns: DataFrame, specs, max_tokens=PROMPT_TOKENS) -> DataFram
     ``turns`` carries a ``task`` column.  Each task's first ``max_test_samples`` chats
     are kept, by conv_id; chats without an answer stay with nulls.
     """
+    keys = ["task", "conv_id"]
     caps = {s.task: s.max_test_samples for s in specs}
-    chats = head_n_per_task(turns.select("task", "conv_id").distinct(), caps, order="conv_id")
+    chats = turns.groupBy(*keys).agg(
+        F.expr("max(turn) AS end"), F.expr("max(turn) FILTER (WHERE role = 'assistant') AS answer_turn")
+    )
+    chats = head_n_per_task(chats, caps, order="conv_id")
     # at most the sum of the caps; a hint only while that is a small table
     if sum(caps.values()) <= 100_000:
         chats = F.broadcast(chats)
-    kept = turns.join(chats, ["task", "conv_id"], "left_semi")
-    answers = answers_from_turns(kept)
-    tasks = kept.select("conv_id", "task").distinct()
-    scored = answers.join(tasks, "conv_id").join(prompts_from_turns(kept, max_tokens), "conv_id")
-    return scored.selectExpr("task", "conv_id AS example_id", "nullif(expected, '') AS answer", "prompt").selectExpr(
-        "task", "example_id", f"{task_label_sql('answer', 'task', specs)} AS expected",
+    kept = turns.join(chats, keys)
+    answers = kept.where("turn = answer_turn").selectExpr(*keys, "nullif(text, '') AS answer")
+    prompts = _join_pieces(_first_pieces(kept, keys, max_tokens, ["end"]), keys, max_tokens)
+    return prompts.join(answers, keys, "left").selectExpr(
+        "task", "conv_id AS example_id", f"{task_label_sql('answer', 'task', specs)} AS expected",
         "if(answer IS NULL, NULL, prompt) AS prompt",
     )

@@ -131,7 +131,7 @@ def test_prompt_before_answer_does_not_leak(spark):
 
 @pytest.mark.parametrize("text,n,kept,cut", [
     ("a b c", 3, "a b c", False), ("a b c ", 3, "a b c ", False), ("a  b\nc d", 3, "a  b\nc", True),
-    (" a b", 1, "a", True), ("", 2, "", False), ("  ", 1, "  ", False), ("one", 1, "one", False), (None, 2, None, False),
+    (" a b", 1, " a", True), ("", 2, "", False), ("  ", 1, "  ", False), ("one", 1, "one", False), (None, 2, None, False),
 ])
 def test_truncation(spark, text, n, kept, cut):
     df = spark.createDataFrame([(text,)], "t STRING")
