@@ -61,8 +61,13 @@ def is_filled_sql(x: str, dtype: T.DataType) -> str:
 
 
 def _rest_sql(text: str, n: int) -> str:
-    """What follows the n-th token, empty where nothing does."""
-    return f"coalesce(try_element_at(split(ltrim({BLANK_CHARS}, {text}), '{BLANKS}', {n + 1}), {n + 1}), '')"
+    """What follows the n-th token, empty where nothing does.
+
+    n + 1 tokens and the blanks between them take at least 2n + 1 bytes, so shorter
+    texts need no splitting.
+    """
+    after = f"try_element_at(split(ltrim({BLANK_CHARS}, {text}), '{BLANKS}', {n + 1}), {n + 1})"
+    return f"if(octet_length({text}) <= {2 * n}, '', coalesce({after}, ''))"
 
 
 def _head_sql(text: str, rest: str) -> str:

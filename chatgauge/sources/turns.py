@@ -54,39 +54,47 @@ def answers_from_turns(turns: DataFrame) -> DataFrame:
     return chats.join(texts, ["conv_id", "turn"], "left").select("conv_id", "n_turns", "expected")
 
 
-def prompts_from_turns(turns: DataFrame, max_tokens=PROMPT_TOKENS) -> DataFrame:
+def prompts_from_turns(turns: DataFrame, max_tokens=PROMPT_TOKENS, turns_per_part=TURNS_PER_PART) -> DataFrame:
     """(conv_id, prompt): prompt text without the last turn, cut after ``max_tokens``.
 
-    Every rendered turn starts a new token and has at least two (its marker and its
-    text), so the first ``max_tokens`` tokens lie within the first max_tokens/2 + 1
-    turns; the ranking keeps only those per chat before the shuffle, and no turn
-    brings more than max_tokens tokens along.  The open assistant turn stands in for
-    the dropped last turn.
+    The open assistant turn stands in for the dropped last turn.
     """
-    ends = turns.groupBy("conv_id").agg(F.expr("max(turn) AS end"))
-    return _join_pieces(_first_pieces(turns, ["conv_id"], max_tokens).join(ends, "conv_id"), ["conv_id"], max_tokens)
+    ends = turns.groupBy("conv_id").agg(F.expr("min(turn) AS start"), F.expr("max(turn) AS end"))
+    return _prompts(turns, ends, ["conv_id"], max_tokens, turns_per_part)
+
 
+def _prompts(turns, ends, keys, max_tokens, turns_per_part):
+    """Prompts by chat; ``ends`` holds the first and last turn number of each chat.
 
-def _first_pieces(turns, keys, max_tokens, extra=()):
-    """The rendered first turns of every chat, as many as a prompt can show."""
+    Every rendered turn starts a new token and has at least two (its marker and its
+    text), so max_tokens tokens lie within the first max_tokens/2 + 1 turns, and no
+    turn needs to bring more than max_tokens tokens along.  Texts are shuffled once,
+    by (chat, part).  A chat of one part is finished right there; only the parts of
+    long chats move on, ranked per salt first so that no chat floods a task.
+    """
+    size, cap = int(turns_per_part), max_tokens // 2 + 1
     salts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rendered = turns.selectExpr(*keys, *extra, "turn", f"pmod(turn, {salts}) AS salt", f"{turn_sql('role', 'text')} AS piece")
-    early = truncated(rendered, "piece", max_tokens)
-    # ranked per salt first, so that a huge chat's turns do not meet in one task
+    rendered = turns.selectExpr(*keys, f"turn DIV {size} AS part", "turn", f"{turn_sql('role', 'text')} AS piece")
+    parts = (
+        truncated(rendered, "piece", max_tokens)
+        .groupBy(*keys, "part")
+        .agg(F.expr("array_sort(collect_list(struct(turn, piece))) AS pieces"))
+        .selectExpr(*keys, "part", f"slice(pieces, 1, {cap}) AS pieces")
+    )
+    # matches the last part of each chat only, on a key as even as the parts
+    last = ends.selectExpr(*keys, f"end DIV {size} AS part", f"start DIV {size} AS first_part", "end")
+    parts = parts.join(last, [*keys, "part"], "left")
+    alone = "first_part <=> part"
+    short = parts.where(alone).select(*keys, "pieces", "end")
+    early = parts.where(f"NOT ({alone})").selectExpr(*keys, "part", f"pmod(part, {salts}) AS salt", "pieces", "end")
     for group in ([*keys, "salt"], keys):
-        rank = F.row_number().over(W.partitionBy(*group).orderBy("turn"))
-        early = early.withColumn("rank", rank).where(F.col("rank") <= max_tokens // 2 + 1).drop("rank")
-    return early
-
-
-def _join_pieces(early, keys, max_tokens):
-    shown = f"if(turn = end, {literal(ANSWER_OPEN)}, piece) AS piece"
-    texts = (
-        early.groupBy(*keys)
-        # at most max_tokens / 2 + 1 entries
-        .agg(F.expr(f"array_sort(collect_list(struct(turn, {shown}))) AS pieces"))
-        .selectExpr(*keys, "array_join(transform(pieces, p -> p.piece), '\\n') AS prompt")
+        rank = F.row_number().over(W.partitionBy(*group).orderBy("part"))
+        early = early.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")
+    long = early.groupBy(*keys).agg(
+        F.expr(f"slice(array_sort(flatten(collect_list(pieces))), 1, {cap}) AS pieces"), F.expr("max(end) AS end")
     )
+    shown = f"transform(pieces, p -> if(p.turn <=> end, {literal(ANSWER_OPEN)}, p.piece))"
+    texts = short.unionByName(long).selectExpr(*keys, f"array_join({shown}, '\\n') AS prompt")
     return truncated(texts, "prompt", max_tokens)
 
 
@@ -137,15 +145,16 @@ def prepare_turns(turns: DataFrame, specs, max_tokens=PROMPT_TOKENS) -> DataFram
     keys = ["task", "conv_id"]
     caps = {s.task: s.max_test_samples for s in specs}
     chats = turns.groupBy(*keys).agg(
-        F.expr("max(turn) AS end"), F.expr("max(turn) FILTER (WHERE role = 'assistant') AS answer_turn")
+        F.expr("min(turn) AS start"), F.expr("max(turn) AS end"),
+        F.expr("max(turn) FILTER (WHERE role = 'assistant') AS answer_turn"),
     )
     chats = head_n_per_task(chats, caps, order="conv_id")
     # at most the sum of the caps; a hint only while that is a small table
-    if sum(caps.values()) <= 100_000:
-        chats = F.broadcast(chats)
-    kept = turns.join(chats, keys)
-    answers = kept.where("turn = answer_turn").selectExpr(*keys, "nullif(text, '') AS answer")
-    prompts = _join_pieces(_first_pieces(kept, keys, max_tokens, ["end"]), keys, max_tokens)
+    chosen = F.broadcast(chats) if sum(caps.values()) <= 100_000 else chats
+    kept = turns.join(chosen.select(*keys), keys, "left_semi")
+    answered = chosen.selectExpr(*keys, "answer_turn AS turn")
+    answers = turns.join(answered, [*keys, "turn"]).selectExpr(*keys, "nullif(text, '') AS answer")
+    prompts = _prompts(kept, chats.select(*keys, "start", "end"), keys, max_tokens, TURNS_PER_PART)
     return prompts.join(answers, keys, "left").selectExpr(
         "task", "conv_id AS example_id", f"{task_label_sql('answer', 'task', specs)} AS expected",
         "if(answer IS NULL, NULL, prompt) AS prompt",

@@ -166,8 +166,10 @@ def test_answers_and_prompts_equal_those_of_whole_chats(spark):
     ).collect()
     found = {r["conv_id"]: r["expected"] for r in answers_from_turns(df).collect()}
     assert found == {r["conv_id"]: r["expected"] for r in whole}
-    for n in (1, 2, 7, 30, 5000):
-        prompts = {r["conv_id"]: r["prompt"] for r in prompts_from_turns(df, n).collect()}
+    for n, size in ((1, 1), (2, 4096), (7, 3), (30, 4), (30, 4096), (5000, 5), (5000, 4096)):
+        rows = prompts_from_turns(df, n, size).collect()
+        prompts = {r["conv_id"]: r["prompt"] for r in rows}
+        assert len(rows) == len(prompts) == len(whole)
         for r in whole:
             tokens = r["prompt"].split()
             if len(tokens) <= n:
