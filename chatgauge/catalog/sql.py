@@ -55,7 +55,7 @@ per AS (
 
 def per_class(scored, tasks):
     return class_table(scored, tasks) + f"""
-SELECT per.task, label, pos, samples, {ratio('tp', 'samples')} AS accuracy, tp, fp, fn
+SELECT per.task, label, pos, samples, tp AS correct, {ratio('tp', 'samples')} AS accuracy, tp, fp, fn
 FROM per JOIN spec USING (task) WHERE kind = 'multiclass' OR samples > 0"""
 
 

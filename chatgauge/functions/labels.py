@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 from .expr import literal
 
-BEFORE = r"(^|[^\p{L}\p{N}_])"
-AFTER = r"($|[^\p{L}\p{N}_])"
+# The name is searched first and its surroundings are looked at only where it occurs.
+# U+10400 is a letter and so changes nothing in the first class, but with a character
+# beyond 16 bits in it Java looks back by whole characters, not by halves of a pair.
+BEHIND = ("(?<=(?:^|[^\\p{L}\\p{N}_\U00010400])\\Q", "\\E)")
+AFTER = "(?:$|[^\\p{L}\\p{N}_])"
 
 
 def clean_classes(classes) -> tuple:
@@ -38,7 +41,7 @@ def search_order(classes) -> list:
 def names_class_sql(upper_text: str, name: str) -> str:
     """Whether the upper-cased text holds ``name`` as a whole word."""
     # the byte search is far cheaper than the pattern and rules out most texts
-    pattern = BEFORE + "\\Q" + name + "\\E" + AFTER
+    pattern = f"\\Q{name}\\E{BEHIND[0]}{name}{BEHIND[1]}{AFTER}"
     return f"(contains({upper_text}, {literal(name)}) AND {upper_text} RLIKE {literal(pattern)})"
 
 
@@ -57,7 +60,7 @@ def extract_label(text: str, classes) -> Column:
 
 def extract_label_by_row(text: str, classes: str) -> Column:
     """Label of each text where every row brings its own class list."""
-    pattern = f"concat({literal(BEFORE)}, '\\\\Q', c, '\\\\E', {literal(AFTER)})"
+    pattern = f"concat('\\\\Q', c, '\\\\E', {literal(BEHIND[0])}, c, {literal(BEHIND[1] + AFTER)})"
     ordered = f"array_sort(transform({classes}, c -> upper(c)), (a, b) -> length(b) - length(a))"
     hit = f"try_element_at(filter({ordered}, c -> contains(u, c) AND u RLIKE {pattern}), 1)"
     # the one-element array gives the upper-cased text a name, so it is made once per row

@@ -46,7 +46,7 @@ def class_counts(counts: DataFrame) -> DataFrame:
 
 
 def per_class_report(counts: DataFrame, specs) -> DataFrame:
-    """(task, label, pos, samples, accuracy, tp, fp, fn): configured classes of every task.
+    """(task, label, pos, samples, correct, accuracy, tp, fp, fn): configured classes of every task.
 
     Multiclass tasks list all their classes, seen or not; binary tasks only those
     seen as ground truth.
@@ -56,7 +56,7 @@ def per_class_report(counts: DataFrame, specs) -> DataFrame:
     cells = [f"coalesce({c}, 0L) AS {c}" for c in ("samples", "tp", "fp", "fn")]
     table = listed.join(found, ["task", "label"], "left").selectExpr("task", "task_type", "label", "pos", *cells)
     return table.where(f"NOT {BINARY} OR samples > 0").selectExpr(
-        "task", "label", "pos", "samples", f"{ratio_sql('tp', 'samples')} AS accuracy", "tp", "fp", "fn"
+        "task", "label", "pos", "samples", "tp AS correct", f"{ratio_sql('tp', 'samples')} AS accuracy", "tp", "fp", "fn"
     )
 
 

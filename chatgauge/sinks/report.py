@@ -16,7 +16,7 @@ def build_report(metrics: DataFrame, per_class: DataFrame, benchmarks: DataFrame
     ``benchmarks`` is (task, base_model, …): every further column goes into the
     card's ``benchmark`` part.
     """
-    counts = "struct(label, struct(samples, accuracy, tp, fp, fn) AS counts)"
+    counts = "struct(label, struct(samples, correct, accuracy, tp, fp, fn) AS counts)"
     classes = (
         rounded(per_class)
         .groupBy("task")

@@ -83,10 +83,11 @@ def test_labels(spark, text, classes, expected):
 
 def test_labels_of_random_texts_agree_with_python(spark):
     rng = random.Random(3)
-    bits = ["HIGH", "low", "Medium", "critical", "_", " ", "-", "é", "1", "x", "\n", "Ⅷ", "ß", "。", "İ"]
-    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 8))) for _ in range(2000)]
-    rows = spark.createDataFrame([(t,) for t in texts], "t STRING").select("t", extract_label("t", CVE).alias("l")).collect()
-    assert [(r["t"], r["l"]) for r in rows if r["l"] != python_label(r["t"], CVE)] == []
+    bits = ["HIGH", "low", "Medium", "critical", "_", " ", "-", "é", "1", "x", "\n", "Ⅷ", "ß", "。", "İ", "\U0001d400", "\U0001f600", "\u0301"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randint(1, 8))) for _ in range(4000)]
+    rows = spark.createDataFrame([(t, CVE) for t in texts], "t STRING, c ARRAY<STRING>").select(
+        "t", extract_label("t", CVE).alias("l"), extract_label_by_row("t", "c").alias("m")).collect()
+    assert [tuple(r) for r in rows if {r["l"], r["m"]} != {python_label(r["t"], CVE)}] == []
 
 
 def test_null_text_has_no_label(spark):
