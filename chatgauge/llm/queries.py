@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import weak_rules
+from . import apportion, packing, sql, weak_rules
 
 QUERIES, ORACLES = {}, {}
 
@@ -28,3 +28,14 @@ def op3_weak_rules(spark, sf_dir):
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         F.round("posterior", 6).alias("posterior"), *weak_rules.VOTES,
     )
+
+
+@query(sql.MIX)
+def op7_sainte_lague(spark, sf_dir):
+    mixed = apportion.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
+
+
+@query()
+def op1_length_buckets(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
