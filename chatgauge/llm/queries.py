@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import apportion, packing, sql, weak_rules
+from . import apportion, boosted, packing, simhash_bk, sql, weak_rules
 
 QUERIES, ORACLES = {}, {}
 
@@ -39,3 +39,14 @@ def op7_sainte_lague(spark, sf_dir):
 @query()
 def op1_length_buckets(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_simhash_bktree(spark, sf_dir):
+    found = simhash_bk.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash_bk.hex_of(F.col("fp")).alias("fingerprint"), "component_id", "component_size")
+
+
+@query()
+def op10_boosted_trees(spark, sf_dir):
+    return boosted.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
