@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import apportion, boosted, packing, simhash_bk, sql, weak_rules
+from . import apportion, boosted, factor, gru, packing, simhash_bk, sql, weak_rules
 
 QUERIES, ORACLES = {}, {}
 
@@ -50,3 +50,13 @@ def op4_simhash_bktree(spark, sf_dir):
 @query()
 def op10_boosted_trees(spark, sf_dir):
     return boosted.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op5_factor_machine(spark, sf_dir):
+    return factor.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op8_byte_gru(spark, sf_dir):
+    return gru.languages(table(spark, sf_dir, "documents"))
