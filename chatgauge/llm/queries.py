@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import apportion, boosted, factor, gru, packing, simhash_bk, sql, weak_rules
+from . import apportion, boosted, factor, gru, packing, simhash_bk, sketch, sql, weak_rules
 
 QUERIES, ORACLES = {}, {}
 
@@ -60,3 +60,8 @@ def op5_factor_machine(spark, sf_dir):
 @query()
 def op8_byte_gru(spark, sf_dir):
     return gru.languages(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_scaled_sketch(spark, sf_dir):
+    return sketch.fingerprint_neighbours(table(spark, sf_dir, "documents"))
