@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import apportion, boosted, factor, gru, packing, simhash_bk, sketch, sql, weak_rules
+from . import apportion, boosted, factor, gru, packing, simhash_bk, sketch, sql, templates, weak_rules
 
 QUERIES, ORACLES = {}, {}
 
@@ -65,3 +65,9 @@ def op8_byte_gru(spark, sf_dir):
 @query()
 def op6_scaled_sketch(spark, sf_dir):
     return sketch.fingerprint_neighbours(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_path_templates(spark, sf_dir):
+    judged = templates.filter_urls(table(spark, sf_dir, "pages"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("share", 6).alias("share"))
