@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import apportion, boosted, factor, gru, packing, simhash_bk, sketch, sql, templates, weak_rules
+from . import apportion, backoff, boosted, factor, gru, packing, simhash_bk, sketch, sql, templates, weak_rules
 
 QUERIES, ORACLES = {}, {}
 
@@ -71,3 +71,9 @@ def op6_scaled_sketch(spark, sf_dir):
 def op9_path_templates(spark, sf_dir):
     judged = templates.filter_urls(table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict", "template", F.round("share", 6).alias("share"))
+
+
+@query(sql.BACKOFF)
+def op2_stupid_backoff(spark, sf_dir):
+    scored = backoff.scores(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("per_word", 6).alias("per_word"))

@@ -53,3 +53,17 @@ SELECT doc_id, size, source_size, round(target, 6) AS target,
   CAST(whole * size + greatest(0, least(stop, high1) - greatest(stop - size, low1))
     + greatest(0, least(stop, high2) - (stop - size)) AS BIGINT) AS taken
 FROM streamed JOIN spans USING (place, shard)"""
+
+BACKOFF = r"""
+WITH texts AS (
+  SELECT doc_id, row_number() OVER () AS id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+places AS (SELECT id, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM texts)),
+words AS (SELECT c, count(*) AS n FROM places GROUP BY c),
+pairs AS (SELECT b, c, count(*) AS n FROM places WHERE b IS NOT NULL GROUP BY b, c HAVING count(*) >= 2),
+scored AS (
+  SELECT id, sum(CASE WHEN p.b IS NULL THEN ln(w.n / (SELECT sum(n) FROM words))
+    WHEN pairs.n IS NOT NULL THEN ln(pairs.n / f.n) ELSE ln(0.4::DOUBLE * w.n / (SELECT sum(n) FROM words)) END) AS score
+  FROM places p JOIN words w ON w.c = p.c LEFT JOIN words f ON f.c = p.b LEFT JOIN pairs ON pairs.b = p.b AND pairs.c = p.c
+  GROUP BY id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(score, 0), 4) AS score, round(score / nullif(len(w), 0), 6) AS per_word
+FROM texts LEFT JOIN scored USING (id)"""
