@@ -8,7 +8,8 @@ A text's sum splits into one number per word, log(0.4 n(c) / N), and one per kno
 log(n(b c) / n(b)) - log(0.4 n(c) / N), so texts are scored by joining their exploded
 distinct words and pairs (with their number of occurrences) to one table of values, and
 summing. Words are 64-bit hashes; pairs are counted by both words and looked up by a
-combination of their hashes.
+combination of their hashes. The COMMON commonest words and pairs (a fixed number) are
+broadcast and summed where the text is read, so no key that most texts share is shuffled.
 
 Both tables and exploded rows are cut into slices by a hash of the key. Each slice is one
 pass over the texts and its results are written before the next begins, so what lies on disk
@@ -23,6 +24,7 @@ do not matter.
 import functools
 import gc
 import math
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import SPACES, cut, mix, short_batches, signed, span_hashes, steps, tokens, word_count
 
 BACKOFF, LEAST = 0.4, 2
-COUNT_SLICES, SCORE_SLICES = 2, 3
+COUNT_SLICES, SCORE_SLICES = 2, 2
+COMMON = 1 << 16
 
 
 def grams(texts):
@@ -95,7 +98,7 @@ def _apart(tables):
 
 
 def value_table(docs: DataFrame, slices=COUNT_SLICES) -> DataFrame:
-    """(key, value) of every word and every known pair of the corpus."""
+    """(key, n, value) of every word and every known pair of the corpus."""
     spark = docs.sparkSession
     counts = []
     for k in range(slices):
@@ -105,44 +108,62 @@ def value_table(docs: DataFrame, slices=COUNT_SLICES) -> DataFrame:
     words = table.where("c = 0").selectExpr("b AS word", "n AS of_word")
     total = words.agg(F.sum("of_word")).first()[0]
     if not total:
-        return words.selectExpr("word AS key", "0D AS value")
+        return words.selectExpr("word AS key", "of_word AS n", "0D AS value")
     rare = f"ln({BACKOFF}D * of_word / {total}D)"
     first = words.selectExpr("word AS b", "of_word AS of_b")
     known = table.where("c <> 0").join(first, "b").join(words.withColumnRenamed("word", "c"), "c").selectExpr(
-        f"{KEY} AS key", f"ln(n / of_b) - {rare} AS value"
+        f"{KEY} AS key", "n", f"ln(n / of_b) - {rare} AS value"
     )
-    return cut(words.selectExpr("word AS key", f"{rare} AS value").unionAll(known))
+    return cut(words.selectExpr("word AS key", "of_word AS n", f"{rare} AS value").unionAll(known))
 
 
 def _release(spark):
     """Let go of a finished slice's shuffle files now, not at some later collection of garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
-def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES) -> DataFrame:
+def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON) -> DataFrame:
     """(text_key, total): sum of values over the words and pairs of all rows with that key."""
     spark, parts = docs.sparkSession, []
     keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("text_key"))
+    top = values.orderBy(F.desc("n"), "key").limit(common).select("key", "value").toArrow()
+    order = np.argsort(top.column(0).to_numpy().view(np.uint64))
+    known = top.column(0).to_numpy().view(np.uint64)[order], top.column(1).to_numpy()[order]
+    shared = spark.sparkContext.broadcast(known)  # at most ``common`` numbers and values
     for which in range(slices):
 
         def run(batches, which=which):
+            keys, worth = shared.value
             for batch in batches:
+                n_rows = batch.num_rows
                 row, b, c = _gathered(batch.column(0))
                 key = _key(b, c)
                 inside = mix(key) % np.uint64(slices) == which
                 row, key = row[inside], key[inside]
+                at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+                hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
+                here = np.bincount(row[hit], weights=worth[at[hit]], minlength=n_rows) if len(keys) else np.zeros(n_rows)
+                row, key = row[~hit], key[~hit]
                 order = np.lexsort((key, row))
                 row, key = row[order], key[order]
                 at = _runs(row, key) if len(key) else np.zeros(0, np.int64)
                 n = np.diff(np.append(at, len(key))).astype(np.int32)
-                owner = batch.column(1).to_numpy()[row[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(signed(key[at])), pa.array(n)], ["text_key", "key", "n"])
-
-        rows = keyed.mapInArrow(run, "text_key long, key long, n int")
+                owner = batch.column(1).to_numpy()
+                # the sum of the common ones is a row of its own: its key is the text's, its number zero
+                columns = (
+                    np.concatenate([owner, owner[row[at]]]), np.concatenate([owner, signed(key[at])]),
+                    np.concatenate([np.zeros(n_rows, np.int32), n]), np.concatenate([here, np.zeros(len(at))]),
+                )
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["text_key", "key", "times", "here"])
+
+        rows = keyed.mapInArrow(run, "text_key long, key long, times int, here double")
         # the table's slice is spread like the rows: every task hashes its part of it
-        joined = rows.join(values.hint("shuffle_hash"), "key")
-        parts.append(cut(joined.groupBy("text_key").agg(F.sum(F.col("n") * F.col("value")).alias("total"))))
+        joined = rows.join(values.select("key", "value").hint("shuffle_hash"), "key", "left")
+        total = F.sum(F.col("here") + F.col("times") * F.coalesce("value", F.lit(0.0)))
+        parts.append(cut(joined.groupBy("text_key").agg(total.alias("total"))))
         _release(spark)
     return _apart(parts).groupBy("text_key").agg(F.sum("total").alias("total"))
 
