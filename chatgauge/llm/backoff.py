@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, cut, mix, short_batches, signed, span_hashes, steps, tokens, word_count
+from .common import SPACES, mix, short_batches, signed, span_hashes, steps, stored, tokens, word_count
 
 BACKOFF, LEAST = 0.4, 2
 COUNT_SLICES, SCORE_SLICES = 2, 2
@@ -83,7 +83,7 @@ def counted(docs: DataFrame, n_slices: int, which: int) -> DataFrame:
             _, b, c = _gathered(batch.column(0))
             inside = mix(_key(b, c)) % np.uint64(n_slices) == which
             b, c = b[inside], c[inside]
-            order = np.lexsort((c, b))
+            order = np.argsort(_key(b, c))
             b, c = b[order], c[order]
             at = _runs(b, c) if len(b) else np.zeros(0, np.int64)
             n = np.diff(np.append(at, len(b))).astype(np.int32)
@@ -102,7 +102,7 @@ def value_table(docs: DataFrame, slices=COUNT_SLICES) -> DataFrame:
     spark = docs.sparkSession
     counts = []
     for k in range(slices):
-        counts.append(cut(counted(docs, slices, k)))
+        counts.append(stored(counted(docs, slices, k)))
         _release(spark)
     table = _apart(counts)
     words = table.where("c = 0").selectExpr("b AS word", "n AS of_word")
@@ -114,7 +114,7 @@ def value_table(docs: DataFrame, slices=COUNT_SLICES) -> DataFrame:
     known = table.where("c <> 0").join(first, "b").join(words.withColumnRenamed("word", "c"), "c").selectExpr(
         f"{KEY} AS key", "n", f"ln(n / of_b) - {rare} AS value"
     )
-    return cut(words.selectExpr("word AS key", "of_word AS n", f"{rare} AS value").unionAll(known))
+    return stored(words.selectExpr("word AS key", "of_word AS n", f"{rare} AS value").unionAll(known))
 
 
 def _release(spark):
@@ -147,7 +147,7 @@ def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON)
                 hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
                 here = np.bincount(row[hit], weights=worth[at[hit]], minlength=n_rows) if len(keys) else np.zeros(n_rows)
                 row, key = row[~hit], key[~hit]
-                order = np.lexsort((key, row))
+                order = np.argsort(key ^ mix(row.astype(np.uint64)))
                 row, key = row[order], key[order]
                 at = _runs(row, key) if len(key) else np.zeros(0, np.int64)
                 n = np.diff(np.append(at, len(key))).astype(np.int32)
@@ -163,7 +163,8 @@ def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON)
         # the table's slice is spread like the rows: every task hashes its part of it
         joined = rows.join(values.select("key", "value").hint("shuffle_hash"), "key", "left")
         total = F.sum(F.col("here") + F.col("times") * F.coalesce("value", F.lit(0.0)))
-        parts.append(cut(joined.groupBy("text_key").agg(total.alias("total"))))
+        parts.append(stored(joined.groupBy("text_key").agg(total.alias("total"))))
+        del rows, joined
         _release(spark)
     return _apart(parts).groupBy("text_key").agg(F.sum("total").alias("total"))
 
