@@ -36,6 +36,8 @@ from .common import SPACES, mix, short_batches, signed, span_hashes, steps, stor
 BACKOFF, LEAST = 0.4, 2
 COUNT_SLICES, SCORE_SLICES = 2, 2
 COMMON = 1 << 16
+#: Rows of a batch: the more, the more equal pairs meet before the shuffle.
+ROWS = 4000
 
 
 def grams(texts):
@@ -151,6 +153,9 @@ def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON)
                 row, key = row[order], key[order]
                 at = _runs(row, key) if len(key) else np.zeros(0, np.int64)
                 n = np.diff(np.append(at, len(key))).astype(np.int32)
+                # in the order of texts again: their keys then take little room in the shuffle
+                order = np.argsort(row[at].astype(np.uint16 if n_rows < 65536 else np.int64), kind="stable")
+                at, n = at[order], n[order]
                 owner = batch.column(1).to_numpy()
                 # the sum of the common ones is a row of its own: its key is the text's, its number zero
                 columns = (
@@ -171,7 +176,7 @@ def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON)
 
 def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, score, per_word) for every row of ``docs``."""
-    short_batches(docs.sparkSession)
+    short_batches(docs.sparkSession, ROWS)
     found = sums(docs, value_table(docs))
     rows = docs.select("doc_id", word_count(F.col("text")).alias("n_words"), F.xxhash64("doc_id", "text").alias("text_key"))
     # equal rows were summed together
