@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, mix, short_batches, signed, span_hashes, steps, stored, tokens, word_count
+from .common import SPACES, mix, short_batches, signed, span_hashes, steps, stored, tokens
 
 BACKOFF, LEAST = 0.4, 2
 COUNT_SLICES, SCORE_SLICES = 2, 2
@@ -128,7 +128,7 @@ def _release(spark):
 
 
 def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON) -> DataFrame:
-    """(text_key, total): sum of values over the words and pairs of all rows with that key."""
+    """(text_key, words, total): words, and sum of values of words and pairs, over all rows with that key."""
     spark, parts = docs.sparkSession, []
     keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("text_key"))
     top = values.orderBy(F.desc("n"), "key").limit(common).select("key", "value").toArrow()
@@ -142,6 +142,7 @@ def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON)
             for batch in batches:
                 n_rows = batch.num_rows
                 row, b, c = _gathered(batch.column(0))
+                words = np.bincount(row[c == 0], minlength=n_rows) * (which == 0)
                 key = _key(b, c)
                 inside = mix(key) % np.uint64(slices) == which
                 row, key = row[inside], key[inside]
@@ -157,31 +158,33 @@ def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON)
                 order = np.argsort(row[at].astype(np.uint16 if n_rows < 65536 else np.int64), kind="stable")
                 at, n = at[order], n[order]
                 owner = batch.column(1).to_numpy()
-                # the sum of the common ones is a row of its own: its key is the text's, its number zero
+                # what is known here is a row of its own, whose key is that of the text
                 columns = (
                     np.concatenate([owner, owner[row[at]]]), np.concatenate([owner, signed(key[at])]),
-                    np.concatenate([np.zeros(n_rows, np.int32), n]), np.concatenate([here, np.zeros(len(at))]),
+                    np.concatenate([words.astype(np.int32), n]), np.concatenate([here, np.zeros(len(at))]),
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["text_key", "key", "times", "here"])
 
         rows = keyed.mapInArrow(run, "text_key long, key long, times int, here double")
         # the table's slice is spread like the rows: every task hashes its part of it
         joined = rows.join(values.select("key", "value").hint("shuffle_hash"), "key", "left")
-        total = F.sum(F.col("here") + F.col("times") * F.coalesce("value", F.lit(0.0)))
-        parts.append(stored(joined.groupBy("text_key").agg(total.alias("total"))))
+        parts.append(stored(joined.groupBy("text_key").agg(
+            F.expr("sum(if(key = text_key, times, 0)) AS words"),
+            F.expr("sum(here + if(key = text_key, 0, times) * coalesce(value, 0D)) AS total"),
+        )))
         del rows, joined
         _release(spark)
-    return _apart(parts).groupBy("text_key").agg(F.sum("total").alias("total"))
+    return _apart(parts).groupBy("text_key").agg(F.sum("words").alias("words"), F.sum("total").alias("total"))
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, score, per_word) for every row of ``docs``."""
     short_batches(docs.sparkSession, ROWS)
     found = sums(docs, value_table(docs))
-    rows = docs.select("doc_id", word_count(F.col("text")).alias("n_words"), F.xxhash64("doc_id", "text").alias("text_key"))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"))
     # equal rows were summed together
     times = rows.groupBy("text_key").agg(F.count("*").alias("times"))
-    shares = times.join(found, "text_key").selectExpr("text_key", "total / times AS share")
-    return rows.join(shares, "text_key", "left").selectExpr(
+    shares = times.join(found, "text_key").selectExpr("text_key", "words DIV times AS n_words", "total / times AS share")
+    return rows.join(shares, "text_key").selectExpr(
         "doc_id", "n_words", f"if(n_words = 0, 0D, share - {math.log(BACKOFF)!r}D) AS score",
     ).selectExpr("*", "if(n_words = 0, NULL, score / n_words) AS per_word")
