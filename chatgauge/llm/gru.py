@@ -219,3 +219,24 @@ def languages(docs: DataFrame, limit=SAMPLE) -> DataFrame:
     return identify(docs, learn(docs, limit)).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
     )
+
+
+def keep_recognised(docs: DataFrame, sure=0.4, limit=SAMPLE) -> DataFrame:
+    """The rows of ``docs`` (all its columns) whose language is recognised with at least ``sure``.
+
+    Rows pass through Python whole, so nothing is shuffled.
+    """
+    net = learn(docs, limit)
+    if net is None:
+        return docs.limit(0)
+    letters = docs.select(F.struct(*docs.columns).alias("kept_row"), "text", F.col("text").rlike(r"\p{L}").alias("has_letter"))
+
+    def run(batches):
+        for batch in batches:
+            p = pooled(net, batch.column(1)).max(1)
+            good = batch.column(2).fill_null(False).to_numpy(zero_copy_only=False).astype(bool) & (p >= sure)
+            rows = batch.column(0).filter(pa.array(good))
+            yield pa.RecordBatch.from_arrays(rows.flatten(), docs_names)
+
+    docs_names = docs.columns
+    return letters.mapInArrow(run, docs.schema)

@@ -38,15 +38,16 @@ def _removed(pattern):
     return f"CAST(length(regexp_replace(body, '{pattern}', '')) AS BIGINT)"
 
 
-def statistics(docs: DataFrame) -> DataFrame:
+def statistics(docs: DataFrame, keep=()) -> DataFrame:
     """The contract's counts and those that the rules need, without a shuffle.
 
     Windows of five words are 64-bit hashes inside the row. Only a text in which one
     recurs sorts them (with positions) to count the words that recurring windows cover.
+    ``keep`` names columns to carry along.
     """
-    bare = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    bare = docs.select("doc_id", *keep, F.coalesce("text", F.lit("")).alias("body"))
     split = bare.selectExpr(
-        "doc_id",
+        "doc_id", *keep,
         f"regexp_extract_all(body, r'{WORD}', 0) AS words",
         rf"{_removed('[^#*$%&|<>]+')} AS n_symbols",
         rf"{_removed(r'[^\\p{Lu}]+')} AS n_upper",
@@ -54,7 +55,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         rf"filter(split(body, '\\n'), l -> l RLIKE r'{WORD}') AS lines",
     )
     hashed = split.selectExpr(
-        "doc_id", "CAST(length(array_join(words, '')) AS BIGINT) AS word_chars", "n_symbols", "n_upper", "n_shouts",
+        "doc_id", *keep, "CAST(length(array_join(words, '')) AS BIGINT) AS word_chars", "n_symbols", "n_upper", "n_shouts",
         "CAST(size(words) AS BIGINT) AS n_words",
         "CAST(size(array_distinct(words)) AS BIGINT) AS n_distinct",
         "CAST(size(lines) AS BIGINT) AS n_lines",
@@ -179,3 +180,14 @@ def weak_quality(docs: DataFrame) -> DataFrame:
     """
     stats = cut(statistics(docs))
     return judge(stats, learn(votes(stats)))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` (all its columns) that are kept.
+
+    Statistics are made once for the vote counts and once more beside the rows: shuffling
+    whole texts to join verdicts back would cost more.
+    """
+    keyed = docs.select(F.struct(*docs.columns).alias("kept_row"), "doc_id", "text")
+    model = learn(votes(cut(statistics(docs))))
+    return judge(statistics(keyed, keep=("kept_row",)), model).where("kept").select("kept_row.*")
