@@ -190,4 +190,8 @@ def keep_good(docs: DataFrame) -> DataFrame:
     """
     keyed = docs.select(F.struct(*docs.columns).alias("kept_row"), "doc_id", "text")
     model = learn(votes(cut(statistics(docs))))
-    return judge(statistics(keyed, keep=("kept_row",)), model).where("kept").select("kept_row.*")
+    beside = statistics(keyed, keep=("kept_row",))
+    # behind a generator the filter can't be pushed down, which would repeat all expressions in it
+    numbers = F.struct(*[c for c in beside.columns if c not in ("doc_id", "kept_row")])
+    sealed = beside.select("kept_row", F.inline(F.array(numbers)))
+    return judge(sealed, model).where("kept").select("kept_row.*")
