@@ -113,7 +113,7 @@ def estimate(patterns, rounds=60):
     A rule sees one kind of junk and votes good on all others, so a single class of bad
     texts would let the commonest kind hide the rest. There is one latent kind per rule,
     started where that rule is mostly right (0.8) and the others seldom speak up (0.1).
-    Rules are taken to be wrong on at most 3 % of good texts and right on half of their own
+    Rules are taken to be wrong on at most 1 % of good texts and right on half of their own
     kind at least, which keeps the classes from changing places. Ten texts' worth of the
     starting rates are added to the counts. Votes not cast say nothing.
     """
@@ -136,7 +136,7 @@ def estimate(patterns, rounds=60):
         for k, first in enumerate(start):
             rates = [(bad[k][j] + 10 * first[j]) / (cast[k][j] + 10) for j in range(n_rules)]
             if k == 0:
-                rates = [min(0.03, r) for r in rates]
+                rates = [min(0.01, r) for r in rates]
             else:
                 rates[k - 1] = max(0.5, rates[k - 1])
             model.append(((size[k] + 1) / (total + len(start)), [min(0.999, max(0.0005, r)) for r in rates]))

@@ -1,0 +1,361 @@
+"""Every corpus operator against a brute-force version on small tables with awkward rows."""
+
+import base64
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from chatgauge.llm import (
+    apportion, backoff, boosted, common, factor, gru, packing, simhash_bk, sketch, templates, weak_rules,
+)
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, score double, bucket int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def texts():
+    rng = random.Random(5)
+    words = ["alpha", "beta", "gamma", "delta", "the", "of", "Zürich", "ñandú", "x1", "end."]
+    out = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(40)]
+    out += [None, "", " \t\n", "one", "one two", "a b c d", "!!! ???", "€ ß", "same text here " * 9, "same text here " * 9]
+    out += ["line one is here\nline one is here\nthird line", "w " * 3000, " ".join(f"u{i}" for i in range(3000)), "nul\x00byte \x0bvt"]
+    return out
+
+
+@pytest.fixture(scope="module")
+def rows():
+    out = [(i, t, ["en", "de", None][i % 3], ["a", "b", "c", None][i % 4], 0, 1, 0.5, 9) for i, t in enumerate(texts())]
+    return out + [out[3], out[3], (None, "no id at all", "en", "a", 0, 1, 0.5, 9), (7000, None, None, None, None, None, None, None)]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame(
+        [(i, i % 2, int(i % 3 == 0), "extra") for i in range(54)] + [(3, 1, 1, ""), (None, 1, 1, ""), (5, None, None, "")],
+        "doc_id long, quality int, toxic int, text string",
+    )
+
+
+def words_of(text):
+    return WORD.findall(text or "")
+
+
+def test_span_hashes_agree_with_words():
+    arr = pa.array(["a bb a", None, "", "bb", "x" * 5000 + " a"])
+    found = []
+    for low, high, data, offsets in common.steps(arr):
+        s, e, r = common.tokens(data, offsets, ~common.SPACES)
+        found += list(zip((r + low).tolist(), common.span_hashes(data, s, e).tolist()))
+    assert [r for r, _ in found] == [0, 0, 0, 3, 4, 4]
+    h = [x for _, x in found]
+    assert h[0] == h[2] == h[5] and h[1] == h[3] and len(set(h)) == 3
+
+
+def test_weak_rules_counts(docs, rows):
+    got = sorted(weak_rules.weak_quality(docs).collect(), key=lambda r: (r["doc_id"] is None, r["doc_id"]))
+    assert len(got) == len(rows)
+    for r, row in zip(got, sorted(rows, key=lambda r: (r[0] is None, r[0]))):
+        w, body = words_of(row[1]), row[1] or ""
+        seen, covered, windows = set(), set(), [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+        for i, x in enumerate(windows):
+            if windows.count(x) > 1 if len(windows) < 500 else len(set(windows)) < len(windows):
+                covered.update(range(i, i + 5))
+        dup = 0
+        for line in body.split("\n"):
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        assert (r["n_words"], r["word_chars"], r["n_dup_lines"], r["n_repeat_words"]) == (
+            len(w), sum(map(len, w)), dup, len(covered)
+        ), row
+        assert r["n_symbols"] == sum(c in "#*$%&|<>" for c in body)
+        failed = len(w) < 10 or 100 * len(covered) > 20 * len(w)
+        assert r["base_failed"] == failed and (not failed or not r["kept"])
+
+
+def test_em_finds_each_kind_of_junk():
+    good, odd = (1,) * 7, [tuple(-1 if j == k else 1 for j in range(7)) for k in range(3)]
+    model = weak_rules.estimate([(good, 900)] + [(v, 40) for v in odd])
+    assert weak_rules.posteriors(good, model)[0] > 0.9
+    assert all(weak_rules.posteriors(v, model)[0] < 0.5 for v in odd)
+    assert weak_rules.estimate([]) and weak_rules.accuracies(model)[0][1] > 0.9
+
+
+def test_packing_bounds_are_optimal():
+    rng = random.Random(1)
+    for _ in range(20):
+        x = rng.sample(range(1, 60), rng.randint(1, 8))
+        n = [rng.randint(1, 9) for _ in x]
+        k = rng.randint(1, 4)
+
+        def cost(bounds):
+            return sum(c * (min(b for b in bounds if b >= v) - v) for v, c in zip(x, n))
+
+        best = min(cost(set(c) | {max(x)}) for c in itertools.combinations(x, min(k, len(x)) - 1))
+        assert cost(packing.best_bounds(x, n, k)) == best
+
+
+def test_packing_keeps_every_token(docs, rows):
+    got = packing.pack(docs, longest=50, buckets=3, budget=100, shard_rows=10).collect()
+    assert sum(r["length"] for r in got) == sum(len(words_of(r[1])) for r in rows)
+    slots = [(r["bucket"], r["shard"], r["batch"], r["slot"]) for r in got if r["bucket"] is not None]
+    assert len(slots) == len(set(slots))
+    for r in got:
+        assert (r["bucket"] is None) == (r["length"] == 0)
+        assert r["bucket"] is None or (r["length"] <= r["padded"] and r["slot"] < max(1, 100 // r["padded"]))
+
+
+def test_backoff_equals_brute_force(docs, rows):
+    bags = [words_of(r[1]) for r in rows]
+    one, two = {}, {}
+    for w in bags:
+        for i, c in enumerate(w):
+            one[c] = one.get(c, 0) + 1
+            if i:
+                two[w[i - 1], c] = two.get((w[i - 1], c), 0) + 1
+    total = sum(one.values())
+    want = []
+    for r, w in zip(rows, bags):
+        s = 0.0
+        for i, c in enumerate(w):
+            pair = two.get((w[i - 1], c), 0) if i else 0
+            s += math.log(pair / one[w[i - 1]]) if pair >= 2 else math.log((0.4 if i else 1) * one[c] / total)
+        want.append((-1 if r[0] is None else r[0], len(w), round(s, 6)))
+    got = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], round(r["score"], 6)) for r in backoff.scores(docs).collect()]
+    assert [x[:2] for x in sorted(got)] == [x[:2] for x in sorted(want)]
+    assert [x[2] for x in sorted(got)] == pytest.approx([x[2] for x in sorted(want)])
+
+
+def fingerprint(text):
+    w = [x for x in words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
+    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def classes_of(prints, radius=3):
+    top = list(range(len(prints)))
+
+    def find(x):
+        return x if top[x] == x else find(top[x])
+
+    for i, j in itertools.combinations(range(len(prints)), 2):
+        if bin(prints[i] ^ prints[j]).count("1") <= radius:
+            a, b = find(i), find(j)
+            top[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(prints))]
+
+
+def test_simhash_equals_brute_force(docs, rows):
+    prints = [fingerprint(r[1]) for r in rows]
+    assert simhash_bk.text_fingerprints(pa.array([r[1] for r in rows])).tolist() == prints
+    group, least = classes_of(prints), {}
+    for g, r in zip(group, rows):
+        if r[0] is not None:
+            least[g] = min(least.get(g, r[0]), r[0])
+    want = sorted((-1 if r[0] is None else r[0], least.get(g, -1)) for g, r in zip(group, rows))
+    got = simhash_bk.near_duplicates(docs).collect()
+    assert sorted((-1 if r["doc_id"] is None else r["doc_id"], -1 if r["component_id"] is None else r["component_id"]) for r in got) == want
+    kept = simhash_bk.keep_one(docs)
+    assert kept.columns == docs.columns and kept.count() == len(set(group))
+
+
+def test_simhash_trees_of_bounded_size_lose_no_link(spark):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 63, 30, dtype=np.uint64)
+    near = [int(b) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False)) for b in base for _ in range(12)]
+    prints = sorted(set(near) | {1, 2, 3, 0})
+    want = classes_of(prints)
+    df = spark.createDataFrame([(x - (1 << 64) if x >> 63 else x,) for x in prints], "fp long")
+    nodes = {r["node"] % (1 << 64): r["root"] % (1 << 64) for r in simhash_bk.components(simhash_bk.links(df, tree_max=4)).collect()}
+    got = [nodes.get(x, x) for x in prints]
+    pairs = {}
+    for g, w in zip(got, want):
+        assert pairs.setdefault(w, g) == g
+    assert len(set(got)) == len(set(want))
+
+
+def test_classifiers_split_learn_and_score(spark, docs, labels, rows):
+    for scored in (boosted.quality_scores(docs, labels), factor.toxicity_scores(docs, labels)):
+        got = scored.collect()
+        assert len(got) == len(rows) and all(0 <= r["score"] <= 1 for r in got)
+        for r in got:
+            fold = None if r["doc_id"] is None else zlib.crc32(str(r["doc_id"]).encode()) % 5
+            assert r["held_out"] == (fold == 0)
+    none = labels.limit(0)
+    for scored in (boosted.quality_scores(docs, none), factor.toxicity_scores(docs, none)):
+        assert len({r["score"] for r in scored.collect()}) == 1
+
+
+def test_factor_machine_learns_a_pair():
+    rng = np.random.default_rng(0)
+    y, sets = [], []
+    for _ in range(3000):
+        a, b = (int(v) for v in rng.random(2) < 0.5)
+        y.append(float(a and b))
+        sets.append([10] * a + [20] * b + list(rng.choice(np.arange(100, 130), 3, replace=False)))
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    machine = factor.fit(row, np.concatenate([np.array(s, np.int64) for s in sets]), np.array(y))
+
+    def margin(*terms):
+        return machine.margins(*machine.known(np.zeros(len(terms), np.int64), np.array(terms, np.int64)), 1)[0]
+
+    assert margin(10, 20) > 0 > max(margin(10), margin(20), margin())
+
+
+def test_boosted_trees_fit_an_interaction():
+    x = np.random.default_rng(0).random((2000, 3))
+    y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
+    trees = boosted.fit(x[:1500], y[:1500])
+    assert ((trees.scores(x[1500:]) > 0.5) == y[1500:]).mean() > 0.95
+
+
+def test_gru_gradients_and_pooling():
+    x = np.random.default_rng(1).integers(97, 123, (5, 7)).astype(np.uint8)
+    y, net = np.array([0, 1, 0, 1, 1]), gru.ByteGRU(["a", "b"])
+    net.p = {k: v.astype(float) for k, v in net.p.items()}
+    g = net.gradients(x, y, np.ones(5))
+
+    def loss():
+        return -np.log(net.probabilities(net.states(x))[:, np.arange(5), y]).mean()
+
+    for k, v in net.p.items():
+        at = np.unravel_index(np.argmax(np.abs(g[k])), v.shape)
+        old = v[at]
+        v[at] = old + 1e-2
+        up = loss()
+        v[at] = old - 1e-2
+        slope = (up - loss()) / 2e-2
+        v[at] = old
+        assert g[k][at] == pytest.approx(slope, rel=1e-2)
+    p = gru.pooled(net, pa.array(["abc" * 400, None, "", "é"]))
+    assert p.sum(1) == pytest.approx([1, 0, 0, 1], abs=1e-5)
+
+
+def test_gru_tells_alphabets_apart(spark):
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choice("abcde " if i % 2 else "vwxyz ") for _ in range(80)), "ab"[i % 2]) for i in range(300)]
+    rows += [(900, None, "a"), (901, "123 !", "a"), (902, "", None), (903, "ab" * 5000, None)]
+    got = {r["doc_id"]: r for r in gru.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert len(got) == len(rows)
+    assert [got[k]["lang_pred"] for k in (900, 901, 902, 903)] == ["und", "und", "und", "b"]
+    assert sum(got[i]["lang_pred"] == "ab"[i % 2] for i in range(300)) > 290
+    none = gru.languages(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()
+    assert none[0]["lang_pred"] == "und"
+
+
+def test_sketch_neighbours_equal_brute_force(docs, rows):
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    got = {}
+    for r in sketch.fingerprint_neighbours(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    by_text = {}
+    for i, row in enumerate(ordered):
+        text, following = row[1] or "", ordered[(i + 1) % len(ordered)][1] or ""
+        k = len(text) // 3
+        changed = text[: len(text) - k] + following[:k]
+        digest = hashlib.sha256(changed.encode()).hexdigest()
+        r = next(x for x in got[row[0]] if x["edited_sha256"] == digest)
+        assert r["n_chars"] == len(text) and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        by_text.setdefault(text, set()).add(r["fingerprint"])
+        if text == following:
+            assert r["near_next"] == 1
+    assert all(len(v) == 1 for v in by_text.values())
+
+
+def test_sketches_merge():
+    a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(300))
+
+    def made(text):
+        return sketch.encoded(sketch.sketches(pa.array([text])), 1)[0]
+
+    both = sketch.merged(made(a), made(b))
+    assert set(sketch.decoded(both)) >= set(sketch.decoded(made(a))) and sketch.merged(made(a), made(a)) == made(a)
+    assert len(base64.b64decode(made(""))) == 0
+
+
+def test_sainte_lague_gives_seats_to_highest_quotients():
+    rng = random.Random(4)
+    for _ in range(50):
+        v = [rng.random() * 20 for _ in range(rng.randint(1, 6))]
+        most = [rng.randint(0, 25) for _ in v]
+        seats = min(int(sum(v) + 0.5), sum(most))
+        quota = [0] * len(v)
+        for _ in range(seats):
+            best = max((i for i in range(len(v)) if quota[i] < most[i]), key=lambda i: (v[i] / (2 * quota[i] + 1), -i))
+            quota[best] += 1
+        assert apportion.sainte_lague(v, most, seats) == quota
+
+
+def test_mix_meets_targets(docs, rows):
+    got = apportion.mix(docs, shard_words=500, block=4).collect()
+    assert len(got) == len(rows)
+    taken, target = {}, {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"] and (r["size"] or not r["taken"])
+        taken[r["source"]] = taken.get(r["source"], 0) + r["taken"]
+        target[r["source"]] = r["target"]
+    assert sum(target.values()) == pytest.approx(1.5 * sum(r["size"] for r in got))
+    for s in taken:
+        assert abs(taken[s] - target[s]) <= 4 + 0.01 * target[s]
+    mixed = apportion.mixed_documents(docs, shard_words=500, block=4)
+    assert mixed.columns == docs.columns
+    assert sum(len(words_of(r["text"])) for r in mixed.collect()) == sum(taken.values())
+
+
+def test_url_rules_and_templates(spark):
+    urls = [
+        ("http://a.example.com/en/1", "example.com/en/", "block"), ("https://www.EXAMPLE.com/en/2?x", "www.example.com/en/", "allow"),
+        ("http://x.org/de/1", None, "allow"), ("http://q.net/es/a/b", "net/es/", "block"), ("ftp://net/fr/", "net/fr/", "block"),
+        ("http://notnet/es/", None, "allow"), (None, None, "allow"), ("nothing", None, "allow"), ("http://h.com", None, "allow"),
+        ("http://h.com/" + "s/" * 40, "com/", "allow"),
+    ]
+    pages = spark.createDataFrame([(i, u[0], 1) for i, u in enumerate(urls)], "page_id long, url string, host int")
+    got = {r["page_id"]: r for r in templates.filter_urls(pages).collect()}
+    assert [(got[i]["rule"], got[i]["verdict"]) for i in range(len(urls))] == [u[1:] for u in urls]
+    assert (got[1]["host"], got[1]["path"]) == ("www.example.com", "/en/2") and (got[6]["host"], got[6]["path"]) == ("", "")
+
+
+def test_url_templates_reject_by_labels(spark):
+    rows = [(i, f"http://s.org/{'bad' if i % 2 else 'good'}/{i}/v{i % 7}") for i in range(200)]
+    rows += [(1000 + i, f"http://s.org/tag/{chr(97 + i % 26)}{chr(97 + i // 26)}") for i in range(60)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(0, 100)], "page_id long, label int")
+    got = {r["page_id"]: r for r in templates.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), (), marks).collect()}
+    assert all(got[i]["verdict"] == ("block" if i % 2 else "allow") for i in range(200))
+    assert {got[1000 + i]["template"] for i in range(60)} == {"/tag/*"}
+
+
+def test_empty_tables(spark, docs, labels):
+    none = docs.limit(0)
+    pages = spark.createDataFrame([], "page_id long, url string")
+    for made in (
+        weak_rules.weak_quality(none), packing.pack(none), simhash_bk.near_duplicates(none), apportion.mix(none),
+        apportion.mixed_documents(none), boosted.quality_scores(none, labels), factor.toxicity_scores(none, labels),
+        gru.languages(none), sketch.fingerprint_neighbours(none), backoff.scores(none), templates.filter_urls(pages),
+    ):
+        assert made.count() == 0
+
+
+def test_pipeline_stages_return_the_columns_they_got(spark, docs):
+    now = docs.where(F.col("doc_id").isNotNull())
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before = now
+        now = stage(spark, before, "")
+        assert k == 4 or (now.columns == docs.columns and now.dtypes == docs.dtypes)
+    assert now.count() > 0
