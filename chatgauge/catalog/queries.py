@@ -6,19 +6,19 @@ from pyspark.sql import functions as F
 
 from ..functions import chat, labels
 from ..functions.rounding import exact_sql
-from ..functions.text import is_truncated, truncated
+from ..functions.text import truncated
 from ..operators import classifier, metrics, runs, timings
 from ..operators.convert import to_messages
 from ..operators.limits import head_n, head_n_per_task
 from ..operators.score import label_responses, respond
 from ..operators.summary import run_summary
 from ..plans.evaluation import evaluate, evaluate_scored, evaluate_stored
-from ..session import shared_folder
+from ..session import cut_lineage, shared_folder
 from ..sinks import registry, report
 from ..sinks.training_text import training_text, write_training_text
 from ..sources import files
 from ..sources.specs import shipped_specs, spec_frame, task_specs
-from ..sources.turns import answers_from_turns, label_chats, messages_from_turns, prepare_turns, prompts_from_turns
+from ..sources.turns import answers_from_turns, chats_from_turns, label_chats, messages_from_turns, prepare_turns, prompts_from_turns
 from . import sql
 from .predictors import keyword_predictor
 
@@ -72,16 +72,15 @@ def chat_answers(spark, sf_dir):
 
 
 @query("""
-SELECT conv_id, CAST(turn // 4096 AS BIGINT) AS part,
-  arg_max(text, turn) FILTER (WHERE role = 'assistant') AS expected,
+SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS expected,
   count(*) - 1 AS n_prompt,
   coalesce(max(turn) FILTER (WHERE role = 'assistant'), max(turn) + 1) - min(turn) AS n_before_answer
-FROM conversations GROUP BY conv_id, turn // 4096""")
+FROM conversations GROUP BY conv_id""")
 def last_assistant(spark, sf_dir):
-    chats = messages_from_turns(table(spark, sf_dir, "conversations"))
+    chats = chats_from_turns(table(spark, sf_dir, "conversations"))
     m = "messages"
     return chats.select(
-        "conv_id", "part", chat.last_assistant(m).alias("expected"),
+        "conv_id", chat.last_assistant(m).alias("expected"),
         F.size(chat.prompt_messages(m)).cast("bigint").alias("n_prompt"),
         F.size(chat.prompt_before_answer(m)).cast("bigint").alias("n_before_answer"),
     )
@@ -287,8 +286,7 @@ def extract_label_by_row(spark, sf_dir):
 
 @query(f"SELECT doc_id, {sql.first_tokens('text', 50)[1]} AS text, {sql.first_tokens('text', 50)[0]} AS truncated FROM documents")
 def truncated_text(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text", is_truncated("text", 50).alias("truncated"))
-    return truncated(rows, "text", 50)
+    return truncated(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 50, flag="truncated")
 
 
 @query("SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 500")
@@ -303,10 +301,10 @@ EVENT_CAPS = {"click": 500, "error": 40, "purchase": 1000}
 WITH ranked AS (SELECT event_type AS task, event_id AS seq, value,
   row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS rn FROM events)
 SELECT task, seq, value FROM ranked
-WHERE rn <= CASE task WHEN 'click' THEN 500 WHEN 'error' THEN 40 WHEN 'purchase' THEN 1000 ELSE 0 END""")
+WHERE rn <= CASE task WHEN 'click' THEN 500 WHEN 'error' THEN 40 WHEN 'purchase' THEN 1000 ELSE rn END""")
 def head_rows_per_task(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("task"), F.col("event_id").alias("seq"), "value")
-    return head_n_per_task(rows, EVENT_CAPS)
+    return head_n_per_task(rows, EVENT_CAPS, keep_others=True)
 
 
 @query("SELECT doc_id, lang, length(text) AS chars FROM documents ORDER BY doc_id LIMIT 150")
@@ -342,7 +340,7 @@ DOC_TASK = [("quality", "binary", 0.8, ["GOOD", "BAD"])]
 
 
 def quality_specs(gate=0.8):
-    return task_specs([{"task": "quality", "classes": ["good", "bad"], "quality_gate": gate}])
+    return task_specs([{"task": "quality", "classes": ["good", "bad"], "quality_gate": gate, "max_test_samples": None}])
 
 
 def scored_documents(spark, sf_dir):
@@ -418,12 +416,11 @@ MULTI = [
     ("third", "binary", 0.95, ["UND", "OF"]),
 ]
 MULTI_ORDER = {"first": ["THE", "ICH"], "second": ["NICHT", "THAT", "LES"], "third": ["UND", "OF"]}
-MULTI_CAPS = {"first": 20, "second": 500, "third": 1000}
 
 
 def multi_specs():
     return task_specs([
-        {"task": t, "task_type": k, "quality_gate": g, "classes": c, "max_test_samples": MULTI_CAPS[t]} for t, k, g, c in MULTI
+        {"task": t, "task_type": k, "quality_gate": g, "classes": c, "max_test_samples": None} for t, k, g, c in MULTI
     ])
 
 
@@ -441,18 +438,16 @@ MULTI_SCORED = f"""
 SELECT task, CASE WHEN answer <> '' THEN {multi_label('answer')} END AS expected,
   CASE WHEN answer <> '' THEN {multi_label("CASE WHEN contains(prompt, 'ich') THEN 'ich und les' ELSE 'that, of the' END")} END AS predicted
 FROM (
-  SELECT *, row_number() OVER (PARTITION BY task ORDER BY conv_id) AS rn FROM (
-    SELECT conv_id, ['first', 'second', 'third'][conv_id % 3 + 1] AS task, {sql.first_tokens('prompt', 200)[1]} AS prompt, answer
+    SELECT conv_id, ['first', 'second', 'third'][conv_id % 3 + 1] AS task, prompt, answer
     FROM (SELECT conv_id, string_agg(piece, chr(10) ORDER BY turn) AS prompt FROM pieces GROUP BY conv_id)
-    JOIN (SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS answer FROM conversations GROUP BY conv_id) USING (conv_id)))
-WHERE rn <= CASE task WHEN 'first' THEN 20 WHEN 'second' THEN 500 ELSE 1000 END"""
+    JOIN (SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS answer FROM conversations GROUP BY conv_id) USING (conv_id))"""
 
 
 @query(PROMPT_PIECES + ", chats AS (" + MULTI_SCORED + "), mm AS (" + sql.metrics("SELECT * FROM chats", MULTI) + ") SELECT * FROM mm")
 def multi_task_metrics(spark, sf_dir):
-    """Three tasks, capped, scored by a predictor and evaluated in one job."""
+    """Three tasks, all their chats, scored by a predictor and evaluated in one job."""
     specs = multi_specs()
-    prepared = prepare_turns(multi_turns(spark, sf_dir), specs, max_tokens=200)
+    prepared = prepare_turns(multi_turns(spark, sf_dir), specs)
     answers = respond(prepared, keyword_predictor("ich", "ich und les", "that, of the"))
     return evaluate_scored(label_responses(answers, specs), specs).metrics
 
@@ -471,20 +466,20 @@ def document_chats(spark, sf_dir):
 MODEL_SCORED = """
 SELECT 'quality' AS task, CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS expected,
   CASE WHEN contains(text, 'ich') THEN 'GOOD' ELSE 'BAD' END AS predicted
-FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM documents JOIN labels USING (doc_id)) WHERE rn <= 500"""
+FROM documents JOIN labels USING (doc_id)"""
 
 
 @query(sql.metrics(MODEL_SCORED, DOC_TASK))
 def predictor_metrics(spark, sf_dir):
-    """Nested examples through a predictor, capped at the default 500 test samples."""
+    """Nested examples through a predictor, every labelled document."""
     chats = document_chats(spark, sf_dir)
-    return evaluate(chats, quality_specs(), keyword_predictor("ich", "good.", "it is bad"), keep=False, max_tokens=None).metrics
+    return evaluate(chats, quality_specs(), keyword_predictor("ich", "good.", "it is bad"), keep=False).metrics
 
 
 STORED_SCORED = """
 SELECT 'quality' AS task, CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS expected,
   CASE WHEN toxic = 0 AND doc_id % 10 <> 0 THEN 'GOOD' WHEN doc_id % 10 <> 0 THEN 'BAD' END AS predicted
-FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS rn FROM documents JOIN labels USING (doc_id)) WHERE rn <= 500"""
+FROM documents JOIN labels USING (doc_id)"""
 
 
 @query(sql.metrics(STORED_SCORED, DOC_TASK))
@@ -494,15 +489,28 @@ def stored_answer_metrics(spark, sf_dir):
         F.lit("quality").alias("task"), F.col("doc_id").alias("example_id"),
         F.when(F.col("toxic") == 0, "a good one").otherwise("quite bad").alias("response"),
     )
-    return evaluate_stored(document_chats(spark, sf_dir).drop("toxic"), quality_specs(), answers, max_tokens=None).metrics
+    return evaluate_stored(document_chats(spark, sf_dir).drop("toxic"), quality_specs(), answers).metrics
 
 
-@query()
+@query("""
+SELECT doc_id AS example_id, CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS label, true AS in_classes, true AS beats_majority
+FROM documents JOIN labels USING (doc_id)
+WHERE CAST('0x' || md5(CAST(doc_id AS VARCHAR))[:4] AS BIGINT) % 4 = 0""")
 def classifier_labels(spark, sf_dir):
-    """Train on labelled documents and label them again; no SQL form."""
+    """Train on three quarters of the labelled documents, label the last one and evaluate it.
+
+    What the model answers has no SQL form; whose labels they are, that they are classes,
+    and whether the metrics made from them are at least those of the commonest class have.
+    """
     rows = classifier.training_rows(document_chats(spark, sf_dir), ["good", "bad"])
-    model = classifier.fit_label_model(rows, ["good", "bad"], features=1 << 14, iterations=10)
-    return classifier.predict_labels(model, rows, ["good", "bad"]).select("example_id", "label", "predicted")
+    fold = F.conv(F.substring(F.md5(F.col("example_id").cast("string")), 1, 4), 16, 10).cast("int") % 4
+    model = classifier.fit_label_model(rows.where(fold != 0), ["good", "bad"], features=1 << 14, iterations=10)
+    found = cut_lineage(classifier.predict_labels(model, rows.where(fold == 0), ["good", "bad"]))
+    scored = found.selectExpr("'quality' AS task", "label AS expected", "predicted")
+    result = evaluate_scored(scored, quality_specs()).metrics.select("accuracy")
+    common = found.groupBy("label").count().agg((F.max("count") / F.sum("count")).alias("share"))
+    better = result.crossJoin(common).select((F.col("accuracy") >= F.col("share")).alias("beats_majority"))  # one row each
+    return found.selectExpr("example_id", "label", "predicted IN ('GOOD', 'BAD') AS in_classes").crossJoin(F.broadcast(better))
 
 
 def percent_sql(x, digits=1):
@@ -675,13 +683,13 @@ def registry_after_removal(spark, sf_dir):
     path = written_registry(spark, sf_dir)
     registry.registry_remove(spark, path, GONE)
     registry.registry_remove(spark, path, "not there")
-    return registry.registry_list(spark, path).drop("registered_at")
+    return registry.registry_list(spark, path).drop("registered_at", "version")
 
 
 @query(f"WITH {ENTRIES} SELECT * FROM e WHERE name = 'task-15' OR task = 'task-15' ORDER BY seq LIMIT 1")
 def registry_find(spark, sf_dir):
     entries = registry.registry_entries(supplier_models(spark, sf_dir))
-    return registry.registry_find(entries, "task-15").drop("registered_at", "removed")
+    return registry.registry_find(entries, "task-15").drop("registered_at", "removed", "version")
 
 
 @query(f"WITH {ENTRIES} SELECT name, task, seq FROM e WHERE name <> '{GONE}'")
@@ -694,11 +702,11 @@ def registry_without_name(spark, sf_dir):
 
 @query("""
 SELECT conv_id, count(*) AS n, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS expected
-FROM conversations GROUP BY conv_id, turn // 4096""")
+FROM conversations GROUP BY conv_id""")
 def jsonl_source(spark, sf_dir):
     """Chats written as JSON lines, every other one as a bare list, and read back."""
     path = new_folder(spark, "jsonl")
-    chats = messages_from_turns(table(spark, sf_dir, "conversations"))
+    chats = chats_from_turns(table(spark, sf_dir, "conversations"))
     tagged = F.array_prepend("messages", F.struct(F.lit("id").alias("role"), F.col("conv_id").cast("string").alias("content")))
     wrapped = F.to_json(F.struct(tagged.alias("messages")))
     line = F.when(F.col("conv_id") % 2 == 0, wrapped).otherwise(F.to_json(tagged))

@@ -48,10 +48,10 @@ def names_class_sql(upper_text: str, name: str) -> str:
 def label_sql(text: str, classes) -> str:
     """Label of each text for a fixed class list; null text gives null."""
     names = clean_classes(classes)
-    tests = " ".join(
-        f"WHEN {names_class_sql(f'upper({text})', name)} THEN {literal(name)}" for name in search_order(names)
-    )
-    return f"CASE WHEN {text} IS NULL THEN NULL {tests} ELSE {literal(names[0])} END"
+    tests = " ".join(f"WHEN {names_class_sql('u', name)} THEN {literal(name)}" for name in search_order(names))
+    # the one-element array gives the upper-cased text a name, so it is made once per row
+    found = f"element_at(transform(array(upper({text})), u -> CASE {tests} ELSE {literal(names[0])} END), 1)"
+    return f"CASE WHEN {text} IS NOT NULL THEN {found} END"
 
 
 def extract_label(text: str, classes) -> Column:

@@ -35,8 +35,11 @@ def round_exact(x: str, digits: int) -> Column:
 
 
 def printed_sql(x: str, digits: int) -> str:
-    """Text with that many decimals of a value already rounded to them."""
-    return f"CAST(CAST({x} AS DECIMAL(28,{digits})) AS STRING)"
+    """Text with that many decimals of a value already rounded to them; any double has one."""
+    return (
+        f"CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN 'nan' WHEN abs({x}) = DOUBLE('Infinity') THEN if({x} > 0, 'inf', '-inf') "
+        f"ELSE format_string('%.{digits}f', CAST({x} AS DOUBLE)) END"
+    )
 
 
 def ratio_sql(a: str, b: str) -> str:

@@ -82,10 +82,14 @@ def truncate_sql(text: str, n: int) -> str:
     return _head_sql(text, _rest_sql(text, n))
 
 
-def truncated(df: DataFrame, column: str, n: int) -> DataFrame:
-    """Truncate a column of a table; each text is split only once."""
+def truncated(df: DataFrame, column: str, n: int, flag=None) -> DataFrame:
+    """Truncate a column of a table; ``flag`` names a column that says whether it was cut.
+
+    Each text is split only once.
+    """
     staged = df.selectExpr("*", f"{_rest_sql(column, n)} AS _rest")
-    return staged.selectExpr(*[f"{_head_sql(c, '_rest')} AS {c}" if c == column else f"`{c}`" for c in df.columns])
+    cut = [f"{_head_sql(c, '_rest')} AS {c}" if c == column else f"`{c}`" for c in df.columns]
+    return staged.selectExpr(*cut, *([f"_rest <> '' AS {flag}"] if flag else []))
 
 
 def truncate_tokens(text: str, n: int) -> Column:

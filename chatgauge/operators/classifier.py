@@ -4,6 +4,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.chat import answer_sql, asked_sql, prompt_sql
 from ..functions.expr import literal
@@ -18,14 +19,16 @@ def training_rows(chats: DataFrame, classes) -> DataFrame:
     )
 
 
-def fit_label_model(rows: DataFrame, classes, features=1 << 16, iterations=20) -> PipelineModel:
-    """Fit on (prompt, label).
+def fit_label_model(rows: DataFrame, classes, features=1 << 16, iterations=20, most=100_000) -> PipelineModel:
+    """Fit on (prompt, label), on at most ``most`` rows, chosen by a hash of the prompt.
 
     The class list fixes the label numbers, so no pass is needed to index labels,
     and the hashed features keep the model's size fixed whatever the vocabulary.
     """
     number = f"CAST(array_position({literal(clean_classes(classes))}, label) - 1 AS DOUBLE) AS label_no"
     numbered = rows.selectExpr("prompt", number).where("label_no >= 0")
+    if most:
+        numbered = numbered.orderBy(F.xxhash64("prompt")).limit(most)
     counting = PipelineModel([
         RegexTokenizer(inputCol="prompt", outputCol="words", pattern=r"[^\p{L}\p{N}_]+"),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=features),

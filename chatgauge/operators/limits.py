@@ -26,30 +26,35 @@ def head_n(df: DataFrame, n, order="seq") -> DataFrame:
     return df.where(F.col(order) <= cut.scalar())
 
 
-def head_n_per_task(df: DataFrame, caps: dict, order="seq", task="task") -> DataFrame:
-    """The first ``caps[task]`` rows of every task; tasks without a cap are dropped.
+def head_n_per_task(df: DataFrame, caps: dict, order="seq", task="task", keep_others=False) -> DataFrame:
+    """The first ``caps[task]`` rows of every task; a cap of None or 0 keeps all its rows.
 
-    A task may hold most of the table: its positions are ranked per salt first, so
-    no task's rows meet in one place before at most cap rows per salt are left.
+    A task that ``caps`` does not name fails the job, or with ``keep_others`` stays whole.
+    A task may hold most of the table: its positions are ranked per salt first, each task
+    by its own cap, so no task's rows meet in one place before at most cap rows per salt
+    are left.
     """
     spark = df.sparkSession
-    caps = {name: int(cap) for name, cap in caps.items() if cap and cap > 0}
-    if not caps:
-        return df.where(F.lit(False))
-    most = max(caps.values())
-    table = F.broadcast(spark.createDataFrame(list(caps.items()), f"`{task}` STRING, cap BIGINT"))
+    capped = {name: int(cap) for name, cap in caps.items() if cap and cap > 0}
+    if not keep_others:
+        known = F.col(task).isin([name for name in caps]) if caps else F.lit(False)
+        unknown = F.raise_error(F.concat(F.lit("no settings for task "), F.coalesce(task, F.lit("null"))))
+        df = df.where(F.when(F.coalesce(known, F.lit(False)), F.lit(True)).otherwise(unknown.cast("boolean")))
+    if not capped:
+        return df
+    table = F.broadcast(spark.createDataFrame(list(capped.items()), "cap_task STRING, cap BIGINT"))
 
     def ranked(rows, *keys):
         rank = F.row_number().over(W.partitionBy(*keys).orderBy(order))
-        return rows.withColumn("rank", rank).where(F.col("rank") <= most)
-
-    spread = df.select(task, order).withColumn("salt", F.pmod(F.xxhash64(order), F.lit(_salts(df))))
-    nearest = ranked(ranked(spread, task, "salt").drop("rank"), task)
-    cuts = (
-        nearest.join(table, task)
-        .where(F.col("rank") <= F.col("cap"))
-        .groupBy(task)
-        .agg(F.max(order).alias("_cut"))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= F.col("cap")).drop("rank")
+
+    spread = df.select(task, order).join(table, F.col(task) == F.col("cap_task")).withColumn(
+        "salt", F.pmod(F.xxhash64(order), F.lit(_salts(df)))
     )
+    nearest = ranked(ranked(spread, task, "salt"), task)
     # one row per capped task, and the caps come from the driver
-    return df.join(F.broadcast(cuts), task).where(F.col(order) <= F.col("_cut")).drop("_cut").select(df.columns)
+    cuts = F.broadcast(nearest.groupBy("cap_task").agg(F.max(order).alias("_cut")))
+    free = ~F.coalesce(F.col(task).isin(list(capped)), F.lit(False))
+    return df.join(cuts, F.col(task) == F.col("cap_task"), "left").where(
+        free | (F.col(order) <= F.col("_cut"))
+    ).select(*[df[c] for c in df.columns])

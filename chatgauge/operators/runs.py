@@ -9,11 +9,12 @@ from ..schema import LOSS_GAP
 def overfit_flags(runs: DataFrame) -> DataFrame:
     """Add ``overfitting_warning`` where the evaluation loss is more than LOSS_GAP above.
 
-    A loss that is null or exactly 0 never gives a warning.
+    A loss that is null, NaN or exactly 0 never gives a warning; an infinite one (a run that
+    diverged) does.
     """
     kept = runs.columns
     gaps = runs.selectExpr(
-        *kept, f"if(eval_loss <> 0 AND train_loss <> 0 AND eval_loss - train_loss > {LOSS_GAP!r}D, eval_loss - train_loss, NULL) AS _gap"
+        *kept, f"if(eval_loss <> 0 AND train_loss <> 0 AND NOT isnan(eval_loss - train_loss) AND eval_loss - train_loss > {LOSS_GAP!r}D, eval_loss - train_loss, NULL) AS _gap"
     )
     shown = gaps.selectExpr(
         *kept, f"{exact_sql('_gap', 4)} AS _gap", f"{exact_sql('eval_loss', 4)} AS _eval", f"{exact_sql('train_loss', 4)} AS _train"

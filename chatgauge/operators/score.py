@@ -8,17 +8,17 @@ from typing import Callable, Iterator, List
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.chat import answer_sql, asked_sql, before_answer_sql, prompt_sql
 from ..functions.labels import task_label_sql
 from ..functions.text import truncated
-from ..schema import PROMPT_TOKENS
 
 Predictor = Callable[[List[str]], List[str]]
 
 
-def prepare(examples: DataFrame, specs, max_tokens=PROMPT_TOKENS, hide_answer=False) -> DataFrame:
+def prepare(examples: DataFrame, specs, max_tokens=None, hide_answer=False) -> DataFrame:
     """(task, example_id, expected, prompt) of (task, example_id, messages).
 
     Examples without ground truth stay, with null in both, since they count in n.
@@ -32,8 +32,13 @@ def prepare(examples: DataFrame, specs, max_tokens=PROMPT_TOKENS, hide_answer=Fa
     return truncated(labelled, "prompt", max_tokens) if max_tokens else labelled
 
 
-def respond(prepared: DataFrame, factory: Callable[[], Predictor]) -> DataFrame:
-    """Replace ``prompt`` by the predictor's ``response``; rows without a prompt get null."""
+def respond(prepared: DataFrame, factory: Callable[[], Predictor], tasks=None) -> DataFrame:
+    """Replace ``prompt`` by the predictor's ``response``; rows without a prompt get null.
+
+    A predictor is the costly part, so prompts are dealt evenly over ``tasks`` tasks first
+    (the session's parallelism by default): what comes before may end in a few partitions.
+    """
+    prepared = prepared.repartition(tasks or prepared.sparkSession.sparkContext.defaultParallelism)
     kept = [f for f in prepared.schema.fields if f.name != "prompt"]
     schema = T.StructType(kept + [T.StructField("response", T.StringType())])
     names = [f.name for f in kept]
@@ -55,10 +60,16 @@ def respond(prepared: DataFrame, factory: Callable[[], Predictor]) -> DataFrame:
 def attach_responses(prepared: DataFrame, predictions: DataFrame) -> DataFrame:
     """Use stored answers (task, example_id, response) in place of a predictor.
 
-    Every example stays; one without a stored answer has no label and so counts as
+    Every example stays once: equal stored answers count as one, different ones fail the
+    job. One without a stored answer has no label and so counts as
     neither correct nor positive.
     """
-    stored = predictions.select("task", "example_id", "response")
+    keys = ["task", "example_id"]
+    either = predictions.groupBy(*keys).agg(F.min("response").alias("response"), F.max("response").alias("_other"))
+    # two different answers to one example would count it twice
+    stored = either.selectExpr(
+        *keys, "if(response <=> _other, response, CAST(raise_error('an example has two stored answers') AS STRING)) AS response"
+    )
     joined = prepared.drop("prompt").join(stored, ["task", "example_id"], "left")
     kept = [c for c in joined.columns if c != "response"]
     return joined.selectExpr(*kept, "if(expected IS NULL, NULL, response) AS response")

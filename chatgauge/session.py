@@ -1,5 +1,6 @@
 """Session helpers: recommended settings, and lineage cuts that survive executor loss."""
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,15 +23,19 @@ def local_session(cpus="*", app="chatgauge", **conf):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir``.
+    """The folder all executors can reach: ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where the session names none (single-machine tests) a temporary folder
-    is made, once per session, and recorded in the session settings.
+    Only where a local session names none (single-machine tests) a temporary folder is
+    made, once per session, and recorded in the session settings; on a cluster that is an error.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
-        "chatgauge.test.folder", None
+    folder = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("chatgauge.test.folder", None)
     )
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="chatgauge-")
         spark.conf.set("chatgauge.test.folder", folder)
     return folder.rstrip("/")

@@ -1,8 +1,10 @@
 """Registry of evaluated models: an append-only parquet table.
 
 Registering appends entries and removing appends a removal mark for a name, so no
-file is ever rewritten and writers do not lose each other's rows.  A listing drops
-the entries of a name that are older than its last removal.
+file is ever rewritten and writers do not lose each other's rows.  Every append is one
+version above all it has seen in the table, so order does not depend on clocks: a
+listing drops the entries of a name whose version is below that of its last removal,
+which are those the removal has seen.  ``registered_at`` is information only.
 """
 
 from pyspark.errors import AnalysisException
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = (
     "name STRING, task STRING, path STRING, accuracy DOUBLE, f1 DOUBLE, size_mb DOUBLE, "
-    "registered_at TIMESTAMP, seq BIGINT, removed BOOLEAN"
+    "registered_at TIMESTAMP, seq BIGINT, removed BOOLEAN, version BIGINT"
 )
 FIELDS = ["name", "task", "path", "accuracy", "f1", "size_mb"]
 
@@ -21,17 +23,31 @@ def entry_name(task, model, prefix="chatgauge"):
     return F.concat_ws("-", F.lit(prefix), task, F.lower(F.element_at(F.split(model, "/"), -1)))
 
 
-def registry_entries(models: DataFrame, order="seq", at=None) -> DataFrame:
+def registry_entries(models: DataFrame, order="seq", at=None, version=1) -> DataFrame:
     """Entries stamped for appending; ``order`` keeps their order within one append."""
     stamp = F.current_timestamp() if at is None else at
     return models.select(
         *FIELDS, stamp.cast("timestamp").alias("registered_at"), F.col(order).cast("bigint").alias("seq"),
-        F.lit(False).alias("removed"),
+        F.lit(False).alias("removed"), F.lit(version).cast("bigint").alias("version"),
     )
 
 
+def _log(spark: SparkSession, path) -> DataFrame:
+    try:
+        return spark.read.schema(SCHEMA).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], SCHEMA)
+
+
+def _next_version(spark, path):
+    return (_log(spark, path).agg(F.max("version")).first()[0] or 0) + 1
+
+
 def registry_append(models: DataFrame, path, order="seq"):
-    registry_entries(models, order).write.mode("append").parquet(path)
+    version = _next_version(models.sparkSession, path)
+    registry_entries(models, order, version=version).write.mode("append").parquet(path)
 
 
 def registry_remove(spark: SparkSession, path, name):
@@ -39,7 +55,8 @@ def registry_remove(spark: SparkSession, path, name):
     marks = spark.createDataFrame([(name,)], "name STRING")
     nulls = [F.lit(None).alias(c) for c in FIELDS[1:]]
     mark = marks.select(
-        "name", *nulls, F.current_timestamp().alias("registered_at"), F.lit(0).alias("seq"), F.lit(True).alias("removed")
+        "name", *nulls, F.current_timestamp().alias("registered_at"), F.lit(0).alias("seq"), F.lit(True).alias("removed"),
+        F.lit(_next_version(spark, path)).alias("version"),
     )
     columns = [f.strip().split(" ") for f in SCHEMA.split(",")]
     mark.select(*[F.col(c).cast(t).alias(c) for c, t in columns]).write.mode("append").parquet(path)
@@ -47,27 +64,21 @@ def registry_remove(spark: SparkSession, path, name):
 
 def current_entries(log: DataFrame) -> DataFrame:
     """Entries of the log that no later removal of their name covers."""
-    marks = log.where("removed").groupBy("name").agg(F.max("registered_at").alias("gone_at"))
+    marks = log.where("removed").groupBy("name").agg(F.max("version").alias("gone_at"))
     kept = log.where(~F.col("removed")).join(marks, "name", "left")
-    alive = F.col("gone_at").isNull() | (F.col("registered_at") > F.col("gone_at"))
-    return kept.where(alive).select(*FIELDS, "registered_at", "seq")
+    alive = F.col("gone_at").isNull() | (F.col("version") >= F.col("gone_at"))
+    return kept.where(alive).select(*FIELDS, "registered_at", "seq", "version")
 
 
 def registry_list(spark: SparkSession, path) -> DataFrame:
     """Current entries, oldest first; a registry that is not there yet is empty."""
-    try:
-        log = spark.read.schema(SCHEMA).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        log = spark.createDataFrame([], SCHEMA)
-    return current_entries(log).orderBy("registered_at", "seq")
+    return current_entries(_log(spark, path)).orderBy("version", "seq")
 
 
 def registry_find(entries: DataFrame, wanted) -> DataFrame:
     """The first entry whose name or task is ``wanted``."""
     hit = (F.col("name") == wanted) | (F.col("task") == wanted)
-    return entries.where(hit).orderBy("registered_at", "seq").limit(1)
+    return entries.where(hit).orderBy("version", "seq").limit(1)
 
 
 def without_name(entries: DataFrame, name) -> DataFrame:

@@ -124,7 +124,7 @@ def load_train(spark: SparkSession, path, spec, format="jsonl") -> DataFrame:
     return _load(spark, path, format, spec.max_samples, drop_unknown=format != "jsonl")
 
 
-def load_test(spark: SparkSession, path, spec, format="jsonl") -> DataFrame:
-    """The first ``max_val_samples`` test examples; unset means 500 for tables, all for JSON lines."""
-    n = spec.max_val_samples or (None if format == "jsonl" else 500)
+def load_test(spark: SparkSession, path, spec, format="jsonl", unset=None) -> DataFrame:
+    """The first ``max_val_samples`` test examples, or ``unset`` (None: all) where the settings name none."""
+    n = spec.max_val_samples or unset
     return _load(spark, path, format, n, drop_unknown=format != "jsonl")

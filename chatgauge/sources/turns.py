@@ -15,11 +15,26 @@ from ..functions.expr import literal
 from ..functions.labels import clean_classes, names_class_sql, search_order, task_label_sql
 from ..functions.text import truncated
 from ..operators.limits import head_n_per_task
-from ..schema import ANSWER_OPEN, MESSAGES, PROMPT_TOKENS
+from ..schema import ANSWER_OPEN, MESSAGES
 
 TURNS_PER_PART = 4096
 
 
+def chats_from_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, messages): every chat as one example; for chats that fit one row.
+
+    A part of a chat is no chat: whatever asks for the last answer or writes examples
+    uses this form or the aggregates below.
+    """
+    shape = MESSAGES.simpleString()
+    chats = turns.selectExpr("conv_id", "struct(turn, role, text AS content) AS entry").groupBy("conv_id").agg(
+        F.expr("array_sort(collect_list(entry)) AS entries")
+    )
+    return chats.selectExpr(
+        "conv_id", f"CAST(transform(entries, e -> struct(e.role AS role, e.content AS content)) AS {shape}) AS messages"
+    )
+
+
 def messages_from_turns(turns: DataFrame, turns_per_part=TURNS_PER_PART) -> DataFrame:
     """(conv_id, part, is_last, messages): turns in order, long chats in several parts.
 
@@ -44,18 +59,15 @@ def messages_from_turns(turns: DataFrame, turns_per_part=TURNS_PER_PART) -> Data
 def answers_from_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, expected): content of the last assistant turn, null without one.
 
-    The turn number is found first, on numbers alone, and the text fetched by the
-    unique pair (conv_id, turn), so texts of other turns are never shuffled.
+    One aggregate, combined before the shuffle: of each chat a task sends its last answer only.
     """
-    chats = turns.groupBy("conv_id").agg(
-        F.expr("count(*) AS n_turns"), F.expr("max(turn) FILTER (WHERE role = 'assistant') AS turn")
+    return turns.groupBy("conv_id").agg(
+        F.expr("count(*) AS n_turns"), F.expr("max_by(text, turn) FILTER (WHERE role = 'assistant') AS expected")
     )
-    texts = turns.where("role = 'assistant'").selectExpr("conv_id", "turn", "text AS expected")
-    return chats.join(texts, ["conv_id", "turn"], "left").select("conv_id", "n_turns", "expected")
 
 
-def prompts_from_turns(turns: DataFrame, max_tokens=PROMPT_TOKENS, turns_per_part=TURNS_PER_PART) -> DataFrame:
-    """(conv_id, prompt): prompt text without the last turn, cut after ``max_tokens``.
+def prompts_from_turns(turns: DataFrame, max_tokens=None, turns_per_part=TURNS_PER_PART) -> DataFrame:
+    """(conv_id, prompt): prompt text without the last turn, cut after ``max_tokens`` if given.
 
     The open assistant turn stands in for the dropped last turn.
     """
@@ -68,33 +80,33 @@ def _prompts(turns, ends, keys, max_tokens, turns_per_part):
 
     Every rendered turn starts a new token and has at least two (its marker and its
     text), so max_tokens tokens lie within the first max_tokens/2 + 1 turns, and no
-    turn needs to bring more than max_tokens tokens along.  Texts are shuffled once,
-    by (chat, part).  A chat of one part is finished right there; only the parts of
-    long chats move on, ranked per salt first so that no chat floods a task.
+    turn needs to bring more than max_tokens tokens along.  Turns are counted per part
+    (numbers only) to find the parts before which fewer turns lie; only these bring
+    texts, each no more than are still wanted, so at most that many meet on a chat.
+    Without a cap a chat's whole prompt is one value, and all its turns meet.
     """
-    size, cap = int(turns_per_part), max_tokens // 2 + 1
-    salts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rendered = turns.selectExpr(*keys, f"turn DIV {size} AS part", "turn", f"{turn_sql('role', 'text')} AS piece")
+    size = int(turns_per_part)
+    shown = f"array_join(transform(pieces, p -> if(p.turn <=> end, {literal(ANSWER_OPEN)}, p.piece)), '\\n')"
+    if not max_tokens:
+        whole = turns.selectExpr(*keys, "turn", f"{turn_sql('role', 'text')} AS piece").groupBy(*keys).agg(
+            F.expr("array_sort(collect_list(struct(turn, piece))) AS pieces"), F.expr("max(turn) AS end")
+        )
+        return whole.selectExpr(*keys, f"{shown} AS prompt")
+    cap = max_tokens // 2 + 1
+    counts = turns.selectExpr(*keys, f"turn DIV {size} AS part").groupBy(*keys, "part").agg(F.count("*").alias("n"))
+    earlier = W.partitionBy(*keys).orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    wanted = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).where(f"before < {cap}")
+    numbered = turns.selectExpr(*keys, f"turn DIV {size} AS part", "turn", "role", "text")
+    met = numbered.join(wanted.select(*keys, "part", "before"), [*keys, "part"])
+    rendered = met.selectExpr(*keys, "part", "before", "turn", f"{turn_sql('role', 'text')} AS piece")
     parts = (
         truncated(rendered, "piece", max_tokens)
         .groupBy(*keys, "part")
-        .agg(F.expr("array_sort(collect_list(struct(turn, piece))) AS pieces"))
-        .selectExpr(*keys, "part", f"slice(pieces, 1, {cap}) AS pieces")
-    )
-    # matches the last part of each chat only, on a key as even as the parts
-    last = ends.selectExpr(*keys, f"end DIV {size} AS part", f"start DIV {size} AS first_part", "end")
-    parts = parts.join(last, [*keys, "part"], "left")
-    alone = "first_part <=> part"
-    short = parts.where(alone).select(*keys, "pieces", "end")
-    early = parts.where(f"NOT ({alone})").selectExpr(*keys, "part", f"pmod(part, {salts}) AS salt", "pieces", "end")
-    for group in ([*keys, "salt"], keys):
-        rank = F.row_number().over(W.partitionBy(*group).orderBy("part"))
-        early = early.withColumn("rank", rank).where(F.col("rank") <= cap).drop("rank")
-    long = early.groupBy(*keys).agg(
-        F.expr(f"slice(array_sort(flatten(collect_list(pieces))), 1, {cap}) AS pieces"), F.expr("max(end) AS end")
+        .agg(F.expr("array_sort(collect_list(struct(turn, piece))) AS pieces"), F.max("before").alias("before"))
+        .selectExpr(*keys, f"slice(pieces, 1, {cap} - CAST(before AS INT)) AS pieces")
     )
-    shown = f"transform(pieces, p -> if(p.turn <=> end, {literal(ANSWER_OPEN)}, p.piece))"
-    texts = short.unionByName(long).selectExpr(*keys, f"array_join({shown}, '\\n') AS prompt")
+    chats = parts.groupBy(*keys).agg(F.expr("array_sort(flatten(collect_list(pieces))) AS pieces"))
+    texts = chats.join(ends.select(*keys, "end"), keys).selectExpr(*keys, f"{shown} AS prompt")
     return truncated(texts, "prompt", max_tokens)
 
 
@@ -136,11 +148,11 @@ def label_chats(turns: DataFrame, classes) -> DataFrame:
     )
 
 
-def prepare_turns(turns: DataFrame, specs, max_tokens=PROMPT_TOKENS) -> DataFrame:
+def prepare_turns(turns: DataFrame, specs, max_tokens=None) -> DataFrame:
     """(task, example_id, expected, prompt) of chats stored by turn, ready to be scored.
 
     ``turns`` carries a ``task`` column.  Each task's first ``max_test_samples`` chats
-    are kept, by conv_id; chats without an answer stay with nulls.
+    (all if unset) are kept, by conv_id; chats without an answer stay with nulls.
     """
     keys = ["task", "conv_id"]
     caps = {s.task: s.max_test_samples for s in specs}
@@ -149,10 +161,8 @@ def prepare_turns(turns: DataFrame, specs, max_tokens=PROMPT_TOKENS) -> DataFram
         F.expr("max(turn) FILTER (WHERE role = 'assistant') AS answer_turn"),
     )
     chats = head_n_per_task(chats, caps, order="conv_id")
-    # at most the sum of the caps; a hint only while that is a small table
-    chosen = F.broadcast(chats) if sum(caps.values()) <= 100_000 else chats
-    kept = turns.join(chosen.select(*keys), keys, "left_semi")
-    answered = chosen.selectExpr(*keys, "answer_turn AS turn")
+    kept = turns.join(chats.select(*keys), keys, "left_semi")
+    answered = chats.selectExpr(*keys, "answer_turn AS turn")
     answers = turns.join(answered, [*keys, "turn"]).selectExpr(*keys, "nullif(text, '') AS answer")
     prompts = _prompts(kept, chats.select(*keys, "start", "end"), keys, max_tokens, TURNS_PER_PART)
     return prompts.join(answers, keys, "left").selectExpr(

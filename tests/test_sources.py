@@ -82,7 +82,8 @@ def test_limit_comes_before_conversion(spark, tmp_path):
 def test_test_set_caps(spark, tmp_path, jsonl):
     spark.range(600).selectExpr("'q' AS question", "id AS answer").coalesce(1).write.parquet(f"{tmp_path}/t")
     unset, few = task_specs([{"task": "a", "max_val_samples": None}, {"task": "b", "max_val_samples": 7}])
-    assert files.load_test(spark, f"{tmp_path}/t", unset, "parquet").count() == 500
+    assert files.load_test(spark, f"{tmp_path}/t", unset, "parquet").count() == 600
+    assert files.load_test(spark, f"{tmp_path}/t", unset, "parquet", unset=500).count() == 500
     assert files.load_test(spark, f"{tmp_path}/t", few, "parquet").count() == 7
     assert files.load_test(spark, jsonl, unset).count() == 60
 
@@ -108,12 +109,16 @@ def test_head_n_per_task_with_a_hot_task(spark):
     df = spark.range(3000).selectExpr("if(id % 10 < 8, 'hot', concat('t', id % 10)) AS task", "(id * 7919) % 100003 AS seq")
     caps = {"hot": 700, "t8": 3, "t9": 5000, "none": 4, "t0": 0}
     got = {}
-    for r in head_n_per_task(df, caps).collect():
+    for r in head_n_per_task(df, caps, keep_others=True).collect():
         got.setdefault(r["task"], []).append(r["seq"])
     everything = {}
     for r in df.collect():
         everything.setdefault(r["task"], []).append(r["seq"])
-    assert {t: sorted(s) for t, s in got.items()} == {t: sorted(everything[t])[: caps[t]] for t in ("hot", "t8", "t9")}
+    # a cap of 0 or None, or none at all, keeps every row
+    assert {t: sorted(s) for t, s in got.items()} == {t: sorted(everything[t])[: caps.get(t) or None] for t in everything}
+    assert head_n_per_task(df, {t: None for t in everything}).count() == 3000
+    with pytest.raises(Exception, match="no settings for task"):
+        head_n_per_task(df, {"hot": 700}).collect()
 
 
 def test_limits_shuffle_positions_only(spark, tmp_path):
