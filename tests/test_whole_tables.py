@@ -92,10 +92,16 @@ def test_registry_does_not_need_clocks(spark, tmp_path):
     assert registry.registry_list(spark, path).count() == 1
 
 
-def test_shared_folder_follows_the_session(spark, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"{tmp_path}/shared/")
-    try:
-        assert shared_folder(spark) == f"{tmp_path}/shared"
-    finally:
-        spark.conf.unset("spark.checkpoint.dir") if before is None else spark.conf.set("spark.checkpoint.dir", before)
+def test_shared_folder_is_made_once_and_only_locally(spark):
+    assert shared_folder(spark) == shared_folder(spark)
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://head:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Cluster)
