@@ -71,13 +71,12 @@ class Machine:
 
 def choose_terms(row, bucket, y, most=TERMS, least_texts=3, least_z=4.0):
     """Buckets whose share of positive texts is furthest (in standard errors) from the mean."""
-    found, inverse = np.unique(bucket, return_inverse=True)
-    texts, positive = np.bincount(inverse), np.bincount(inverse, weights=y[row])
+    texts = np.bincount(bucket, minlength=BUCKETS)
+    positive = np.bincount(bucket, weights=y[row], minlength=BUCKETS)
     mean = y.mean()
     z = np.abs(positive - texts * mean) / np.sqrt(texts * mean * (1 - mean) + 1e-9)
     good = np.flatnonzero((texts >= least_texts) & (z >= least_z))
-    best = good[np.lexsort((found[good], -z[good]))[:most]]
-    return np.sort(found[best])
+    return np.sort(good[np.lexsort((good, -z[good]))[:most]])
 
 
 def fit(row, bucket, y, seed=7) -> Machine:
@@ -137,8 +136,8 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, value="toxic", limit=SAMP
 
     made = rows.mapInArrow(run, "doc_id string, target double, terms binary").orderBy("doc_id", "terms").limit(limit).collect()
     sets = [np.frombuffer(bytes(r["terms"]), np.int32) for r in made]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets]) if sets else np.zeros(0, np.int64)
-    bucket = np.concatenate([*sets, np.zeros(0, np.int32)]).astype(np.int64)
+    row = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets]) if sets else np.zeros(0, np.int32)
+    bucket = np.concatenate([*sets, np.zeros(0, np.int32)])
     return row, bucket, np.array([r["target"] for r in made], float)
 
 
