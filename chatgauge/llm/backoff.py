@@ -35,9 +35,9 @@ from .common import SPACES, mix, short_batches, signed, span_hashes, steps, stor
 
 BACKOFF, LEAST = 0.4, 2
 COUNT_SLICES, SCORE_SLICES = 2, 2
-COMMON = 1 << 16
-#: Rows of a batch: the more, the more equal pairs meet before the shuffle.
-ROWS = 4000
+COMMON = 1 << 12
+#: Rows of a batch: what is sorted at once should stay near the processor's cache.
+ROWS = 1000
 
 
 def grams(texts):
@@ -69,6 +69,14 @@ def _key(b, c):
 KEY = "b ^ (shiftleft(c, 1) | shiftrightunsigned(c, 63))"
 
 
+def _slice(key, n_slices):
+    """The slice of a key, by bits of its hash; SLICE says the same in SQL."""
+    return ((key >> np.uint64(40)) & np.uint64(1023)) % np.uint64(n_slices)
+
+
+SLICE = "(shiftrightunsigned(key, 40) & 1023) % {}"
+
+
 def _runs(*columns):
     """Starts of runs of equal rows in sorted columns."""
     n = len(columns[0])
@@ -83,7 +91,7 @@ def counted(docs: DataFrame, n_slices: int, which: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             _, b, c = _gathered(batch.column(0))
-            inside = mix(_key(b, c)) % np.uint64(n_slices) == which
+            inside = _slice(_key(b, c), n_slices) == which
             b, c = b[inside], c[inside]
             order = np.argsort(_key(b, c))
             b, c = b[order], c[order]
@@ -144,7 +152,7 @@ def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON)
                 row, b, c = _gathered(batch.column(0))
                 words = np.bincount(row[c == 0], minlength=n_rows) * (which == 0)
                 key = _key(b, c)
-                inside = mix(key) % np.uint64(slices) == which
+                inside = _slice(key, slices) == which
                 row, key = row[inside], key[inside]
                 at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
                 hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
@@ -167,7 +175,7 @@ def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON)
 
         rows = keyed.mapInArrow(run, "text_key long, key long, times int, here double")
         # the table's slice is spread like the rows: every task hashes its part of it
-        joined = rows.join(values.select("key", "value").hint("shuffle_hash"), "key", "left")
+        joined = rows.join(values.where(f"{SLICE.format(slices)} = {which}").select("key", "value").hint("shuffle_hash"), "key", "left")
         parts.append(stored(joined.groupBy("text_key").agg(
             F.expr("sum(if(key = text_key, times, 0)) AS words"),
             F.expr("sum(here + if(key = text_key, 0, times) * coalesce(value, 0D)) AS total"),
