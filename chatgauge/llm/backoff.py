@@ -35,7 +35,7 @@ from .common import SPACES, mix, short_batches, signed, span_hashes, steps, stor
 
 BACKOFF, LEAST = 0.4, 2
 COUNT_SLICES, SCORE_SLICES = 2, 2
-COMMON = 1 << 12
+COMMON = 1 << 16
 #: Rows of a batch: what is sorted at once should stay near the processor's cache.
 ROWS = 1000
 
