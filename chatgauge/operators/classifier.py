@@ -1,8 +1,11 @@
 """A text classifier trained on labelled chats with Spark ML."""
 
-from pyspark.ml import Pipeline, PipelineModel
+import math
+
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,31 +22,70 @@ def training_rows(chats: DataFrame, classes) -> DataFrame:
     )
 
 
-def fit_label_model(rows: DataFrame, classes, features=1 << 16, iterations=20, most=100_000) -> PipelineModel:
+#: Penalties to choose from, and one in how many rows judges them.
+PENALTIES, JUDGING = (10.0, 1.0, 0.1, 0.01), 5
+
+
+def log_loss(model, rows: DataFrame):
+    """(mean, standard error) of -log of the probability given to the true label."""
+    given = vector_to_array("probability")[F.col("label_no").cast("int")]
+    loss = -F.log(F.greatest(given, F.lit(1e-9)))
+    mean, error = model.transform(rows).agg(F.avg(loss), F.stddev_samp(loss) / F.sqrt(F.count("*"))).first()
+    return (math.inf if mean is None else mean), error or 0.0
+
+
+def choose_penalty(judged) -> float:
+    """The strongest penalty whose loss is within a standard error of the least.
+
+    ``judged`` is (penalty, (mean, error)); with few rows the least loss alone is mostly chance.
+    """
+    least, error = min(loss for _, loss in judged)
+    return max(p for p, (mean, _) in judged if mean <= least + error)
+
+
+def bounded(rows: DataFrame, most) -> DataFrame:
+    """At most ``most`` rows, those of the least prompt hashes; equal prompts stay or go together."""
+    key = F.xxhash64("prompt")
+    least = rows.select(key.alias("key")).orderBy("key").limit(most + 1)
+    cut = least.agg(F.when(F.count("*") > most, F.max("key")).alias("cut")).scalar()
+    return rows.where(cut.isNull() | (key < cut))
+
+
+def fit_label_model(
+    rows: DataFrame, classes, features=1 << 16, iterations=20, most=100_000, penalties=PENALTIES
+) -> PipelineModel:
     """Fit on (prompt, label), on at most ``most`` rows, chosen by a hash of the prompt.
 
-    The class list fixes the label numbers, so no pass is needed to index labels,
-    and the hashed features keep the model's size fixed whatever the vocabulary.
+    The penalty is chosen on a fifth of these rows that the trial models have not seen (equal
+    prompts stay together); the model is then fitted on all of them. The class list fixes the label numbers, so no pass is needed to
+    index labels, and the hashed features keep the model's size fixed whatever the vocabulary.
     """
     number = f"CAST(array_position({literal(clean_classes(classes))}, label) - 1 AS DOUBLE) AS label_no"
     numbered = rows.selectExpr("prompt", number).where("label_no >= 0")
     if most:
-        numbered = numbered.orderBy(F.xxhash64("prompt")).limit(most)
+        numbered = bounded(numbered, most)
     counting = PipelineModel([
         RegexTokenizer(inputCol="prompt", outputCol="words", pattern=r"[^\p{L}\p{N}_]+"),
         HashingTF(inputCol="words", outputCol="counts", numFeatures=features),
     ])
-    weighing = Pipeline(stages=[
-        IDF(inputCol="counts", outputCol="features"),
-        LogisticRegression(
-            featuresCol="features", labelCol="label_no", predictionCol="predicted_no",
-            maxIter=iterations, regParam=0.01, aggregationDepth=3,
-        ),
-    ])
+    judging = (F.pmod(F.xxhash64(F.lit("judging"), "prompt"), F.lit(JUDGING)) == 0).alias("judging")
     # the weights and the solver pass over the counts several times: tokenise once
-    counts = counting.transform(numbered).select("counts", "label_no").persist()
+    counts = counting.transform(numbered).select("counts", "label_no", judging).persist()
+
+    def solve(part, penalty):
+        return LogisticRegression(
+            featuresCol="features", labelCol="label_no", predictionCol="predicted_no",
+            maxIter=iterations, regParam=penalty, aggregationDepth=3,
+        ).fit(part)
+
     try:
-        return PipelineModel(counting.stages + weighing.fit(counts).stages)
+        weighing = IDF(inputCol="counts", outputCol="features").fit(counts)
+        weighed = weighing.transform(counts)
+        best = max(penalties)
+        learning, unseen = weighed.where("NOT judging"), weighed.where("judging")
+        if len(penalties) > 1 and not learning.isEmpty():
+            best = choose_penalty([(p, log_loss(solve(learning, p), unseen)) for p in penalties])
+        return PipelineModel([*counting.stages, weighing, solve(weighed, best)])
     finally:
         counts.unpersist()
 

@@ -3,7 +3,7 @@
 import pytest
 
 from chatgauge.catalog.predictors import keyword_predictor
-from chatgauge.operators.classifier import fit_label_model, predict_labels, training_rows
+from chatgauge.operators.classifier import bounded, choose_penalty, fit_label_model, predict_labels, training_rows
 from chatgauge.operators.score import prepare, respond, score_examples
 from chatgauge.plans.evaluation import evaluate, evaluate_stored
 from chatgauge.session import cut_lineage, shared_folder
@@ -112,3 +112,15 @@ def test_lineage_is_cut_in_the_shared_folder(spark):
     assert df.first()[0] == 10
     assert spark.sparkContext.getCheckpointDir() is not None
     assert shared_folder(spark) == shared_folder(spark)
+
+
+def test_penalty_is_the_strongest_within_a_standard_error():
+    assert choose_penalty([(10.0, (0.50, 0.01)), (1.0, (0.45, 0.02)), (0.1, (0.44, 0.02)), (0.01, (0.60, 0.1))]) == 1.0
+    assert choose_penalty([(1.0, (float("inf"), 0.0)), (0.1, (float("inf"), 0.0))]) == 1.0
+
+
+def test_rows_for_fitting_are_bounded_and_copies_stay_together(spark):
+    rows = spark.createDataFrame([(f"text {i // 3}",) for i in range(30)], "prompt STRING")
+    kept = [r["prompt"] for r in bounded(rows, 10).collect()]
+    assert len(kept) == 9 and all(kept.count(p) == 3 for p in kept)
+    assert bounded(rows, 30).count() == 30 and bounded(rows.limit(0), 5).count() == 0
