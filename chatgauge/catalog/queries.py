@@ -294,6 +294,11 @@ def head_rows(spark, sf_dir):
     return head_n(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), 500, "event_id")
 
 
+@query("SELECT event_id, user_id, value FROM events ORDER BY event_id LIMIT 50000")
+def head_rows_many(spark, sf_dir):
+    return head_n(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), 50_000, "event_id")
+
+
 EVENT_CAPS = {"click": 500, "error": 40, "purchase": 1000}
 
 
@@ -718,6 +723,47 @@ def jsonl_source(spark, sf_dir):
     )
 
 
+def event_lines(spark, sf_dir):
+    """Events as JSON lines in one ordered folder; returns its path."""
+    path = new_folder(spark, "events")
+    example = F.struct(
+        F.col("event_type").alias("instruction"), F.col("event_id").cast("string").alias("input"),
+        F.col("user_id").cast("string").alias("output"),
+    )
+    rows = table(spark, sf_dir, "events").select("event_id", F.to_json(example).alias("value"))
+    rows.orderBy("event_id").select("value").write.text(path)
+    return path
+
+
+def loaded(examples):
+    """(kind, event_id, user_id) taken from the messages again."""
+    m = F.col("messages")
+    asked = F.split(m[1]["content"], "\n\n")
+    return examples.select(
+        asked[0].alias("kind"), asked[1].cast("bigint").alias("event_id"),
+        F.element_at(m, -1)["content"].cast("bigint").alias("user_id"),
+    )
+
+
+@query("SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 700")
+def load_train_capped(spark, sf_dir):
+    """The first 700 training examples of JSON lines."""
+    spec = task_specs([{"task": "events", "max_samples": 700}])[0]
+    return loaded(files.load_train(spark, event_lines(spark, sf_dir), spec)).select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id, event_type AS kind FROM events ORDER BY event_id LIMIT 300")
+def load_test_capped(spark, sf_dir):
+    """The first 300 test examples of a table."""
+    path, spec = new_folder(spark, "test"), task_specs([{"task": "events", "max_val_samples": 300}])[0]
+    rows = table(spark, sf_dir, "events").select(
+        "event_id", F.col("event_type").alias("instruction"), F.col("event_id").cast("string").alias("input"),
+        F.col("user_id").cast("string").alias("output"),
+    )
+    rows.orderBy("event_id").drop("event_id").write.parquet(path)
+    return loaded(files.load_test(spark, path, spec, format="parquet"))
+
+
 @query(f"""
 SELECT '<|im_start|>system' || chr(10) || {HELPER} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || url || '<|im_end|>' ||
   chr(10) || '<|im_start|>assistant' || chr(10) || html || '<|im_end|>' AS text FROM pages""")

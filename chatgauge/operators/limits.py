@@ -3,7 +3,8 @@
 Only the order column is shuffled: the N smallest positions are found in two
 stages (spread over salts, then merged), their largest is the cut, and the table
 is filtered by ``position <= cut``.  The filter reaches the file scan, so row
-groups past the cut are skipped.  Positions must be unique.
+groups past the cut are skipped.  Positions must be unique: if the first row left out has
+the position of the last one kept, the job fails.
 """
 
 from pyspark.sql import DataFrame
@@ -15,14 +16,25 @@ def _salts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def _unique(cut, following):
+    """``cut``, unless the next position is the same."""
+    return F.when(cut == following, F.raise_error(F.lit("positions of a first-N cut are not unique"))).otherwise(cut)
+
+
 def head_n(df: DataFrame, n, order="seq") -> DataFrame:
     """The n rows with the smallest positions; n of None or 0 keeps every row."""
     if not n:
         return df
     spread = df.select(order).withColumn("salt", F.pmod(F.xxhash64(order), F.lit(_salts(df))))
     rank = F.row_number().over(W.partitionBy("salt").orderBy(order))
-    nearest = spread.withColumn("rank", rank).where(F.col("rank") <= n).select(order)
-    cut = nearest.orderBy(order).limit(n).agg(F.max(order))
+    nearest = spread.withColumn("rank", rank).where(F.col("rank") <= n + 1).select(order)
+    # one more than wanted, to see whether the cut is clear
+    first = nearest.orderBy(order).limit(n + 1).withColumn("place", F.row_number().over(W.orderBy(order)))
+    ends = first.agg(
+        F.max(F.when(F.col("place") <= n, F.col(order))).alias("cut"),
+        F.max(F.when(F.col("place") > n, F.col(order))).alias("following"),
+    )
+    cut = ends.select(_unique(F.col("cut"), F.col("following")).alias("cut"))
     return df.where(F.col(order) <= cut.scalar())
 
 
@@ -46,14 +58,18 @@ def head_n_per_task(df: DataFrame, caps: dict, order="seq", task="task", keep_ot
 
     def ranked(rows, *keys):
         rank = F.row_number().over(W.partitionBy(*keys).orderBy(order))
-        return rows.withColumn("rank", rank).where(F.col("rank") <= F.col("cap")).drop("rank")
+        return rows.withColumn("rank", rank).where(F.col("rank") <= F.col("cap") + 1)
 
     spread = df.select(task, order).join(table, F.col(task) == F.col("cap_task")).withColumn(
         "salt", F.pmod(F.xxhash64(order), F.lit(_salts(df)))
     )
-    nearest = ranked(ranked(spread, task, "salt"), task)
+    nearest = ranked(ranked(spread, task, "salt").drop("rank"), task)
+    kept = F.col("rank") <= F.col("cap")
+    ends = nearest.groupBy("cap_task").agg(
+        F.max(F.when(kept, F.col(order))).alias("cut"), F.max(F.when(~kept, F.col(order))).alias("following")
+    )
     # one row per capped task, and the caps come from the driver
-    cuts = F.broadcast(nearest.groupBy("cap_task").agg(F.max(order).alias("_cut")))
+    cuts = F.broadcast(ends.select("cap_task", _unique(F.col("cut"), F.col("following")).alias("_cut")))
     free = ~F.coalesce(F.col(task).isin(list(capped)), F.lit(False))
     return df.join(cuts, F.col(task) == F.col("cap_task"), "left").where(
         free | (F.col(order) <= F.col("_cut"))

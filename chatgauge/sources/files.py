@@ -1,5 +1,6 @@
 """Reading example files with their order, and loading train and test sets."""
 
+import uuid
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators.convert import to_messages
 from ..operators.limits import head_n
+from ..session import shared_folder
 
 ORDER = "seq"
 BLANK = " \t\r\n\f\x0b"
@@ -28,7 +30,9 @@ def read_jsonl(spark: SparkSession, paths, schema=None) -> DataFrame:
     Without a schema the result is ``raw`` (one JSON text per row) and with one the
     parsed columns; a malformed line raises.  ``seq`` orders rows by file name, then
     by the block of the file, then by line: a block is read by one task from front
-    to back, so no numbering pass over the data is needed.
+    to back, so no numbering pass over the data is needed. Only the order of ``seq`` has a
+    meaning: its values depend on how the files are split, so those of two scans must not
+    be compared.
     """
     order = F.struct("file_path", "file_block_start", "line").alias(ORDER)
     lines = _lines(spark, paths).select(order, "raw")
@@ -100,17 +104,26 @@ def read_head(spark: SparkSession, paths, format, n) -> DataFrame:
     if not needed:
         return everything.limit(0)
     rows = read_examples(spark, [unquote(f) for f in needed], format)
-    return rows if covered <= n else _cut_last(rows, needed[-1], n - (covered - counts[needed[-1]]))
+    if covered <= n:
+        return rows
+    keep = n - (covered - counts[needed[-1]])
+    if "row_index" in rows.schema[ORDER].dataType.names:
+        position = F.col(ORDER)
+        return rows.where((position["file_path"] != needed[-1]) | (position["row_index"] < keep))
+    last = _first_lines(read_examples(spark, unquote(needed[-1]), format), keep)
+    earlier = [unquote(f) for f in needed[:-1]]
+    return read_examples(spark, earlier, format).unionByName(last) if earlier else last
 
 
-def _cut_last(rows, last, keep):
-    """Keep every row of the earlier files and the first ``keep`` of the last one."""
-    position = F.col(ORDER)
-    in_last = position["file_path"] == last
-    if "row_index" in rows.schema[ORDER].dataType.names:
-        return rows.where(~in_last | (position["row_index"] < keep))
-    cut = head_n(rows.where(in_last).select(ORDER), keep, ORDER).agg(F.max(ORDER))
-    return rows.where(position <= cut.scalar())
+def _first_lines(lines, keep):
+    """The first ``keep`` lines of a file.
+
+    Lines have no place in their file that two scans would agree on, so the file is written
+    once to the shared folder with the positions of one scan, and cut there.
+    """
+    path = f"{shared_folder(lines.sparkSession)}/lines-{uuid.uuid4().hex}"
+    lines.write.parquet(path)
+    return head_n(lines.sparkSession.read.schema(lines.schema).parquet(path), keep, ORDER)
 
 
 def _load(spark, path, format, n, drop_unknown):

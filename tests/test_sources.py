@@ -121,6 +121,32 @@ def test_head_n_per_task_with_a_hot_task(spark):
         head_n_per_task(df, {"hot": 700}).collect()
 
 
+def test_ties_at_the_cut_fail(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 2), ("a", 3)], "task STRING, seq BIGINT")
+    for n in (1, 3, 4, 9):
+        assert head_n(df, n).count() == min(n, 4)
+        assert head_n_per_task(df, {"a": n}).count() == min(n, 4)
+    with pytest.raises(Exception, match="not unique"):
+        head_n(df, 2).collect()
+    with pytest.raises(Exception, match="not unique"):
+        head_n_per_task(df, {"a": 2}).collect()
+    assert head_n(df.limit(0), 2).count() == 0
+
+
+def test_first_lines_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    lines = [str(i) for i in range(2000)]
+    (tmp_path / "one.jsonl").write_text("\n".join(lines) + "\n")
+    rows = files.read_head(spark, f"{tmp_path}/one.jsonl", "jsonl", 1234)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+        assert sorted(int(r["raw"]) for r in rows.collect()) == list(range(1234))
+        again = files.read_head(spark, f"{tmp_path}/one.jsonl", "jsonl", 1234)
+        assert sorted(int(r["raw"]) for r in again.collect()) == list(range(1234))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_limits_shuffle_positions_only(spark, tmp_path):
     spark.range(100).selectExpr("id AS seq", "repeat('x', 50) AS body").write.parquet(f"{tmp_path}/wide")
     plan = head_n(spark.read.parquet(f"{tmp_path}/wide"), 10)._jdf.queryExecution().executedPlan().toString()
