@@ -141,6 +141,7 @@ def chat_label_confusion(spark, sf_dir):
 
 # ---- layout conversion ---------------------------------------------------------
 
+# Prompts and answers that results must equal.
 HELPER = "'You are a helpful assistant.'"
 CVE_TEXT = (
     "'You are a cybersecurity expert specializing in CVE analysis. Given a CVE description, provide the "

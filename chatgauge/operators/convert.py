@@ -40,6 +40,7 @@ def _chat_sql(system, user, answer):
 def chat_from_parts_sql(layout) -> str:
     """Messages from the part columns: _text (null if absent), _filled and _none of each part."""
     if layout == "cve":
+        # fixed value: the wording of the question
         user = (
             "concat('Analyze this CVE:\\n\\nCVE ID: ', coalesce(_id_text, 'Unknown'), "
             "'\\nDescription: ', coalesce(_ask_text, ''))"

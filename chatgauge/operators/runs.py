@@ -19,6 +19,7 @@ def overfit_flags(runs: DataFrame) -> DataFrame:
     shown = gaps.selectExpr(
         *kept, f"{exact_sql('_gap', 4)} AS _gap", f"{exact_sql('eval_loss', 4)} AS _eval", f"{exact_sql('train_loss', 4)} AS _train"
     )
+    # fixed value: the text of the warning
     text = (
         f"concat('OVERFITTING DETECTED: eval_loss (', {printed_sql('_eval', 4)}, ') >> train_loss (', "
         f"{printed_sql('_train', 4)}, '), gap=', {printed_sql('_gap', 4)}, "

@@ -27,6 +27,7 @@ def summary_lines(metrics: DataFrame, per_class: DataFrame) -> DataFrame:
         .agg(F.expr(f"transform(array_sort(collect_list(struct(pos, {line} AS line))), c -> c.line) AS classes"))
     )
     table = _with_percents(metrics.selectExpr("*", "quality_gate * 100 AS _gate")).selectExpr("*", f"{exact_sql('_gate', 0)} AS gate")
+    # fixed values: the wording of the lines
     lines = (
         "concat(array(concat('Accuracy: ', accuracy_text, ' | F1: ', f1_text), "
         "concat('Precision: ', precision_text, ' | Recall: ', recall_text)), "
@@ -42,6 +43,7 @@ def run_summary(metrics: DataFrame, runs: DataFrame) -> DataFrame:
 
     ``runs`` is (task, model, output, train_time_minutes, overfitting_warning).
     """
+    # fixed values: the wording of the lines
     lines = (
         "concat(array(concat('Task: ', task), concat('Model: ', model), concat('Accuracy: ', accuracy_text), "
         f"concat('F1: ', f1_text), concat('Train time: ', {printed_sql('train_time_minutes', 1)}, ' min'), "
