@@ -3,11 +3,15 @@
 S(c | b) = n(b c) / n(b) if the pair b c occurs at least LEAST times in the corpus, else
 0.4 n(c) / N; the first word of a text has n(c) / N. A pair that occurs once occurs only in
 the text that is being scored, so it counts as unseen. A text's score is the sum of log S.
+That is what the SQL of ``op2_stupid_backoff`` fixes. With ``all_pairs`` every pair counts, however
+rare: S(c | b) = n(b c) / n(b) throughout, as no pair of a scored text is unseen.
 
 A text's sum splits into one number per word, log(0.4 n(c) / N), and one per known pair,
 log(n(b c) / n(b)) - log(0.4 n(c) / N), so texts are scored by joining their exploded
 distinct words and pairs (with their number of occurrences) to one table of values, and
-summing. Words are 64-bit hashes; pairs are counted by both words and looked up by a
+summing. With all pairs the sum is that of log n over its pairs, less that of log n over all words
+but the last, plus log(n / N) of the first word: the table holds log n, and what occurs once is
+worth 0 and needs no row. Words are 64-bit hashes; pairs are counted by both words and looked up by a
 combination of their hashes. The COMMON commonest words and pairs (a fixed number) are
 broadcast and summed where the text is read, so no key that most texts share is shuffled.
 
@@ -107,8 +111,11 @@ def _apart(tables):
     return functools.reduce(DataFrame.unionAll, tables)
 
 
-def value_table(docs: DataFrame, slices=COUNT_SLICES) -> DataFrame:
-    """(key, n, value) of every word and every known pair of the corpus."""
+def value_table(docs: DataFrame, slices=COUNT_SLICES, all_pairs=False) -> tuple[DataFrame, float]:
+    """(key, n, value) of every word and every known pair of the corpus, and what each text with words adds once.
+
+    With ``all_pairs`` value is log n, and what is worth 0 has no row.
+    """
     spark = docs.sparkSession
     counts = []
     for k in range(slices):
@@ -118,13 +125,16 @@ def value_table(docs: DataFrame, slices=COUNT_SLICES) -> DataFrame:
     words = table.where("c = 0").selectExpr("b AS word", "n AS of_word")
     total = words.agg(F.sum("of_word")).first()[0]
     if not total:
-        return words.selectExpr("word AS key", "of_word AS n", "0D AS value")
+        return words.selectExpr("word AS key", "of_word AS n", "0D AS value"), 0.0
+    if all_pairs:
+        return table.where("n > 1").selectExpr(f"{KEY} AS key", "n", "ln(n) AS value"), -math.log(total)
     rare = f"ln({BACKOFF}D * of_word / {total}D)"
     first = words.selectExpr("word AS b", "of_word AS of_b")
     known = table.where("c <> 0").join(first, "b").join(words.withColumnRenamed("word", "c"), "c").selectExpr(
         f"{KEY} AS key", "n", f"ln(n / of_b) - {rare} AS value"
     )
-    return stored(words.selectExpr("word AS key", "of_word AS n", f"{rare} AS value").unionAll(known))
+    values = stored(words.selectExpr("word AS key", "of_word AS n", f"{rare} AS value").unionAll(known))
+    return values, -math.log(BACKOFF)
 
 
 def _release(spark):
@@ -135,7 +145,20 @@ def _release(spark):
         time.sleep(0.5)
 
 
-def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON) -> DataFrame:
+def _factors(row, c, all_pairs):
+    """How often the value of each word and pair of ``grams`` counts."""
+    factor = np.ones(len(row), np.int32)
+    if all_pairs:
+        word = c == 0
+        of = row[word]
+        ends = np.ones(len(of) + 1, bool)
+        ends[1:-1] = of[1:] != of[:-1]
+        # a word lies below the pair it begins; the first word also counts itself, the last begins none
+        factor[word] = -1 + ends[:-1].astype(np.int32) + ends[1:]
+    return factor
+
+
+def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON, all_pairs=False) -> DataFrame:
     """(text_key, words, total): words, and sum of values of words and pairs, over all rows with that key."""
     spark, parts = docs.sparkSession, []
     keyed = docs.select("text", F.xxhash64("doc_id", "text").alias("text_key"))
@@ -151,17 +174,17 @@ def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON)
                 n_rows = batch.num_rows
                 row, b, c = _gathered(batch.column(0))
                 words = np.bincount(row[c == 0], minlength=n_rows) * (which == 0)
-                key = _key(b, c)
-                inside = _slice(key, slices) == which
-                row, key = row[inside], key[inside]
+                key, factor = _key(b, c), _factors(row, c, all_pairs)
+                inside = (_slice(key, slices) == which) & (factor != 0)
+                row, key, factor = row[inside], key[inside], factor[inside]
                 at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
                 hit = keys[at] == key if len(keys) else np.zeros(len(key), bool)
-                here = np.bincount(row[hit], weights=worth[at[hit]], minlength=n_rows) if len(keys) else np.zeros(n_rows)
-                row, key = row[~hit], key[~hit]
+                here = np.bincount(row[hit], weights=worth[at[hit]] * factor[hit], minlength=n_rows) if len(keys) else np.zeros(n_rows)
+                row, key, factor = row[~hit], key[~hit], factor[~hit]
                 order = np.argsort(key ^ mix(row.astype(np.uint64)))
-                row, key = row[order], key[order]
+                row, key, factor = row[order], key[order], factor[order]
                 at = _runs(row, key) if len(key) else np.zeros(0, np.int64)
-                n = np.diff(np.append(at, len(key))).astype(np.int32)
+                n = np.add.reduceat(factor, at).astype(np.int32) if len(key) else np.zeros(0, np.int32)
                 # in the order of texts again: their keys then take little room in the shuffle
                 order = np.argsort(row[at].astype(np.uint16 if n_rows < 65536 else np.int64), kind="stable")
                 at, n = at[order], n[order]
@@ -185,14 +208,15 @@ def sums(docs: DataFrame, values: DataFrame, slices=SCORE_SLICES, common=COMMON)
     return _apart(parts).groupBy("text_key").agg(F.sum("words").alias("words"), F.sum("total").alias("total"))
 
 
-def scores(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, score, per_word) for every row of ``docs``."""
+def scores(docs: DataFrame, all_pairs=False) -> DataFrame:
+    """(doc_id, n_words, score, per_word) for every row of ``docs``; ``all_pairs`` also knows pairs that occur once."""
     short_batches(docs.sparkSession, ROWS)
-    found = sums(docs, value_table(docs))
+    values, once = value_table(docs, all_pairs=all_pairs)
+    found = sums(docs, values, all_pairs=all_pairs)
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("text_key"))
     # equal rows were summed together
     times = rows.groupBy("text_key").agg(F.count("*").alias("times"))
     shares = times.join(found, "text_key").selectExpr("text_key", "words DIV times AS n_words", "total / times AS share")
     return rows.join(shares, "text_key").selectExpr(
-        "doc_id", "n_words", f"if(n_words = 0, 0D, share - {math.log(BACKOFF)!r}D) AS score",
+        "doc_id", "n_words", f"if(n_words = 0, 0D, share + {once!r}D) AS score",
     ).selectExpr("*", "if(n_words = 0, NULL, score / n_words) AS per_word")

@@ -77,3 +77,9 @@ def op9_path_templates(spark, sf_dir):
 def op2_stupid_backoff(spark, sf_dir):
     scored = backoff.scores(table(spark, sf_dir, "documents"))
     return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("per_word", 6).alias("per_word"))
+
+
+@query(sql.BACKOFF_ALL_PAIRS)
+def op2_all_pairs(spark, sf_dir):
+    scored = backoff.scores(table(spark, sf_dir, "documents"), all_pairs=True)
+    return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("per_word", 6).alias("per_word"))

@@ -67,3 +67,6 @@ scored AS (
   GROUP BY id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(score, 0), 4) AS score, round(score / nullif(len(w), 0), 6) AS per_word
 FROM texts LEFT JOIN scored USING (id)"""
+
+#: Every pair counts, also those that occur once.
+BACKOFF_ALL_PAIRS = BACKOFF.replace(" HAVING count(*) >= 2", "")

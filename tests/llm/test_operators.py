@@ -141,6 +141,26 @@ def test_backoff_equals_brute_force(docs, rows):
     assert [x[2] for x in sorted(got)] == pytest.approx([x[2] for x in sorted(want)])
 
 
+def test_backoff_of_all_pairs_drops_none(docs, rows):
+    bags = [words_of(r[1]) for r in rows]
+    one, two = {}, {}
+    for w in bags:
+        for i, c in enumerate(w):
+            one[c] = one.get(c, 0) + 1
+            if i:
+                two[w[i - 1], c] = two.get((w[i - 1], c), 0) + 1
+    total = sum(one.values())
+    assert 1 in two.values()
+    want = sorted(
+        (-1 if r[0] is None else r[0], sum(math.log(two[w[i - 1], c] / one[w[i - 1]] if i else one[c] / total) for i, c in enumerate(w)))
+        for r, w in zip(rows, bags)
+    )
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in backoff.scores(docs, all_pairs=True).collect())
+    assert [x[0] for x in got] == [x[0] for x in want]
+    assert [x[1] for x in got] == pytest.approx([x[1] for x in want], abs=1e-6)
+    assert backoff.scores(docs.limit(0), all_pairs=True).count() == 0
+
+
 def fingerprint(text):
     w = [x for x in words_of(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))]
     s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([" ".join(w)] if w else [])
