@@ -18,7 +18,9 @@ from ..sinks import registry, report
 from ..sinks.training_text import training_text, write_training_text
 from ..sources import files
 from ..sources.specs import shipped_specs, spec_frame, task_specs
-from ..sources.turns import answers_from_turns, chats_from_turns, label_chats, messages_from_turns, prepare_turns, prompts_from_turns
+from ..sources.turns import (
+    answer_places_from_turns, answers_from_turns, chats_from_turns, label_chats, messages_from_turns, prepare_turns, prompts_from_turns,
+)
 from . import sql
 from .predictors import keyword_predictor
 
@@ -77,13 +79,7 @@ SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS expecte
   coalesce(max(turn) FILTER (WHERE role = 'assistant'), max(turn) + 1) - min(turn) AS n_before_answer
 FROM conversations GROUP BY conv_id""")
 def last_assistant(spark, sf_dir):
-    chats = chats_from_turns(table(spark, sf_dir, "conversations"))
-    m = "messages"
-    return chats.select(
-        "conv_id", chat.last_assistant(m).alias("expected"),
-        F.size(chat.prompt_messages(m)).cast("bigint").alias("n_prompt"),
-        F.size(chat.prompt_before_answer(m)).cast("bigint").alias("n_before_answer"),
-    )
+    return answer_places_from_turns(table(spark, sf_dir, "conversations"))
 
 
 @query(f"""

@@ -23,8 +23,10 @@ TURNS_PER_PART = 4096
 def chats_from_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, messages): every chat as one example; for chats that fit one row.
 
-    A part of a chat is no chat: whatever asks for the last answer or writes examples
-    uses this form or the aggregates below.
+    A part of a chat is no chat: whatever writes examples uses this form, whatever asks for
+    answers and counts the aggregates below.  All turns of a chat meet in one task, and its
+    array must stay below Spark's 2 GB for a value, as must the JSON line made of it; a larger
+    chat fails the job.
     """
     shape = MESSAGES.simpleString()
     chats = turns.selectExpr("conv_id", "struct(turn, role, text AS content) AS entry").groupBy("conv_id").agg(
@@ -66,6 +68,21 @@ def answers_from_turns(turns: DataFrame) -> DataFrame:
     )
 
 
+def answer_places_from_turns(turns: DataFrame) -> DataFrame:
+    """(conv_id, expected, n_prompt, n_before_answer): the last answer, turns without the last, turn numbers before the answer.
+
+    One aggregate like ``answers_from_turns``; a chat of any length is never gathered.
+    Without an answer all turn numbers count.
+    """
+    return turns.groupBy("conv_id").agg(
+        F.expr("max_by(text, turn) FILTER (WHERE role = 'assistant') AS expected"),
+        F.expr("count(*) - 1 AS n_prompt"),
+        F.expr(
+            "CAST(coalesce(max(turn) FILTER (WHERE role = 'assistant'), max(turn) + 1) - min(turn) AS BIGINT) AS n_before_answer"
+        ),
+    )
+
+
 def prompts_from_turns(turns: DataFrame, max_tokens=None, turns_per_part=TURNS_PER_PART) -> DataFrame:
     """(conv_id, prompt): prompt text without the last turn, cut after ``max_tokens`` if given.
 

@@ -5,6 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from chatgauge.catalog.queries import QUERIES
 from chatgauge.functions.rounding import printed_sql
 from chatgauge.operators.runs import overfit_flags, run_metrics
 from chatgauge.operators.score import attach_responses, prepare, respond
@@ -61,6 +62,16 @@ def test_a_long_chat_with_gaps_is_one_chat(spark):
     assert len(capped.split()) == 40 and whole.startswith(capped)
 
 
+def test_last_answers_gather_no_chat(spark, tmp_path):
+    turns = spark.range(6000).selectExpr(
+        "if(id < 5000, 7L, 8L) AS conv_id", "id AS turn", "if(id % 2 = 1 AND id < 4998, 'assistant', 'user') AS role", "concat('w', id) AS text"
+    )
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    found = QUERIES["last_assistant"](spark, str(tmp_path))
+    assert sorted(tuple(r) for r in found.collect()) == [(7, "w4997", 4999, 4997), (8, None, 999, 1000)]
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_capped_prompts_bring_few_pieces(spark):
     turns = spark.range(5000).selectExpr("1L AS conv_id", "id AS turn", "'user' AS role", "concat('t', id) AS text")
     prompts_from_turns(turns, max_tokens=30, turns_per_part=8).write.format("noop").mode("overwrite").save()
