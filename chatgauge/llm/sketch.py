@@ -4,11 +4,12 @@ A sketch keeps every shingle hash below FRACTION of the hash range, so its size
 text's, sketches of parts merge by union, and the share of the smaller sketch that lies in
 the larger estimates containment even for texts of very different length. The smallest hash
 is kept in any case (which merging preserves): where a sketch has nothing below the
-threshold, equality of the smallest hashes decides. A text of fewer than five words is one
-shingle; one without words has an empty sketch.
+threshold, equality of the smallest hashes decides in ``likeness``. A text of fewer than five
+words is one shingle; one without words has an empty sketch.
 
 ``fingerprint_neighbours`` compares each document with an edited copy and with the document
-of the next smaller id. Ids are cut into ranges by quantiles; each range is one sorted run,
+of the next smaller id. Both texts are at hand there, so the likeness is that of all their
+shingles, whatever their length; only the fingerprints returned are cut at the threshold. Ids are cut into ranges by quantiles; each range is one sorted run,
 followed by a copy of the first document of the next range, so one shuffle of the texts
 brings neighbours together and a task reads its run as a stream.
 
@@ -34,8 +35,8 @@ LIMIT = np.uint64((1 << 64) // FRACTION)
 MAX_RANGES = 10_000
 
 
-def sketches(texts):
-    """(row, hash, kept) sorted by row and hash: hashes below the threshold (kept) and row minima."""
+def shingles(texts):
+    """(row, hash, kept) of all distinct shingles, sorted by row and hash; all are kept."""
     rows, hashes, low_row = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
     for low, high, data, offsets in steps(texts):
         start, end, row = tokens(data, offsets, ~SPACES)
@@ -47,10 +48,6 @@ def sketches(texts):
             if short.any():
                 found.append(gram_hashes(words[short], row[short], k))
         h, r = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
-        least = np.full(high - low, np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(least, r, h)
-        wanted = (h < LIMIT) | (h == least[r])
-        h, r = h[wanted], r[wanted]
         order = np.lexsort((h, r))
         h, r = h[order], r[order]
         new = np.ones(len(h), bool)
@@ -59,7 +56,20 @@ def sketches(texts):
         hashes.append(h[new])
         low_row += high - low
     row, h = np.concatenate(rows), np.concatenate(hashes)
-    return row, h, h < LIMIT
+    return row, h, np.ones(len(h), bool)
+
+
+def scaled(found):
+    """(row, hash, kept) of ``shingles``: hashes below the threshold (kept) and row minima."""
+    row, h, _ = found
+    wanted = h < LIMIT
+    wanted[np.flatnonzero(np.diff(row, prepend=-1))] = True
+    return row[wanted], h[wanted], h[wanted] < LIMIT
+
+
+def sketches(texts):
+    """The sketches of texts."""
+    return scaled(shingles(texts))
 
 
 def encoded(sketch, n):
@@ -117,15 +127,15 @@ def compare(ids, texts):
     """Columns for all rows but the last, each compared with its edited text and the next row."""
     n = len(texts) - 1
     changed = [edited(a, b) for a, b in zip(texts[:-1], texts[1:])]
-    own = sketches(pa.array(texts, pa.large_string()))
-    of_changed = sketches(pa.array(changed, pa.large_string()))
+    own = shingles(pa.array(texts, pa.large_string()))
+    of_changed = shingles(pa.array(changed, pa.large_string()))
     mine = tuple(x[own[0] < n] for x in own)
     near_edited, jaccard_edited = likeness(mine, of_changed, n)
     near_next, jaccard_next = likeness(mine, _moved(own, 1), n)
     return [
         ids.slice(0, n), pa.array([len(t) for t in texts[:-1]], pa.int64()),
         pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], pa.string()),
-        pa.array(encoded(mine, n), pa.string()), pa.array(encoded(of_changed, n), pa.string()),
+        pa.array(encoded(scaled(mine), n), pa.string()), pa.array(encoded(scaled(of_changed), n), pa.string()),
         *(pa.array(x, pa.float64()) for x in (near_edited, near_next, jaccard_edited, jaccard_next)),
     ]
 

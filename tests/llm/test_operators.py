@@ -299,6 +299,30 @@ def test_sketch_neighbours_equal_brute_force(docs, rows):
     assert all(len(v) == 1 for v in by_text.values())
 
 
+def test_neighbours_are_compared_by_all_shingles(docs, rows):
+    def grams(text):
+        w = words_of(text)
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+    def likeness(a, b):
+        a, b = grams(a), grams(b)
+        if not a or not b:
+            return (float(not a and not b),) * 2
+        return len(a & b) / min(len(a), len(b)), len(a & b) / len(a | b)
+
+    want = []
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    for i, row in enumerate(ordered):
+        text, following = row[1] or "", ordered[(i + 1) % len(ordered)][1] or ""
+        k = len(text) // 3
+        want.append((row[0] or -1, *likeness(text, text[: len(text) - k] + following[:k]), *likeness(text, following)))
+    got = [
+        (r["doc_id"] or -1, r["near_edited"], r["jaccard_edited"], r["near_next"], r["jaccard_next"])
+        for r in sketch.fingerprint_neighbours(docs).collect()
+    ]
+    assert [tuple(round(x, 9) for x in r) for r in sorted(got)] == [tuple(round(x, 9) for x in r) for r in sorted(want)]
+
+
 def test_sketches_merge():
     a, b = " ".join(f"a{i}" for i in range(300)), " ".join(f"b{i}" for i in range(300))
 
