@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
-from . import apportion, backoff, boosted, factor, gru, packing, simhash_bk, sketch, sql, templates, weak_rules
+from . import (
+    apportion, backoff, boosted, factor, gru, middle, multi_index, packing, simhash_bk, sketch, sql, templates, weak_rules,
+)
 
 QUERIES, ORACLES = {}, {}
 
@@ -83,3 +85,15 @@ def op2_stupid_backoff(spark, sf_dir):
 def op2_all_pairs(spark, sf_dir):
     scored = backoff.scores(table(spark, sf_dir, "documents"), all_pairs=True)
     return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("per_word", 6).alias("per_word"))
+
+
+@query(sql.MIDDLE)
+def op11_wavelet_middle(spark, sf_dir):
+    cut = middle.fill_in_middle_digests(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query(sql.HARD_NEGATIVES)
+def op13_multi_index(spark, sf_dir):
+    mined = multi_index.hard_negatives(table(spark, sf_dir, "embeddings"))
+    return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")

@@ -70,3 +70,49 @@ FROM texts LEFT JOIN scored USING (id)"""
 
 #: Every pair counts, also those that occur once.
 BACKOFF_ALL_PAIRS = BACKOFF.replace(" HAVING count(*) >= 2", "")
+
+
+MIDDLE = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+    sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+numbers AS (
+  SELECT doc_id, t, n, CAST('0x' || d[1:8] AS BIGINT) % (n + 1) AS a, CAST('0x' || d[9:16] AS BIGINT) % (n + 1) AS b,
+    CAST('0x' || d[17:24] AS BIGINT) % 100 AS h3, CAST('0x' || d[25:32] AS BIGINT) % 100 AS h4 FROM texts),
+cuts AS (
+  SELECT doc_id, t, n, least(a, b) AS p, greatest(a, b) - least(a, b) AS m,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+      WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+pieces AS (SELECT *, left(t, p) AS prefix, substring(t, p + 1, m) AS middle, substring(t, p + m + 1) AS suffix FROM cuts),
+made AS (
+  SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END AS output FROM pieces)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m END AS middle_chars,
+  sha256(output) AS output_sha256, sha256(CASE WHEN form = 'plain' THEN output ELSE prefix || middle || suffix END) AS restored_sha256
+FROM made"""
+
+HARD_NEGATIVES = """
+WITH clean AS (
+  SELECT CAST(vec_id AS BIGINT) AS vec_id,
+    CAST(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS BIGINT) AS label,
+    list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+near AS (
+  SELECT a.vec_id AS anchor_id, a.label, a.v, p.vec_id AS positive_id,
+    CAST(list_dot_product(a.v, p.v) AS BIGINT) AS positive_score
+  FROM clean a JOIN clean p ON a.label = p.label AND a.vec_id <> p.vec_id WHERE a.vec_id % 50 = 0),
+positives AS (
+  SELECT * FROM near
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY positive_score DESC, positive_id) <= 5),
+scored AS (
+  SELECT a.vec_id AS anchor_id, n.vec_id AS negative_id, CAST(list_dot_product(a.v, n.v) AS BIGINT) AS negative_score
+  FROM clean a JOIN clean n ON a.label <> n.label WHERE a.vec_id % 50 = 0),
+windowed AS (
+  SELECT anchor_id, positive_id, negative_id, positive_score, negative_score,
+    row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY negative_score DESC, negative_id) AS rank
+  FROM positives JOIN scored USING (anchor_id)
+  WHERE 50 * positive_score <= 100 * negative_score AND 100 * negative_score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score
+FROM windowed WHERE rank <= 3"""
