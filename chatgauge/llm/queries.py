@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from . import (
-    apportion, backoff, boosted, factor, gru, middle, multi_index, packing, simhash_bk, sketch, sql, templates, weak_rules,
+    apportion, backoff, boosted, factor, grammar, gru, middle, multi_index, packing, simhash_bk, sketch, sql,
+    templates, weak_rules,
 )
 
 QUERIES, ORACLES = {}, {}
@@ -97,3 +98,11 @@ def op11_wavelet_middle(spark, sf_dir):
 def op13_multi_index(spark, sf_dir):
     mined = multi_index.hard_negatives(table(spark, sf_dir, "embeddings"))
     return mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
+
+
+@query()
+def op12_format_grammar(spark, sf_dir):
+    found = grammar.secrets(table(spark, sf_dir, "documents"))
+    counts = [F.expr(f"CAST(size(filter(spans, s -> s.kind = '{k}')) AS BIGINT)").alias(f"n_{k}") for k in grammar.KINDS]
+    base = grammar.joined(f"filter(spans, s -> s.kind <> '{grammar.ADDED}')")
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), grammar.joined("spans").alias("spans"))
