@@ -48,7 +48,9 @@ ADDED = "format"
 
 SHORTEST, ODDS = 12, 10.0
 SAMPLE, LONGEST, FEW = 4_000, 256, 20
-LEVELS, ALPHA, DOUBT = 48, 1.0, 0.05
+LEVELS, DOUBT = 48, 0.05
+#: Symbols that smoothing adds to a state of the ordinary automaton, and to one of a format.
+ALPHA, CLASS_ALPHA = 1.0, 16.0
 
 ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 END = len(ALPHABET)
@@ -142,11 +144,11 @@ def smoothed(counts):
 
 
 def strict(counts):
-    """log probabilities from counts, ALPHA symbols spread over the classes that were seen; nothing else is of the format."""
+    """log probabilities from counts, CLASS_ALPHA symbols spread over the classes that were seen; nothing else is of the format."""
     n = counts.sum(-1, keepdims=True)
     shares = (counts @ CLASSES) / np.maximum(n, 1) @ (CLASSES / CLASSES.sum(0)).T
     with np.errstate(divide="ignore"):
-        return np.log((counts + ALPHA * shares) / (n + ALPHA))
+        return np.log((counts + CLASS_ALPHA * shares) / np.where(n > 0, n + CLASS_ALPHA, 1))
 
 
 def bound(a, b):

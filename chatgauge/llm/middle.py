@@ -189,7 +189,7 @@ def _mapped(docs: DataFrame, unit, seed, finish, fields) -> DataFrame:
 def fill_in_middle(docs: DataFrame, unit="character", seed=SEED) -> DataFrame:
     """(doc_id, form, n, prefix_units, middle_units, prefix_chars, middle_chars, output) for every row; output is text."""
     made = _mapped(docs, unit, seed, lambda columns: columns, FIELDS)
-    return made.withColumn("output", F.decode("output", F.lit("UTF-8")))
+    return made.withColumn("output", F.decode("output", "UTF-8"))
 
 
 def fill_in_middle_digests(docs: DataFrame, unit="character", seed=SEED) -> DataFrame:

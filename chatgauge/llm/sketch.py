@@ -1,22 +1,26 @@
 """Document fingerprints: threshold-scaled sketches of five-word shingles.
 
-A sketch keeps every shingle hash below FRACTION of the hash range, so its size follows the
-text's, sketches of parts merge by union, and the share of the smaller sketch that lies in
-the larger estimates containment even for texts of very different length. The smallest hash
-is kept in any case (which merging preserves): where a sketch has nothing below the
-threshold, equality of the smallest hashes decides in ``likeness``. A text of fewer than five
-words is one shingle; one without words has an empty sketch.
+A sketch keeps every shingle hash below 1/FRACTION of the hash range, so its size follows the
+text's, and besides that the FLOOR least hashes, so a short text is kept whole. Both survive
+merging: the sketch of parts together is made of the sketches of the parts. A sketch is
+complete up to its reach: the whole range if it has fewer than FLOOR hashes, else the
+threshold or its last hash, whichever is further. Two sketches are compared up to the lesser
+reach: the share of the smaller one's hashes that lies in the larger estimates containment
+even for texts of very different length. A text of fewer than five words is one shingle; one
+without words has an empty sketch.
 
 ``fingerprint_neighbours`` compares each document with an edited copy and with the document
-of the next smaller id. Both texts are at hand there, so the likeness is that of all their
-shingles, whatever their length; only the fingerprints returned are cut at the threshold. Ids are cut into ranges by quantiles; each range is one sorted run,
-followed by a copy of the first document of the next range, so one shuffle of the texts
-brings neighbours together and a task reads its run as a stream.
-
-Defined results: a null text is empty; equal ids are ordered by text, rows without an id
-come last; after the last document comes the first, also when there is only one; two texts
-without words are alike (1), one with and one without are not (0); an empty table gives an
-empty result. Further columns of any name do not matter.
+of the next smaller id, by their fingerprints alone; ``exact_*`` are the same shares over all
+shingles, by which the estimates can be judged. Ids are cut into ranges by quantiles (an id
+that fills several, and rows without an id, are cut by a hash of the text); each range is one
+sorted run, followed by a copy of the first document of the next range, so one shuffle of the
+texts brings neighbours together and a task reads its run as a stream.
+
+Defined results: a null text is empty; equal ids are ordered by a hash of the text, rows
+without an id come last; after the last document comes the first, also when there is only
+one; two texts without words are alike (1), one with and one without are not (0), nor are
+texts of which one has no hash within the common reach; an empty table gives an empty result.
+Ids are whole numbers. Further columns of any name do not matter.
 """
 
 import base64
@@ -30,13 +34,14 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, gram_hashes, short_batches, span_hashes, steps, tokens
 
-SHINGLE, FRACTION = 5, 8
+SHINGLE, FRACTION, FLOOR = 5, 2, 64
 LIMIT = np.uint64((1 << 64) // FRACTION)
+EVERYTHING = np.uint64((1 << 64) - 1)
 MAX_RANGES = 10_000
 
 
 def shingles(texts):
-    """(row, hash, kept) of all distinct shingles, sorted by row and hash; all are kept."""
+    """(row, hash) of all distinct shingles, sorted by row and hash."""
     rows, hashes, low_row = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], 0
     for low, high, data, offsets in steps(texts):
         start, end, row = tokens(data, offsets, ~SPACES)
@@ -55,16 +60,15 @@ def shingles(texts):
         rows.append(r[new] + low_row)
         hashes.append(h[new])
         low_row += high - low
-    row, h = np.concatenate(rows), np.concatenate(hashes)
-    return row, h, np.ones(len(h), bool)
+    return np.concatenate(rows), np.concatenate(hashes)
 
 
 def scaled(found):
-    """(row, hash, kept) of ``shingles``: hashes below the threshold (kept) and row minima."""
-    row, h, _ = found
-    wanted = h < LIMIT
-    wanted[np.flatnonzero(np.diff(row, prepend=-1))] = True
-    return row[wanted], h[wanted], h[wanted] < LIMIT
+    """What of ``shingles`` is kept: the hashes below the threshold and the FLOOR least of each row."""
+    row, h = found
+    place = np.arange(len(row)) - np.searchsorted(row, row)
+    wanted = (h < LIMIT) | (place < FLOOR)
+    return row[wanted], h[wanted]
 
 
 def sketches(texts):
@@ -74,7 +78,7 @@ def sketches(texts):
 
 def encoded(sketch, n):
     """Each row's hashes as text: base64 of the sorted numbers, eight bytes each."""
-    row, h, _ = sketch
+    row, h = sketch
     edges = np.searchsorted(row, np.arange(n + 1))
     data = h.astype(">u8").tobytes()
     return [base64.b64encode(data[8 * a : 8 * b]).decode() for a, b in zip(edges[:-1], edges[1:])]
@@ -87,28 +91,41 @@ def decoded(text):
 def merged(*texts):
     """The sketch of several texts together (their shingles, not those across the seams)."""
     h = np.unique(np.concatenate([decoded(t) for t in texts] or [np.zeros(0, np.uint64)]))
-    return base64.b64encode(h[(h < LIMIT) | (np.arange(len(h)) == 0)].astype(">u8").tobytes()).decode()
+    return base64.b64encode(scaled((np.zeros(len(h), np.int64), h))[1].astype(">u8").tobytes()).decode()
 
 
-def likeness(a, b, n):
-    """(containment of the smaller in the larger, Jaccard) for rows 0..n-1 of two sketches."""
-    def sizes(sketch):
-        row, h, kept = sketch
-        least = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(least, row, h)
-        return np.bincount(row[kept], minlength=n), np.bincount(row, minlength=n) > 0, least
-
-    (na, some_a, least_a), (nb, some_b, least_b) = sizes(a), sizes(b)
-    row = np.concatenate([a[0][a[2]], b[0][b[2]]])
-    h = np.concatenate([a[1][a[2]], b[1][b[2]]])
+def reach(sketch, n):
+    """Up to which hash the sketch of each row is complete."""
+    row, h = sketch
+    count = np.bincount(row, minlength=n)
+    last = np.zeros(n, np.uint64)
+    np.maximum.at(last, row, h)
+    return np.where(count < FLOOR, EVERYTHING, np.maximum(last, LIMIT - np.uint64(1)))
+
+
+def shares(a, b, n):
+    """(containment of the smaller in the larger, Jaccard) of rows 0..n-1 of two sets of hashes."""
+    na, nb = (np.bincount(x[0], minlength=n) for x in (a, b))
+    row, h = np.concatenate([a[0], b[0]]), np.concatenate([a[1], b[1]])
     order = np.lexsort((h, row))
     row, h = row[order], h[order]
     both = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=n) if len(h) else np.zeros(n)
-    by_least = ((some_a == some_b) & (least_a == least_b)).astype(float)
-    counted = np.minimum(na, nb) > 0
-    contained = np.where(counted, both / np.maximum(np.minimum(na, nb), 1), by_least)
-    jaccard = np.where(counted, both / np.maximum(na + nb - both, 1), by_least)
-    return contained, jaccard
+    least, all_ = np.minimum(na, nb), na + nb - both
+    return both / np.maximum(least, 1), both / np.maximum(all_, 1)
+
+
+def likeness(a, b, n):
+    """``shares`` estimated from two sketches; rows without a hash on both sides are alike."""
+    common = np.minimum(reach(a, n), reach(b, n))
+    within = [tuple(x[s[1] <= common[s[0]]] for x in s) for s in (a, b)]
+    empty = (np.bincount(a[0], minlength=n) == 0) & (np.bincount(b[0], minlength=n) == 0)
+    return tuple(np.where(empty, 1.0, x) for x in shares(*within, n))
+
+
+def likeness_of(fingerprint, other):
+    """(containment, Jaccard) of two stored fingerprints."""
+    a, b = ((np.zeros(len(h), np.int64), h) for h in map(decoded, (fingerprint, other)))
+    return tuple(float(x[0]) for x in likeness(a, b, 1))
 
 
 def edited(text, following):
@@ -117,73 +134,103 @@ def edited(text, following):
     return text[: len(text) - k] + following[:k]
 
 
-def _moved(sketch, by):
-    row, h, kept = sketch
-    inside = row >= by
-    return row[inside] - by, h[inside], kept[inside]
+def _part(found, low, high):
+    """Rows low..high-1, numbered from 0."""
+    row, h = found
+    a, b = np.searchsorted(row, [low, high])
+    return row[a:b] - low, h[a:b]
 
 
 def compare(ids, texts):
     """Columns for all rows but the last, each compared with its edited text and the next row."""
     n = len(texts) - 1
     changed = [edited(a, b) for a, b in zip(texts[:-1], texts[1:])]
-    own = shingles(pa.array(texts, pa.large_string()))
-    of_changed = shingles(pa.array(changed, pa.large_string()))
-    mine = tuple(x[own[0] < n] for x in own)
-    near_edited, jaccard_edited = likeness(mine, of_changed, n)
-    near_next, jaccard_next = likeness(mine, _moved(own, 1), n)
+    whole = shingles(pa.array(texts, pa.large_string())), shingles(pa.array(changed, pa.large_string()))
+    all_own, all_next, all_changed = _part(whole[0], 0, n), _part(whole[0], 1, n + 1), whole[1]
+    kept = scaled(whole[0]), scaled(whole[1])
+    own, following, of_changed = _part(kept[0], 0, n), _part(kept[0], 1, n + 1), kept[1]
+    values = [*likeness(own, of_changed, n), *likeness(own, following, n)]
+    neither = [np.bincount(all_own[0], minlength=n) + np.bincount(x[0], minlength=n) == 0 for x in (all_changed, all_next)]
+    exact = [np.where(e, 1.0, shares(all_own, x, n)[0]) for e, x in zip(neither, (all_changed, all_next))]
     return [
         ids.slice(0, n), pa.array([len(t) for t in texts[:-1]], pa.int64()),
         pa.array([hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in changed], pa.string()),
-        pa.array(encoded(scaled(mine), n), pa.string()), pa.array(encoded(scaled(of_changed), n), pa.string()),
-        *(pa.array(x, pa.float64()) for x in (near_edited, near_next, jaccard_edited, jaccard_next)),
+        pa.array(encoded(own, n), pa.string()), pa.array(encoded(of_changed, n), pa.string()),
+        *(pa.array(x, pa.float64()) for x in (values[0], values[2], values[1], values[3], *exact)),
     ]
 
 
 NAMES = (
     "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next",
-    "jaccard_edited", "jaccard_next",
+    "jaccard_edited", "jaccard_next", "exact_edited", "exact_next",
 )
 
 
+class Ranges:
+    """Numbers of sorted ranges for (id, key): higher ids have higher numbers, rows without an id the least.
+
+    ``cuts`` are quantiles of the ids: one that repeats is an id that fills ranges of its own,
+    which are cut by the key (a signed 64-bit hash), as are the ``of_null`` ranges without an id.
+    """
+
+    def __init__(self, cuts, of_null):
+        self.cuts, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.width = np.where(times > 1, times, 0)
+        self.start = of_null + np.concatenate([[0], np.cumsum(1 + self.width)])
+        self.of_null = of_null
+
+    @staticmethod
+    def _share(key, n):
+        return np.minimum(((key / 2.0**64 + 0.5) * n).astype(np.int64), np.maximum(n, 1) - 1)
+
+    def of(self, ids, null, key):
+        at = np.searchsorted(self.cuts, ids)
+        inside = np.minimum(at, max(len(self.cuts) - 1, 0))
+        own = (self.width[inside] > 0) & (self.cuts[inside] == ids) if len(self.cuts) else np.zeros(len(ids), bool)
+        number = self.start[at]
+        if own.any():
+            number = number + np.where(own, 1 + self._share(key, self.width[inside]), 0)
+        return np.where(null, self._share(key, np.full(len(ids), self.of_null)), number)
+
+
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     """NAMES for every row of (doc_id, text); doc_id is a number."""
     spark = docs.sparkSession
     short_batches(spark)
-    bare = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    bare = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     parts = min(MAX_RANGES, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shares = ", ".join(f"{(k + 1) / parts:.6f}D" for k in range(parts - 1))
-    cuts = bare.selectExpr(f"percentile_approx(doc_id, array({shares}), 10000) AS cuts").first()["cuts"] if parts > 1 else []
-    cuts = np.unique(np.array(cuts or [], np.int64))
+    quantiles = ", ".join(f"{(k + 1) / parts:.6f}D" for k in range(parts - 1)) or "0.5D"
+    told = bare.selectExpr(
+        f"percentile_approx(doc_id, array({quantiles}), 10000) AS cuts", "count(*) AS n", "count(doc_id) AS n_ids"
+    ).first()
+    if not told["n"]:
+        return bare.mapInArrow(lambda batches: iter(()), _schema())
+    ranges = Ranges(told["cuts"] or [], -(-(told["n"] - told["n_ids"]) * parts // told["n"]))
 
     @F.pandas_udf("int")
-    def run_of(ids: pd.Series) -> pd.Series:
-        # rows without an id are the last of the last range
-        return pd.Series(np.where(ids.isna(), 0, np.searchsorted(cuts, ids.fillna(0).to_numpy(np.int64)))).astype("int32")
+    def run_of(ids: pd.Series, key: pd.Series) -> pd.Series:
+        known = ids.fillna(0).to_numpy(np.int64)
+        return pd.Series(ranges.of(known, ids.isna().to_numpy(), key.to_numpy(np.int64))).astype("int32")
 
-    ranged = bare.withColumn("run", run_of("doc_id"))
-    # the first document of every range: one row a range, at most ``parts``
+    keyed = bare.withColumn("key", F.xxhash64("text"))
+    ranged = keyed.withColumn("run", run_of("doc_id", "key"))
+    # the first document of every range: one row a range, about ``parts`` of them
     firsts = [
-        (r["run"], r["first"])
-        for r in ranged.groupBy("run").agg(F.max("doc_id").alias("first")).orderBy(F.desc("run")).collect()
+        (r["run"], r["first"]["doc_id"], r["first"]["key"])
+        for r in ranged.groupBy("run").agg(F.max(F.struct("doc_id", "key")).alias("first")).orderBy(F.desc("run")).collect()
     ]
-    if not firsts:
-        return bare.mapInArrow(lambda batches: iter(()), _schema(docs))
     guests = {}
-    for (run, _), (_, first) in zip(firsts, [*firsts[1:], firsts[0]]):
-        guests.setdefault(first, []).append(run)
-    known = ", ".join(f"{first}L, array({', '.join(map(str, runs))})" for first, runs in guests.items() if first is not None)
-    no_id = guests.get(None, [])
-    visits = f"coalesce(element_at(map({known}), CAST(doc_id AS BIGINT)), array())" if known else "CAST(array() AS ARRAY<INT>)"
-    if no_id:
-        visits = f"if(doc_id IS NULL, array({', '.join(map(str, no_id))}), {visits})"
+    for (run, *_), (_, *first) in zip(firsts, [*firsts[1:], firsts[0]]):
+        guests.setdefault(tuple(first), []).append(run)
+    known = ", ".join(f"'{first}:{key}', array({', '.join(map(str, runs))})" for (first, key), runs in guests.items())
+    visits = f"coalesce(element_at(map({known}), concat(coalesce(CAST(doc_id AS STRING), 'None'), ':', key)), array())"
     sent = ranged.selectExpr(
-        "doc_id", "text",
+        "doc_id", "text", "key",
         f"explode(concat(array(struct(run AS run, false AS guest)), transform({visits}, r -> struct(r AS run, true AS guest)))) AS place",
-    ).selectExpr("doc_id", "text", "place.run AS run", "place.guest AS guest")
+    ).selectExpr("doc_id", "text", "place.run AS run", "place.guest AS guest", "key")
     ordered = sent.repartition(parts, "run").sortWithinPartitions(
-        F.desc("run"), "guest", F.desc_nulls_last("doc_id"), "text"
-    )
+        F.desc("run"), "guest", F.desc_nulls_last("doc_id"), F.desc("key"), "text"
+    ).drop("key")
 
     def run(batches):
         ids, texts, runs = pa.array([], pa.int64()), [], []
@@ -204,7 +251,7 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
                 yield from _compared(ids, texts, runs)
                 ids, texts, runs = ids.slice(len(texts) - 1), texts[-1:], runs[-1:]
 
-    return ordered.mapInArrow(run, _schema(docs))
+    return ordered.mapInArrow(run, _schema())
 
 
 def _compared(ids, texts, runs):
@@ -214,8 +261,5 @@ def _compared(ids, texts, runs):
     yield made.take(asked)
 
 
-def _schema(docs):
-    return (
-        "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
-        "near_edited double, near_next double, jaccard_edited double, jaccard_next double"
-    )
+def _schema():
+    return ", ".join(f"{c} {t}" for c, t in zip(NAMES, ["long", "long", *["string"] * 3, *["double"] * 6]))

@@ -299,28 +299,78 @@ def test_sketch_neighbours_equal_brute_force(docs, rows):
     assert all(len(v) == 1 for v in by_text.values())
 
 
-def test_neighbours_are_compared_by_all_shingles(docs, rows):
-    def grams(text):
-        w = words_of(text)
-        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+def grams_of(text):
+    w = words_of(text)
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
-    def likeness(a, b):
-        a, b = grams(a), grams(b)
+
+def test_likeness_comes_from_the_fingerprints(docs, rows):
+    """near_* follow from the two returned fingerprints alone; exact_* from all shingles."""
+
+    def exact(a, b):
+        a, b = grams_of(a), grams_of(b)
+        return len(a & b) / min(len(a), len(b)) if a and b else float(not a and not b)
+
+    def by_fingerprint(a, b):
+        a, b = (np.frombuffer(base64.b64decode(x), ">u8").tolist() for x in (a, b))
         if not a or not b:
-            return (float(not a and not b),) * 2
-        return len(a & b) / min(len(a), len(b)), len(a & b) / len(a | b)
+            return float(not a and not b)
+        reach = min(max(x[-1], 2**63 - 1) if len(x) >= sketch.FLOOR else 2**64 for x in (a, b))
+        a, b = ({h for h in x if h <= reach} for x in (a, b))
+        return len(a & b) / min(len(a), len(b)) if a and b else 0.0
 
-    want = []
+    got = {}
+    for r in sketch.fingerprint_neighbours(docs).collect():
+        got.setdefault((r["doc_id"], r["edited_sha256"]), []).append(r)
+    fingerprints = {}
     ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    found = []
     for i, row in enumerate(ordered):
         text, following = row[1] or "", ordered[(i + 1) % len(ordered)][1] or ""
         k = len(text) // 3
-        want.append((row[0] or -1, *likeness(text, text[: len(text) - k] + following[:k]), *likeness(text, following)))
-    got = [
-        (r["doc_id"] or -1, r["near_edited"], r["jaccard_edited"], r["near_next"], r["jaccard_next"])
-        for r in sketch.fingerprint_neighbours(docs).collect()
-    ]
-    assert [tuple(round(x, 9) for x in r) for r in sorted(got)] == [tuple(round(x, 9) for x in r) for r in sorted(want)]
+        changed = text[: len(text) - k] + following[:k]
+        r = got[row[0], hashlib.sha256(changed.encode()).hexdigest()].pop()
+        fingerprints[text] = r["fingerprint"]
+        found.append((r, text, following, changed))
+    for r, text, following, changed in found:
+        assert r["near_edited"] == pytest.approx(by_fingerprint(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["near_next"] == pytest.approx(by_fingerprint(r["fingerprint"], fingerprints[following]))
+        assert (r["near_edited"], r["jaccard_edited"]) == pytest.approx(sketch.likeness_of(r["fingerprint"], r["edited_fingerprint"]))
+        assert r["exact_edited"] == pytest.approx(exact(text, changed)) and r["exact_next"] == pytest.approx(exact(text, following))
+        if len(grams_of(text)) < sketch.FLOOR and len(grams_of(changed)) < sketch.FLOOR:
+            assert r["near_edited"] == pytest.approx(r["exact_edited"])
+
+
+def test_estimates_are_close_to_all_shingles(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(50)]
+    rows = [(i, " ".join(rng.choices(words, k=rng.randint(1, 900)))) for i in range(400)]
+    made = sketch.fingerprint_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    errors = [abs(r["near_edited"] - r["exact_edited"]) for r in made]
+    assert sum(errors) / len(errors) < 0.03 and max(errors) < 0.25
+
+
+def test_ranges_split_hot_and_missing_ids(spark):
+    ranges = sketch.Ranges([5, 9, 9, 9, 20], 3)
+    key = np.linspace(-(2.0**63), 2.0**63 - 2048, 40).astype(np.int64)
+    numbers = [ranges.of(np.full(40, i), np.full(40, null), key) for i, null in ((0, True), (4, False), (7, False), (9, False), (15, False), (30, False))]
+    assert [len(set(n.tolist())) for n in numbers] == [3, 1, 1, 3, 1, 1]
+    assert all(a.max() < b.min() for a, b in zip(numbers, numbers[1:]))
+    assert all((np.diff(n) >= 0).all() for n in numbers)
+    # three of four rows without an id, many more with one id: neighbours are still those of one order
+    rows = [(None, f"text number {i} without id and more words {i % 7}") for i in range(300)]
+    rows += [(8, f"text number {i} of the same id {i % 5}") for i in range(80)] + [(i, f"own {i}") for i in range(20)]
+    spark.conf.set("spark.sql.shuffle.partitions", "12")
+    try:
+        made = sketch.fingerprint_neighbours(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.xxhash64("text"))
+    ordered = [r["text"] for r in table.orderBy(F.desc_nulls_last("doc_id"), F.desc("key")).collect()]
+    want = {
+        hashlib.sha256(sketch.edited(t, ordered[(i + 1) % len(ordered)]).encode()).hexdigest() for i, t in enumerate(ordered)
+    }
+    assert len(made) == 400 and {r["edited_sha256"] for r in made} == want
 
 
 def test_sketches_merge():
@@ -330,6 +380,8 @@ def test_sketches_merge():
         return sketch.encoded(sketch.sketches(pa.array([text])), 1)[0]
 
     both = sketch.merged(made(a), made(b))
+    kept = sorted({*sketch.decoded(made(a)).tolist(), *sketch.decoded(made(b)).tolist()})
+    assert sketch.decoded(both).tolist() == [h for k, h in enumerate(kept) if h < 2**63 or k < sketch.FLOOR]
     assert set(sketch.decoded(both)) >= set(sketch.decoded(made(a))) and sketch.merged(made(a), made(a)) == made(a)
     assert len(base64.b64decode(made(""))) == 0
 
