@@ -82,12 +82,6 @@ def op2_stupid_backoff(spark, sf_dir):
     return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("per_word", 6).alias("per_word"))
 
 
-@query(sql.BACKOFF_ALL_PAIRS)
-def op2_all_pairs(spark, sf_dir):
-    scored = backoff.scores(table(spark, sf_dir, "documents"), all_pairs=True)
-    return scored.select("doc_id", "n_words", F.round("score", 4).alias("score"), F.round("per_word", 6).alias("per_word"))
-
-
 @query(sql.MIDDLE)
 def op11_wavelet_middle(spark, sf_dir):
     cut = middle.fill_in_middle_digests(table(spark, sf_dir, "documents"))

@@ -57,21 +57,31 @@ FROM streamed JOIN spans USING (place, shard)"""
 BACKOFF = r"""
 WITH texts AS (
   SELECT doc_id, row_number() OVER () AS id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-places AS (SELECT id, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM texts)),
-words AS (SELECT c, count(*) AS n FROM places GROUP BY c),
-pairs AS (SELECT b, c, count(*) AS n FROM places WHERE b IS NOT NULL GROUP BY b, c HAVING count(*) >= 2),
+places AS (
+  SELECT id, len(w) AS m, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] END AS a
+  FROM (SELECT id, w, unnest(range(1, len(w) + 1)) AS i FROM texts)),
+own1 AS (SELECT id, c, count(*) AS n FROM places GROUP BY ALL),
+own2 AS (SELECT id, b, c, count(*) AS n FROM places WHERE b IS NOT NULL GROUP BY ALL),
+own3 AS (SELECT id, a, b, c, count(*) AS n FROM places WHERE a IS NOT NULL GROUP BY ALL),
+else1 AS (SELECT id, c, sum(n) OVER (PARTITION BY c) - n AS n FROM own1),
+else2 AS (SELECT id, b, c, sum(n) OVER (PARTITION BY b, c) - n AS n FROM own2),
+else3 AS (SELECT id, a, b, c, sum(n) OVER (PARTITION BY a, b, c) - n AS n FROM own3),
 scored AS (
-  SELECT id, sum(CASE WHEN p.b IS NULL THEN ln(w.n / (SELECT sum(n) FROM words))
-    WHEN pairs.n IS NOT NULL THEN ln(pairs.n / f.n) ELSE ln(0.4::DOUBLE * w.n / (SELECT sum(n) FROM words)) END) AS score
-  FROM places p JOIN words w ON w.c = p.c LEFT JOIN words f ON f.c = p.b LEFT JOIN pairs ON pairs.b = p.b AND pairs.c = p.c
-  GROUP BY id)
+  SELECT p.id, sum(CASE
+    WHEN abc.n > 0 THEN ln(abc.n / ab.n)
+    WHEN bc.n > 0 THEN ln(bc.n / b.n) + (least(i, 3) - 2) * ln(0.4::DOUBLE)
+    WHEN c.n > 0 THEN ln(c.n / greatest((SELECT count(*) FROM places) - m, 1)) + (least(i, 3) - 1) * ln(0.4::DOUBLE)
+    ELSE ln(1 / greatest((SELECT count(*) FROM places) - m, 1)) + least(i, 3) * ln(0.4::DOUBLE) END) AS score
+  FROM places p
+  LEFT JOIN else3 abc ON abc.id = p.id AND abc.a = p.a AND abc.b = p.b AND abc.c = p.c
+  LEFT JOIN else2 ab ON ab.id = p.id AND ab.b = p.a AND ab.c = p.b
+  LEFT JOIN else2 bc ON bc.id = p.id AND bc.b = p.b AND bc.c = p.c
+  LEFT JOIN else1 b ON b.id = p.id AND b.c = p.b
+  LEFT JOIN else1 c ON c.id = p.id AND c.c = p.c
+  GROUP BY p.id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, round(coalesce(score, 0), 4) AS score, round(score / nullif(len(w), 0), 6) AS per_word
 FROM texts LEFT JOIN scored USING (id)"""
 
-#: Every pair counts, also those that occur once.
-BACKOFF_ALL_PAIRS = BACKOFF.replace(" HAVING count(*) >= 2", "")
-
-
 MIDDLE = r"""
 WITH texts AS (
   SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,

@@ -120,45 +120,72 @@ def test_packing_keeps_every_token(docs, rows):
         assert r["bucket"] is None or (r["length"] <= r["padded"] and r["slot"] < max(1, 100 // r["padded"]))
 
 
-def test_backoff_equals_brute_force(docs, rows):
-    bags = [words_of(r[1]) for r in rows]
-    one, two = {}, {}
-    for w in bags:
+def backoff_by_hand(bags):
+    """(score, levels used) of each bag of words against the others."""
+    def counts(w):
+        out = {}
+        for n in (1, 2, 3):
+            for i in range(len(w) - n + 1):
+                out[tuple(w[i : i + n])] = out.get(tuple(w[i : i + n]), 0) + 1
+        return out
+
+    own, whole = [counts(w) for w in bags], {}
+    for c in own:
+        for k, v in c.items():
+            whole[k] = whole.get(k, 0) + v
+    total, out = sum(map(len, bags)), []
+    for w, mine in zip(bags, own):
+        rest, s, levels = max(total - len(w), 1), 0.0, []
         for i, c in enumerate(w):
-            one[c] = one.get(c, 0) + 1
-            if i:
-                two[w[i - 1], c] = two.get((w[i - 1], c), 0) + 1
-    total = sum(one.values())
-    want = []
-    for r, w in zip(rows, bags):
-        s = 0.0
-        for i, c in enumerate(w):
-            pair = two.get((w[i - 1], c), 0) if i else 0
-            s += math.log(pair / one[w[i - 1]]) if pair >= 2 else math.log((0.4 if i else 1) * one[c] / total)
-        want.append((-1 if r[0] is None else r[0], len(w), round(s, 6)))
-    got = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], round(r["score"], 6)) for r in backoff.scores(docs).collect()]
-    assert [x[:2] for x in sorted(got)] == [x[:2] for x in sorted(want)]
-    assert [x[2] for x in sorted(got)] == pytest.approx([x[2] for x in sorted(want)])
+            start = min(i + 1, 3)
+            for n in range(start, 0, -1):
+                gram = tuple(w[i - n + 1 : i + 1])
+                above = whole[gram] - mine[gram]
+                if above:
+                    below = rest if n == 1 else whole[gram[:-1]] - mine[gram[:-1]]
+                    s += math.log(0.4 ** (start - n) * above / below)
+                    break
+            else:
+                n = 0
+                s += math.log(0.4**start / rest)
+            levels.append(n)
+        out.append((s, levels))
+    return out
 
 
-def test_backoff_of_all_pairs_drops_none(docs, rows):
+def test_backoff_equals_brute_force(docs, rows):
     bags = [words_of(r[1]) for r in rows]
-    one, two = {}, {}
-    for w in bags:
-        for i, c in enumerate(w):
-            one[c] = one.get(c, 0) + 1
-            if i:
-                two[w[i - 1], c] = two.get((w[i - 1], c), 0) + 1
-    total = sum(one.values())
-    assert 1 in two.values()
-    want = sorted(
-        (-1 if r[0] is None else r[0], sum(math.log(two[w[i - 1], c] / one[w[i - 1]] if i else one[c] / total) for i, c in enumerate(w)))
-        for r, w in zip(rows, bags)
-    )
-    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["score"]) for r in backoff.scores(docs, all_pairs=True).collect())
-    assert [x[0] for x in got] == [x[0] for x in want]
-    assert [x[1] for x in got] == pytest.approx([x[1] for x in want], abs=1e-6)
-    assert backoff.scores(docs.limit(0), all_pairs=True).count() == 0
+    by_hand = backoff_by_hand(bags)
+    assert {n for _, levels in by_hand for n in levels} == {0, 1, 2, 3}
+    want = sorted((-1 if r[0] is None else r[0], len(w), s) for r, w, (s, _) in zip(rows, bags, by_hand))
+    # common n-grams known everywhere, none of them, and many small partitions
+    for options in ({}, {"common": 1, "slices": 1}, {"common": 50, "partition_grams": 500}):
+        made = backoff.scores(docs, **options).collect()
+        got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["score"]) for r in made)
+        assert [x[:2] for x in got] == [x[:2] for x in want]
+        assert [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=1e-6)
+        assert all((r["per_word"] is None) == (r["n_words"] == 0) for r in made)
+
+
+def test_backoff_of_one_text_and_of_copies(spark):
+    one = spark.createDataFrame([(1, "a b a b c")], "doc_id long, text string")
+    assert backoff.scores(one).collect()[0]["score"] == pytest.approx(backoff_by_hand([["a", "b", "a", "b", "c"]])[0][0])
+    two = spark.createDataFrame([(1, "a b c"), (1, "a b c")], "doc_id long, text string")
+    assert [r["score"] for r in backoff.scores(two).collect()] == pytest.approx([math.log(1 / 3)] * 2)
+
+
+def test_backoff_units_are_bounded(spark):
+    rows = [(i, "word " * (i % 7)) for i in range(5000)] + [(i, "x" * (5 << 20)) for i in range(4)]
+    units = backoff.unit_table(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
+    sizes = units.groupBy("unit").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    assert all(r["n"] <= backoff.UNIT_ROWS and r["bytes"] <= backoff.UNIT_BYTES for r in sizes) and len(sizes) == 6
+    assert units.select("unit", "row").distinct().count() == len(rows)
+
+
+def test_packed_arrays_come_back():
+    a, b, c = np.arange(70_000, dtype=np.uint64) << np.uint64(40), np.arange(70_000).astype(np.uint16), np.arange(70_000, dtype=np.uint32) * 7
+    back = backoff.unpacked(backoff.packed(a, b, c), np.uint64, np.uint16, np.uint32)
+    assert all((x == y).all() for x, y in zip((a, b, c), back))
 
 
 def fingerprint(text):
