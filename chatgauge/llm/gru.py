@@ -7,21 +7,27 @@ windows of WINDOW bytes, all of which are read (the state starts anew in each),
 windows move through the time steps together and memory does not depend on text length.
 Gates use the piecewise linear sigmoid clip(x / 4 + 1 / 2, 0, 1).
 
-Only text and non-null lang of rows outside fold 0 are learned from: SAMPLE documents
-(chosen by a hash of the id) give up to PER_TEXT windows each, spread over the whole text.
+Only text and non-null lang of rows outside fold 0 are learned from. SAMPLE documents are
+shared out evenly among the languages (at least LEAST for each), chosen by a hash of the id,
+so a rare language is learned at any size of the corpus; documents give PER_TEXT windows
+each, spread over the whole text, those of a language with few documents up to MOST_WINDOWS.
+At most LANGUAGES languages are learned, the commonest.
+
 Defined results: ``und`` with score 0 for a text that is null or has no letter, and for all
-if nothing was learned; repeated rows are judged alike; ties go to the language first in
+if nothing was learned; ``keep_recognised`` then keeps every row, since no text can be told
+to be of no language; repeated rows are judged alike; ties go to the language first in
 order; an empty table gives an empty result. Further columns of any name do not matter.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fold, held_out, short_batches, steps
 
 SAMPLE, PER_TEXT = 4000, 2
+LEAST, MOST_WINDOWS, LANGUAGES = 200, 64, 256
 WINDOW, HIDDEN = 96, 8
 TRAIN_WINDOW, EPOCHS, BATCH, RATE = 48, 10, 256, 0.02
 #: Windows that move through the network together.
@@ -155,31 +161,48 @@ def pooled(net: ByteGRU, texts) -> np.ndarray:
     return np.concatenate(out)
 
 
+def sampled(learned: DataFrame, limit=SAMPLE) -> DataFrame:
+    """(doc_id, windows): documents to learn from, shared out evenly among the languages."""
+    counts = learned.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    each = max(-(-limit // max(len(counts), 1)), LEAST)
+    known = learned.sparkSession.createDataFrame(
+        [(r["lang"], r["count"], min(MOST_WINDOWS, max(PER_TEXT, PER_TEXT * each // r["count"]))) for r in counts],
+        "lang string, n long, windows int",
+    )
+    keyed = learned.select("doc_id", "lang", F.xxhash64("doc_id").alias("key")).join(F.broadcast(known), "lang")
+    # about twice the rows wanted of each language, so that no large language meets in one task
+    few = keyed.where(f"n <= {2 * each} OR pmod(key, 1073741824) < {2 * each} * 1073741824D / n")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.expr("pmod(key, 1073741824)"), "doc_id"))
+    chosen = few.withColumn("place", place).where(F.col("place") <= each)
+    return chosen.groupBy("doc_id").agg(F.max("windows").alias("windows"))
+
+
 def training_windows(docs: DataFrame, limit=SAMPLE):
     """(x, y, languages): windows of the sampled documents, cut out on the executors."""
     learned = docs.select("doc_id", "lang", "text").where(fold(F.col("doc_id")) != 0).where(
         F.col("lang").isNotNull() & (F.length("text") > 0)
     )
-    chosen = learned.select("doc_id", F.xxhash64("doc_id").alias("key")).orderBy("key", "doc_id").limit(limit)
-    ids = F.broadcast(chosen.select("doc_id").distinct())  # one number a row, at most ``limit`` rows
-    rows = learned.join(ids, "doc_id").select("doc_id", "lang", "text")
+    ids = F.broadcast(sampled(learned, limit))  # two numbers a row, about ``limit`` rows
+    rows = learned.join(ids, "doc_id").select("doc_id", "lang", "text", "windows")
 
     def run(batches):
         for batch in batches:
-            made = []
+            made, windows = [], batch.column(3).to_pylist()
             for low, high, data, offsets in steps(batch.column(2)):
                 for i in range(high - low):
                     body = data[offsets[i] : offsets[i + 1]]
-                    for k in range(PER_TEXT):
-                        at = (len(body) - TRAIN_WINDOW) * (2 * k + 1) // (2 * PER_TEXT)
-                        made.append((low + i, body[max(0, at) : max(0, at) + TRAIN_WINDOW].tobytes()))
+                    n = windows[low + i]
+                    places = {max(0, (len(body) - TRAIN_WINDOW) * (2 * k + 1) // (2 * n)) for k in range(n)}
+                    made += [(low + i, body[at : at + TRAIN_WINDOW].tobytes()) for at in sorted(places)]
             rows = pa.array([i for i, _ in made], pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).cast(pa.string()).take(rows), batch.column(1).take(rows), pa.array([w for _, w in made], pa.binary())],
                 ["doc_id", "lang", "bytes"],
             )
 
-    made = rows.mapInArrow(run, "doc_id string, lang string, bytes binary").orderBy("doc_id", "bytes").limit(limit * PER_TEXT)
+    made = rows.mapInArrow(run, "doc_id string, lang string, bytes binary").orderBy("doc_id", "bytes")
+    # repeated ids bring more rows than were chosen
+    made = made.limit(2 * PER_TEXT * max(limit, LEAST * LANGUAGES))
     made = made.collect()
     languages = sorted({r["lang"] for r in made})
     x = np.zeros((len(made), TRAIN_WINDOW), np.uint8)
@@ -224,11 +247,11 @@ def languages(docs: DataFrame, limit=SAMPLE) -> DataFrame:
 def keep_recognised(docs: DataFrame, sure=0.4, limit=SAMPLE) -> DataFrame:
     """The rows of ``docs`` (all its columns) whose language is recognised with at least ``sure``.
 
-    Rows pass through Python whole, so nothing is shuffled.
+    Without labelled rows nothing is learned and every row stays. Rows pass through Python whole, so nothing is shuffled.
     """
     net = learn(docs, limit)
     if net is None:
-        return docs.limit(0)
+        return docs
     letters = docs.select(F.struct(*docs.columns).alias("kept_row"), "text", F.col("text").rlike(r"\p{L}").alias("has_letter"))
 
     def run(batches):

@@ -249,20 +249,55 @@ def test_classifiers_split_learn_and_score(spark, docs, labels, rows):
         assert len({r["score"] for r in scored.collect()}) == 1
 
 
-def test_factor_machine_learns_a_pair():
-    rng = np.random.default_rng(0)
-    y, sets = [], []
-    for _ in range(3000):
+def drawn_sets(rng, n, vocabulary, words):
+    """Term sets and labels: 1 where exactly both or neither of the terms 1 and 2 occur, each neutral alone."""
+    sets, y = [], []
+    for _ in range(n):
         a, b = (int(v) for v in rng.random(2) < 0.5)
-        y.append(float(a and b))
-        sets.append([10] * a + [20] * b + list(rng.choice(np.arange(100, 130), 3, replace=False)))
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    machine = factor.fit(row, np.concatenate([np.array(s, np.int64) for s in sets]), np.array(y))
-
-    def margin(*terms):
-        return machine.margins(*machine.known(np.zeros(len(terms), np.int64), np.array(terms, np.int64)), 1)[0]
-
-    assert margin(10, 20) > 0 > max(margin(10), margin(20), margin())
+        sets.append(sorted([1] * a + [2] * b + list(10 + rng.choice(vocabulary, words, replace=False))))
+        y.append(float(a == b))
+    return np.repeat(np.arange(n), [len(s) for s in sets]), np.concatenate(sets).astype(np.int64), np.array(y)
+
+
+def test_factor_machine_learns_a_pair_neutral_alone():
+    row, bucket, y = drawn_sets(np.random.default_rng(0), 4000, 500, 20)
+    alone = [y[np.isin(np.arange(4000), row[bucket == t])].mean() for t in (1, 2)]
+    assert max(abs(a - 0.5) for a in alone) < 0.03
+    learn = row < 3200
+    machine = factor.fit(row[learn], bucket[learn], y[:3200])
+    margins = machine.margins(*machine.known(row[~learn] - 3200, bucket[~learn]), 800)
+    assert ((margins >= 0) == y[3200:]).mean() > 0.95
+
+
+def test_margin_is_a_sum_over_pairs():
+    row, bucket, y = drawn_sets(np.random.default_rng(1), 600, 30, 4)
+    machine = factor.fit(row, bucket, y)
+    number = {b: k for k, b in enumerate(machine.buckets.tolist())}
+    margins = machine.margins(*machine.known(row, bucket), 600)
+    assert len(number) > 2
+    for i in range(0, 600, 17):
+        terms = [number[b] for b in bucket[row == i].tolist() if b in number]
+        by_hand = machine.bias + sum(machine.weights[t] for t in terms)
+        by_hand += sum(float(machine.factors[s] @ machine.factors[t]) for s, t in itertools.combinations(terms, 2))
+        assert margins[i] == pytest.approx(by_hand)
+
+
+def test_toxicity_of_held_out_texts(spark):
+    """The words of one group are harmless unless an insult stands with them; other words are noise."""
+    rng = random.Random(4)
+    noise = [f"word{i}" for i in range(300)]
+    rows, labels_ = [], []
+    for i in range(2500):
+        group, insult = rng.random() < 0.5, rng.random() < 0.5
+        words = rng.choices(noise, k=15) + ["Group"] * group + ["insult!"] * insult
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+        labels_.append((i, int(group and insult)))
+    scored = factor.toxicity_scores(
+        spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels_, "doc_id long, toxic int")
+    )
+    held = [(r["predicted"], labels_[r["doc_id"]][1]) for r in scored.where("held_out").collect()]
+    assert len(held) > 400 and sum(a == b for a, b in held) / len(held) > 0.95
 
 
 def test_boosted_trees_fit_an_interaction():
@@ -302,8 +337,49 @@ def test_gru_tells_alphabets_apart(spark):
     assert len(got) == len(rows)
     assert [got[k]["lang_pred"] for k in (900, 901, 902, 903)] == ["und", "und", "und", "b"]
     assert sum(got[i]["lang_pred"] == "ab"[i % 2] for i in range(300)) > 290
-    none = gru.languages(spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")).collect()
-    assert none[0]["lang_pred"] == "und"
+    none = spark.createDataFrame([(1, "abc", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert {r["lang_pred"] for r in gru.languages(none).collect()} == {"und"}
+    # nothing was learned, so nothing is rejected
+    assert gru.keep_recognised(none).count() == 2
+
+
+def test_gru_learns_a_rare_language(spark):
+    rng = random.Random(9)
+    alphabets = {"a": "abcde ", "b": "vwxyz ", "rare": "mnopq "}
+    rows = [(i, "".join(rng.choices(alphabets["ab"[i % 2]], k=60)), "ab"[i % 2]) for i in range(20_000)]
+    # of one in 20,000 the learned half, and some without a label
+    learned = next(i for i in range(20_000, 20_050) if zlib.crc32(str(i).encode()) % 5)
+    rows += [(learned, "".join(rng.choices(alphabets["rare"], k=3000)), "rare")]
+    rows += [(30_000 + i, "".join(rng.choices(alphabets["rare"], k=100)), None) for i in range(20)]
+    got = {r["doc_id"]: r["lang_pred"] for r in gru.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert sum(got[30_000 + i] == "rare" for i in range(20)) >= 19
+    assert sum(got[i] == "ab"[i % 2] for i in range(2000)) >= 1960
+
+
+def test_gru_forward_pass_equals_a_walk():
+    """States, probabilities and pooling step by step, one window and direction at a time."""
+    net = gru.ByteGRU(["a", "b", "c"], seed=5)
+    text = "Zürich and 漢字 " * 20
+    body = np.frombuffer(text.encode(), np.uint8)
+    squash = lambda x: np.clip(x / 4 + 0.5, 0, 1)
+    total = np.zeros(3)
+    for low in range(0, len(body), gru.WINDOW):
+        # the last window is filled up with zero bytes, whose positions do not count
+        window = np.zeros(gru.WINDOW, np.int64)
+        window[: len(body) - low] = body[low : low + gru.WINDOW]
+        both = []
+        for d, order in ((0, window), (1, window[::-1])):
+            h, states = np.zeros(net.hidden), []
+            for byte in order:
+                x, u = net.p["inputs"][:, byte + 256 * d].astype(float), net.p["recurrent"][:, d].astype(float)
+                z, r = squash(x[0] + h @ u[0]), squash(x[1] + h @ u[1])
+                h = z * h + (1 - z) * np.tanh(x[2] + r * (h @ u[2]))
+                states.append(h)
+            both.append(states if d == 0 else states[::-1])
+        for k in range(min(gru.WINDOW, len(body) - low)):
+            logits = both[0][k] @ net.p["out"][0] + both[1][k] @ net.p["out"][1] + net.p["bias"]
+            total += np.exp(logits) / np.exp(logits).sum()
+    assert gru.pooled(net, pa.array([text]))[0] == pytest.approx(total / len(body), abs=1e-4)
 
 
 def test_sketch_neighbours_equal_brute_force(docs, rows):
