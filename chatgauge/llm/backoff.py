@@ -16,7 +16,8 @@ Places travel in packed arrays, one for each (unit, partition), so Spark moves f
 rows. The commonest n-grams (at most COMMON, found in a sample of SAMPLE texts, counted over
 all) are broadcast instead of shuffled: no partition has to hold a key that many texts
 share, and the choice has no bearing on results. The key space is cut into slices, one pass
-over the stored texts each; the shuffle files of a pass go when its result is written.
+over the stored texts each, and so are the units at last; the shuffle files of a pass go when
+its result is written.
 
 Keys are 64-bit hashes of the words; two n-grams with one hash would share their counts.
 
@@ -39,8 +40,8 @@ from .common import SPACES, mix, short_batches, span_hashes, steps, stored, toke
 
 BACKOFF, ORDERS = 0.4, 3
 COMMON, SAMPLE = 1 << 16, 4_096
-#: Slices of the key space, n-grams of a hash partition, and bounds of a unit.
-SLICES, PARTITION_GRAMS = 3, 2_000_000
+#: Slices of the key space and of the units, n-grams of a hash partition, and bounds of a unit.
+SLICES, UNIT_SLICES, PARTITION_GRAMS = 4, 3, 2_000_000
 UNIT_ROWS, UNIT_BYTES = 2_048, 8 << 20
 #: Texts of a batch, and packed arrays of one.
 TEXTS, PACKS = 500, 128
@@ -98,7 +99,7 @@ def unit_table(docs: DataFrame) -> DataFrame:
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return stored(docs.select("doc_id", "text").mapInArrow(run, f"unit long, row int, doc_id {kind}, text string"))
+    return stored(docs.select("doc_id", "text").mapInArrow(run, f"unit long, row int, doc_id {kind}, text string"), "zstd")
 
 
 def common_grams(units: DataFrame, most=COMMON, sample=SAMPLE) -> tuple[Common, int]:
@@ -173,8 +174,8 @@ def exploded(units: DataFrame, common, which: int, slices: int, partitions: int)
             for low, high, data, offsets in steps(batch.column(2)):
                 row, place, keys = grams(data, offsets)
                 for order, key in enumerate(keys):
-                    hit, _ = common.value.find(key)
-                    use = np.flatnonzero(~hit & (key != 0) & ((key >> np.uint64(40)) % np.uint64(slices) == which))
+                    use = np.flatnonzero(((key >> np.uint64(40)) % np.uint64(slices) == which) & (key != 0))
+                    use = use[~common.value.find(key[use])[0]]
                     key, r = key[use], row[use] + first
                     made.append((unit_of[r], key, row_of[r] | np.uint16(order << _ORDER_SHIFT), place[use].astype(np.uint32)))
                 first += high - low
@@ -311,7 +312,9 @@ def freed_shuffles(spark):
             spark.conf.set(name, before)
 
 
-def scores(docs: DataFrame, slices=SLICES, common=COMMON, partition_grams=PARTITION_GRAMS) -> DataFrame:
+def scores(
+    docs: DataFrame, slices=SLICES, unit_slices=UNIT_SLICES, common=COMMON, partition_grams=PARTITION_GRAMS
+) -> DataFrame:
     """(doc_id, n_words, score, per_word) for every row of ``docs``."""
     spark = docs.sparkSession
     short_batches(spark, TEXTS)
@@ -323,7 +326,7 @@ def scores(docs: DataFrame, slices=SLICES, common=COMMON, partition_grams=PARTIT
         counts = None
         for which in range(slices):
             short_batches(spark, PACKS)
-            found = stored(counts_by_place(exploded(units, shared, which, slices, partitions), partitions))
+            found = stored(counts_by_place(exploded(units, shared, which, slices, partitions), partitions), "zstd")
             counts = found if counts is None else counts.unionAll(found)
 
         kind = docs.schema["doc_id"].dataType.simpleString()
@@ -335,6 +338,9 @@ def scores(docs: DataFrame, slices=SLICES, common=COMMON, partition_grams=PARTIT
             )
             return pa.table({"doc_id": texts["doc_id"], "n_words": pa.array(n), "score": pa.array(score)})
 
-        scored = units.groupBy("unit").cogroup(counts.groupBy("unit")).applyInArrow(run, f"doc_id {kind}, n_words long, score double")
-        result = stored(scored)
-    return result.selectExpr("*", "if(n_words = 0, NULL, score / n_words) AS per_word")
+        scored, fields = None, f"doc_id {kind}, n_words long, score double"
+        for which in range(unit_slices):
+            asked, found = (t.where(f"pmod(xxhash64(unit), {unit_slices}) = {which}") for t in (units, counts))
+            part = stored(asked.groupBy("unit").cogroup(found.groupBy("unit")).applyInArrow(run, fields))
+            scored = part if scored is None else scored.unionAll(part)
+    return scored.selectExpr("*", "if(n_words = 0, NULL, score / n_words) AS per_word")
