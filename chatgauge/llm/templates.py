@@ -8,10 +8,11 @@ are rejected) are merged with it. Every template gets the share of rejected urls
 labelled ones, smoothed towards one half by PRIOR urls, and is rejected from PURITY on; so
 one without labelled urls never is, nor is it merged with one of a clear share.
 
-Levels work on distinct (host, shape) rows with counts, never on urls; all steps are built-in
+Rounds work on distinct (host, shape) rows with counts, never on urls; all steps are built-in
 aggregates and joins on (host, template, segment), so a host with a third of all urls is
-counted map-side first and its join partitions can be split. Segments past DEPTH count as
-one ``**`` segment.
+counted map-side first and its join partitions can be split. Where everything below a node
+goes on with the same segments, one round passes them all, so paths of any depth take as many
+rounds as they have forks.
 
 Defined results: a null url or one without ``://`` has empty host and path and template
 ``/``; the longest matching rule wins, ties (equal host and path, different verdicts) go to
@@ -29,7 +30,7 @@ RULES = (
     ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
     ("net", "/es/", "block"), ("net", "/fr/", "block"),
 )
-DEPTH, WIDE = 8, 20
+WIDE = 20
 PRIOR, PURITY = 4.0, 0.75
 ALIKE, CLOSE = 0.25, 0.2
 
@@ -53,10 +54,7 @@ def split_urls(pages: DataFrame) -> DataFrame:
     )
     return shaped.selectExpr(
         "page_id", "host", "path",
-        rf"transform(slice(split(path, '/'), 2, greatest(size(split(path, '/')) - 1, 0)), s -> {segment}) AS segments",
-    ).selectExpr(
-        "page_id", "host", "path",
-        f"if(size(segments) > {DEPTH}, concat(slice(segments, 1, {DEPTH - 1}), array('**')), segments) AS shape",
+        rf"transform(slice(split(path, '/'), 2, greatest(size(split(path, '/')) - 1, 0)), s -> {segment}) AS shape",
     )
 
 
@@ -80,16 +78,21 @@ def _sums():
     return [F.sum(c).alias(c) for c in COUNTS]
 
 
-def _level(rows: DataFrame, d: int) -> DataFrame:
-    """Extend ``template`` and ``share`` by the generalised segment at depth ``d``."""
-    kid = f"get(shape, {d + 1})"
-    here = rows.selectExpr(
-        "host", "template", "shape", "n", "labelled", "rejected", f"coalesce(get(shape, {d}), '') AS segment",
+def _round(rows: DataFrame) -> DataFrame:
+    """Extend ``template`` and ``share`` of rows that go on past their first ``at`` segments."""
+    node = ["host", "template", "at"]
+    open_rows = rows.where("size(shape) > at").withColumn("rest", F.expr("slice(shape, at + 1, size(shape) - at)"))
+    # what all of a node's shapes begin with is what its first and last one in order begin with
+    ends = open_rows.groupBy(*node).agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+    same = "filter(sequence(1, least(size(low), size(high))), i -> low[i - 1] <> high[i - 1])"
+    width = ends.selectExpr(*node, f"greatest(1, coalesce(get({same}, 0) - 1, least(size(low), size(high)))) AS width")
+    kid = "get(rest, width)"
+    here = open_rows.join(width, node).selectExpr(
+        *node, "shape", "n", "labelled", "rejected", "width", "array_join(slice(rest, 1, width), '/') AS segment",
         f"if({kid} IS NULL, n, 0L) AS k_end", f"if({kid} LIKE '%{{n}}%', n, 0L) AS k_number",
         f"if({kid} LIKE '%{{x}}%' AND {kid} NOT LIKE '%{{n}}%', n, 0L) AS k_hex",
         f"if({kid} NOT LIKE '%{{n}}%' AND {kid} NOT LIKE '%{{x}}%', n, 0L) AS k_word",
-    ).where(f"size(shape) > {d}")
-    node = ["host", "template"]
+    )
     by_segment = here.groupBy(*node, "segment").agg(*_sums())
     fan = by_segment.groupBy(*node).agg(F.count("*").alias("kinds"), F.sum("n").alias("all_n"))
     wide = f"if(kinds > {WIDE} AND n * {WIDE} < all_n, '*', segment)"
@@ -111,10 +114,10 @@ def _level(rows: DataFrame, d: int) -> DataFrame:
     to_group = joined.select(*node, "branch", "merged").join(groups, [*node, "merged"]).drop("merged")
     to_label = named.select(*node, "segment", "branch").join(to_group, [*node, "branch"]).drop("branch")
     longer = here.join(to_label, [*node, "segment"]).selectExpr(
-        "host", "concat(template, if(template = '/', '', '/'), label) AS template", "new_share AS share", "shape",
-        "n", "labelled", "rejected",
+        "host", "concat(template, if(template = '/', '', '/'), label) AS template", "at + width AS at", "new_share AS share",
+        "shape", "n", "labelled", "rejected",
     )
-    ended = rows.where(f"size(shape) <= {d}").select(*longer.columns)
+    ended = rows.where("size(shape) <= at").select(*longer.columns)
     return longer.unionByName(ended)
 
 
@@ -124,12 +127,13 @@ def tree(urls: DataFrame) -> DataFrame:
         F.count("*").alias("n"), F.count("label").alias("labelled"), F.coalesce(F.sum("label"), F.lit(0)).cast("long").alias("rejected")
     )
     shapes = cut(shapes)
-    deepest = shapes.agg(F.max(F.size("shape"))).first()[0] or 0
     whole = shapes.groupBy("host").agg(F.sum("labelled").alias("labelled"), F.sum("rejected").alias("rejected"))
     hosts = whole.selectExpr("host", f"{SHARE} AS share")
-    rows = shapes.join(hosts, "host").selectExpr("host", "'/' AS template", "share", "shape", "n", "labelled", "rejected")
-    for d in range(deepest):
-        rows = cut(_level(rows, d))
+    rows = shapes.join(hosts, "host").selectExpr(
+        "host", "'/' AS template", "0 AS at", "share", "shape", "n", "labelled", "rejected"
+    )
+    while not rows.where("size(shape) > at").isEmpty():
+        rows = cut(_round(rows))
     return rows.select("host", "shape", "template", "share")
 
 

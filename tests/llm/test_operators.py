@@ -540,6 +540,78 @@ def test_url_templates_reject_by_labels(spark):
     assert {got[1000 + i]["template"] for i in range(60)} == {"/tag/*"}
 
 
+def tree_by_hand(shapes):
+    """{shape: (template, share)} of one host from {shape: (n, labelled, rejected)}, a level at a time."""
+    out = {}
+    share = lambda rows: (sum(shapes[s][2] for s in rows) + 2) / (sum(shapes[s][1] for s in rows) + 4)
+
+    def down(rows, depth, template, now):
+        ended = [s for s in rows if len(s) == depth]
+        for s in ended:
+            out[s] = (template, now)
+        by_segment = {}
+        for s in rows:
+            if len(s) > depth:
+                by_segment.setdefault(s[depth], []).append(s)
+        n_of = lambda part: sum(shapes[s][0] for s in part)
+        total, branches = sum(map(n_of, by_segment.values())), {}
+        for segment, part in by_segment.items():
+            rare = len(by_segment) > templates.WIDE and n_of(part) * templates.WIDE < total
+            branches.setdefault("*" if rare else segment, []).extend(part)
+
+        def profile(part):
+            kinds = {"end": 0, "number": 0, "hex": 0, "word": 0}
+            for s in part:
+                kid = s[depth + 1] if len(s) > depth + 1 else None
+                kinds["end" if kid is None else "number" if "{n}" in kid else "hex" if "{x}" in kid else "word"] += shapes[s][0]
+            return {k: v / n_of(part) for k, v in kinds.items()}
+
+        if branches:
+            lead = max(branches, key=lambda b: (n_of(branches[b]), b))
+        merged = {}
+        for branch, part in branches.items():
+            a, b = profile(part), profile(branches[lead])
+            alike = sum(abs(a[k] - b[k]) for k in a) / 2 <= templates.ALIKE and abs(share(part) - share(branches[lead])) <= templates.CLOSE
+            merged.setdefault(lead if alike else branch, []).append(branch)
+        for names in merged.values():
+            part = [s for b in names for s in branches[b]]
+            label = names[0] if len(names) == 1 else "(" + "|".join(sorted(names)) + ")"
+            down(part, depth + 1, template + ("" if template == "/" else "/") + label, share(part))
+
+    down(list(shapes), 0, "/", share(shapes))
+    return out
+
+
+def test_url_tree_equals_brute_force(spark):
+    rng = random.Random(7)
+    urls = []
+    for host in ("a", "b"):
+        kinds = [["news", "tag", "x{n}"], [f"s{i}" for i in range(30)], ["{n}", "{x}", "p"], ["end", "{n}.html"], ["deep"] * 9]
+        for _ in range(700):
+            shape = [rng.choice(k) for k in kinds[: rng.randint(0, 5)]] + ["same", "same", "tail"] * (rng.random() < 0.1)
+            urls.append((host, shape, rng.choice([None, 0, 1, int("tag" in shape)])))
+    urls += [("deep", ["c"] * 400 + [e], v) for e, v in (("x", 1), ("y", 0))] + [("deep", ["c"] * 300, None), ("none", [], 1)]
+    got = {(r["host"], tuple(r["shape"])): (r["template"], r["share"]) for r in templates.tree(spark.createDataFrame(urls, "host string, shape array<string>, label int")).collect()}
+    want = {}
+    for host in {u[0] for u in urls}:
+        shapes = {}
+        for h, shape, label in urls:
+            if h == host:
+                n, labelled, rejected = shapes.get(tuple(shape), (0, 0, 0))
+                shapes[tuple(shape)] = (n + 1, labelled + (label is not None), rejected + (label or 0))
+        want |= {(host, shape): v for shape, v in tree_by_hand(shapes).items()}
+    assert got.keys() == want.keys()
+    assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+    assert [got[k][1] for k in want] == pytest.approx([v[1] for v in want.values()])
+
+
+def test_urls_that_differ_deep_down(spark):
+    pages = [(i, f"http://h.org/a/b/c/d/e/f/g/{'good' if i % 2 else 'bad'}/{i}") for i in range(200)]
+    marks = spark.createDataFrame([(i, 1 - i % 2) for i in range(200)], "page_id long, label int")
+    got = templates.filter_urls(spark.createDataFrame(pages, "page_id long, url string"), labels=marks).collect()
+    assert all((r["verdict"] == "block") == (r["page_id"] % 2 == 0) for r in got) and len(got) == 200
+
+
 def test_empty_tables(spark, docs, labels):
     none = docs.limit(0)
     pages = spark.createDataFrame([], "page_id long, url string")
