@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import chat, labels
 from ..functions.rounding import exact_sql
 from ..functions.text import truncated
-from ..operators import classifier, metrics, runs, timings
+from ..operators import classifier, metrics, runs, subwords, timings
 from ..operators.convert import to_messages
 from ..operators.limits import head_n, head_n_per_task
 from ..operators.score import label_responses, respond
@@ -286,6 +286,20 @@ def truncated_text(spark, sf_dir):
     return truncated(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 50, flag="truncated")
 
 
+#: A published vocabulary's rank file; a parameter of the queries below.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query(sql.subword_counts("documents", "doc_id", VOCABULARY, 128))
+def subword_counts(spark, sf_dir, vocabulary=VOCABULARY):
+    """Sub-word tokens of whole texts, and how much of each a cap of 128 keeps."""
+    rows = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", "text")
+    known = subwords.Vocabulary(spark, vocabulary)
+    counted = subwords.with_token_count(rows, "text", known)
+    cut = subwords.token_capped(counted, "text", 128, known, flag="truncated", size="kept_bytes")
+    return cut.select("doc_id", "n_tokens", "truncated", "kept_bytes")
+
+
 @query("SELECT event_id, event_type, value FROM events ORDER BY event_id LIMIT 500")
 def head_rows(spark, sf_dir):
     return head_n(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), 500, "event_id")

@@ -89,3 +89,37 @@ m AS (SELECT *, {rounded('accuracy', 4)} >= quality_gate AS quality_gate_passed
 
 def metrics(scored, tasks):
     return metric_table(scored, tasks) + "\nSELECT * FROM m"
+
+
+def subword_counts(table, key, vocabulary, n):
+    """Tokens of each text, whether they are more than n, and the bytes of the first n: byte pairs merged step by step."""
+    return rf"""
+WITH RECURSIVE ranks AS (
+  SELECT hex(from_base64(b)) AS h, r
+  FROM read_csv('{vocabulary}', delim = ' ', header = false, quote = '', columns = {{'b': 'VARCHAR', 'r': 'BIGINT'}})),
+spaced AS (
+  -- the last blank of a run belongs to what follows
+  SELECT {key}, regexp_replace(text, '([ \t\n\r\f]+)([ \t\n\r\f][^ \t\n\r\f])', '\1' || chr(1) || '\2', 'g') AS t FROM {table}),
+found AS (
+  SELECT {key}, regexp_extract_all(t,
+    '''s|''t|''re|''ve|''m|''ll|''d| ?\p{{L}}+| ?\p{{N}}+| ?[^ \t\n\r\f\x01\p{{L}}\p{{N}}]+|[ \t\n\r\f]+') AS ps FROM spaced),
+pieces AS (SELECT {key}, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM found),
+kinds AS (SELECT DISTINCT p, hex(encode(p)) AS hp FROM pieces),
+merging AS (
+  SELECT p, 0 AS step, i, substring(hp, 2 * i - 1, 2) AS h FROM (SELECT p, hp, unnest(range(1, len(hp) // 2 + 1)) AS i FROM kinds)
+  UNION ALL
+  SELECT p, step + 1, i, CASE WHEN i = best THEN h || nh ELSE h END
+  FROM (
+    SELECT m.*, first(CASE WHEN r.r IS NOT NULL THEN i END) OVER (PARTITION BY p ORDER BY r.r NULLS LAST, i) AS best
+    FROM (
+      SELECT *, lead(h) OVER places AS nh, lag(i) OVER places AS before FROM merging WINDOW places AS (PARTITION BY p ORDER BY i)) m
+    LEFT JOIN ranks r ON r.h = m.h || m.nh)
+  WHERE best IS NOT NULL AND before IS DISTINCT FROM best),
+ended AS (SELECT p, max(step) AS step FROM merging GROUP BY p),
+tokens AS (SELECT p, list(len(h) // 2 ORDER BY i) AS sizes FROM merging JOIN ended USING (p, step) GROUP BY p),
+placed AS (
+  SELECT {key}, size, row_number() OVER (PARTITION BY {key} ORDER BY k, j) AS place
+  FROM (SELECT {key}, k, unnest(sizes) AS size, generate_subscripts(sizes, 1) AS j FROM pieces JOIN tokens USING (p))),
+counted AS (SELECT {key}, count(*) AS n, sum(size) FILTER (WHERE place <= {n}) AS kept FROM placed GROUP BY {key})
+SELECT {key}, CAST(coalesce(n, 0) AS BIGINT) AS n_tokens, coalesce(n, 0) > {n} AS truncated, CAST(coalesce(kept, 0) AS BIGINT) AS kept_bytes
+FROM {table} LEFT JOIN counted USING ({key}) WHERE text IS NOT NULL"""

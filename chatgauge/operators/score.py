@@ -13,23 +13,24 @@ from pyspark.sql import types as T
 
 from ..functions.chat import answer_sql, asked_sql, before_answer_sql, prompt_sql
 from ..functions.labels import task_label_sql
-from ..functions.text import truncated
+from .subwords import capped
 
 Predictor = Callable[[List[str]], List[str]]
 
 
-def prepare(examples: DataFrame, specs, max_tokens=None, hide_answer=False) -> DataFrame:
+def prepare(examples: DataFrame, specs, max_tokens=None, hide_answer=False, vocabulary=None) -> DataFrame:
     """(task, example_id, expected, prompt) of (task, example_id, messages).
 
     Examples without ground truth stay, with null in both, since they count in n.
-    Only the label of the answer is carried on, not its text.
+    Only the label of the answer is carried on, not its text. ``max_tokens`` counts tokens of
+    the vocabulary, or blank-separated ones without it.
     """
     asked = before_answer_sql("messages") if hide_answer else asked_sql("messages")
     texts = examples.selectExpr("task", "example_id", "messages", f"nullif({answer_sql('messages')}, '') AS answer").selectExpr(
         "task", "example_id", "answer", f"if(answer IS NULL, NULL, {prompt_sql(asked)}) AS prompt"
     )
     labelled = texts.selectExpr("task", "example_id", f"{task_label_sql('answer', 'task', specs)} AS expected", "prompt")
-    return truncated(labelled, "prompt", max_tokens) if max_tokens else labelled
+    return capped(labelled, "prompt", max_tokens, vocabulary) if max_tokens else labelled
 
 
 def respond(prepared: DataFrame, factory: Callable[[], Predictor], tasks=None) -> DataFrame:

@@ -3,14 +3,14 @@
 from pyspark.sql import DataFrame
 
 from ..functions.chat import chat_sql
-from ..functions.text import truncated
+from ..operators.subwords import capped
 
 
-def training_text(examples: DataFrame, max_tokens=None) -> DataFrame:
-    """Render ``messages``; with ``max_tokens`` each text is cut after that many."""
+def training_text(examples: DataFrame, max_tokens=None, vocabulary=None) -> DataFrame:
+    """Render ``messages``; with ``max_tokens`` each text is cut after that many (of the vocabulary, if given)."""
     texts = examples.selectExpr(f"{chat_sql('messages')} AS text")
-    return truncated(texts, "text", max_tokens) if max_tokens else texts
+    return capped(texts, "text", max_tokens, vocabulary) if max_tokens else texts
 
 
-def write_training_text(examples: DataFrame, path, format="parquet", max_tokens=None, mode="errorifexists"):
-    training_text(examples, max_tokens).write.mode(mode).format(format).save(path)
+def write_training_text(examples: DataFrame, path, format="parquet", max_tokens=None, vocabulary=None, mode="errorifexists"):
+    training_text(examples, max_tokens, vocabulary).write.mode(mode).format(format).save(path)

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.chat import turn_sql
 from ..functions.expr import literal
 from ..functions.labels import clean_classes, names_class_sql, search_order, task_label_sql
-from ..functions.text import truncated
 from ..operators.limits import head_n_per_task
+from ..operators.subwords import capped
 from ..schema import ANSWER_OPEN, MESSAGES
 
 TURNS_PER_PART = 4096
@@ -83,21 +83,22 @@ def answer_places_from_turns(turns: DataFrame) -> DataFrame:
     )
 
 
-def prompts_from_turns(turns: DataFrame, max_tokens=None, turns_per_part=TURNS_PER_PART) -> DataFrame:
+def prompts_from_turns(turns: DataFrame, max_tokens=None, turns_per_part=TURNS_PER_PART, vocabulary=None) -> DataFrame:
     """(conv_id, prompt): prompt text without the last turn, cut after ``max_tokens`` if given.
 
-    The open assistant turn stands in for the dropped last turn.
+    Tokens are those of the vocabulary, or blank-separated ones without it. The open assistant turn stands in for the dropped last turn.
     """
     ends = turns.groupBy("conv_id").agg(F.expr("min(turn) AS start"), F.expr("max(turn) AS end"))
-    return _prompts(turns, ends, ["conv_id"], max_tokens, turns_per_part)
+    return _prompts(turns, ends, ["conv_id"], max_tokens, turns_per_part, vocabulary)
 
 
-def _prompts(turns, ends, keys, max_tokens, turns_per_part):
+def _prompts(turns, ends, keys, max_tokens, turns_per_part, vocabulary=None):
     """Prompts by chat; ``ends`` holds the first and last turn number of each chat.
 
     Every rendered turn starts a new token and has at least two (its marker and its
     text), so max_tokens tokens lie within the first max_tokens/2 + 1 turns, and no
-    turn needs to bring more than max_tokens tokens along.  Turns are counted per part
+    turn needs to bring more than max_tokens tokens along (and, since the line break between
+    two turns may join with sub-words around it, a few more).  Turns are counted per part
     (numbers only) to find the parts before which fewer turns lie; only these bring
     texts, each no more than are still wanted, so at most that many meet on a chat.
     Without a cap a chat's whole prompt is one value, and all its turns meet.
@@ -117,14 +118,14 @@ def _prompts(turns, ends, keys, max_tokens, turns_per_part):
     met = numbered.join(wanted.select(*keys, "part", "before"), [*keys, "part"])
     rendered = met.selectExpr(*keys, "part", "before", "turn", f"{turn_sql('role', 'text')} AS piece")
     parts = (
-        truncated(rendered, "piece", max_tokens)
+        capped(rendered, "piece", max_tokens + 8, vocabulary)
         .groupBy(*keys, "part")
         .agg(F.expr("array_sort(collect_list(struct(turn, piece))) AS pieces"), F.max("before").alias("before"))
         .selectExpr(*keys, f"slice(pieces, 1, {cap} - CAST(before AS INT)) AS pieces")
     )
     chats = parts.groupBy(*keys).agg(F.expr("array_sort(flatten(collect_list(pieces))) AS pieces"))
     texts = chats.join(ends.select(*keys, "end"), keys).selectExpr(*keys, f"{shown} AS prompt")
-    return truncated(texts, "prompt", max_tokens)
+    return capped(texts, "prompt", max_tokens, vocabulary)
 
 
 def label_chats(turns: DataFrame, classes) -> DataFrame:
@@ -165,7 +166,7 @@ def label_chats(turns: DataFrame, classes) -> DataFrame:
     )
 
 
-def prepare_turns(turns: DataFrame, specs, max_tokens=None) -> DataFrame:
+def prepare_turns(turns: DataFrame, specs, max_tokens=None, vocabulary=None) -> DataFrame:
     """(task, example_id, expected, prompt) of chats stored by turn, ready to be scored.
 
     ``turns`` carries a ``task`` column.  Each task's first ``max_test_samples`` chats
@@ -181,7 +182,7 @@ def prepare_turns(turns: DataFrame, specs, max_tokens=None) -> DataFrame:
     kept = turns.join(chats.select(*keys), keys, "left_semi")
     answered = chats.selectExpr(*keys, "answer_turn AS turn")
     answers = turns.join(answered, [*keys, "turn"]).selectExpr(*keys, "nullif(text, '') AS answer")
-    prompts = _prompts(kept, chats.select(*keys, "start", "end"), keys, max_tokens, TURNS_PER_PART)
+    prompts = _prompts(kept, chats.select(*keys, "start", "end"), keys, max_tokens, TURNS_PER_PART, vocabulary)
     return prompts.join(answers, keys, "left").selectExpr(
         "task", "conv_id AS example_id", f"{task_label_sql('answer', 'task', specs)} AS expected",
         "if(answer IS NULL, NULL, prompt) AS prompt",
