@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import chat, labels
 from ..functions.rounding import exact_sql
 from ..functions.text import truncated
-from ..operators import classifier, metrics, runs, subwords, timings
+from ..operators import class_lists, classifier, metrics, runs, subwords, timings
 from ..operators.convert import to_messages
 from ..operators.limits import head_n, head_n_per_task
 from ..operators.score import label_responses, respond
@@ -281,6 +281,25 @@ def extract_label_by_row(spark, sf_dir):
     return rows.select("doc_id", labels.extract_label_by_row("text", "classes").alias("label"))
 
 
+@query(r"""
+WITH words AS (
+  -- the other engine writes the capital of one German letter as two
+  SELECT doc_id, unnest(list_distinct(regexp_extract_all(upper(replace(text, 'ß', 'ss')), '[\p{L}\p{N}_]+'))) AS word FROM documents),
+named AS (
+  SELECT word, row_number() OVER (ORDER BY count(*) DESC, word) AS place FROM words WHERE regexp_full_match(word, '[A-Z]{4,}')
+  GROUP BY word ORDER BY place LIMIT 10000),
+found AS (SELECT doc_id, arg_min(word, (-length(word), place)) AS label FROM words JOIN named USING (word) GROUP BY doc_id)
+SELECT doc_id, CASE WHEN text IS NOT NULL THEN coalesce(label, (SELECT word FROM named WHERE place = 1)) END AS label
+FROM documents LEFT JOIN found USING (doc_id)""")
+def extract_label_long_list(spark, sf_dir):
+    """Labels from a list of ten thousand classes: the commonest words of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.explode(F.array_distinct(F.expr(r"regexp_extract_all(upper(text), '[\\p{L}\\p{N}_]+', 0)"))).alias("word"))
+    common = words.where(F.col("word").rlike("^[A-Z]{4,}$")).groupBy("word").count().orderBy(F.desc("count"), "word").limit(10_000)
+    names = [r["word"] for r in common.collect()]  # the class list, at most ten thousand names
+    return class_lists.with_label(docs.select("doc_id", "text"), "text", names).select("doc_id", "label")
+
+
 @query(f"SELECT doc_id, {sql.first_tokens('text', 50)[1]} AS text, {sql.first_tokens('text', 50)[0]} AS truncated FROM documents")
 def truncated_text(spark, sf_dir):
     return truncated(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", 50, flag="truncated")
