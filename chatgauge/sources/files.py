@@ -1,44 +1,55 @@
 """Reading example files with their order, and loading train and test sets."""
 
-import uuid
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.convert import to_messages
 from ..operators.limits import head_n
-from ..session import shared_folder
 
 ORDER = "seq"
 BLANK = " \t\r\n\f\x0b"
 
 
+def _scanned(spark, paths):
+    """Lines as one scan numbers them: by file, block of the file, and a number that rises inside a block."""
+    return spark.read.text(paths).select(
+        F.btrim(F.col("value"), F.lit(BLANK)).alias("raw"), "_metadata.file_path", "_metadata.file_block_start",
+    ).withColumn("number", F.monotonically_increasing_id())
+
+
 def _lines(spark, paths):
-    body = F.btrim(F.col("value"), F.lit(BLANK))
-    return (
-        spark.read.text(paths)
-        .select(body.alias("raw"), "_metadata.file_path", "_metadata.file_block_start")
-        .withColumn("line", F.monotonically_increasing_id())
-        .where(F.col("raw") != "")
-    )
+    """Non-blank lines with ``seq``: file and number of the line in it, blank ones counted.
 
+    How many lines lie before a block of a file comes from one count per block; that is a
+    row for each 128 MB of input, so it is broadcast. Blocks are those of this plan, for the
+    lines and for the counts alike, so line numbers are the same however files are split.
+    """
+    scanned = _scanned(spark, paths)
+    block = ["file_path", "file_block_start"]
+    counts = scanned.groupBy(*block).agg(F.count("*").alias("n"), F.min("number").alias("first"))
+    before = F.sum("n").over(W.partitionBy("file_path").orderBy("file_block_start").rowsBetween(W.unboundedPreceding, -1))
+    base = counts.select(*block, (F.coalesce(before, F.lit(0)) - F.col("first")).alias("base"))
+    placed = scanned.join(F.broadcast(base), block)
+    order = F.struct("file_path", (F.col("number") + F.col("base")).alias("line")).alias(ORDER)
+    return placed.where(F.col("raw") != "").select(order, "raw")
 
-def read_jsonl(spark: SparkSession, paths, schema=None) -> DataFrame:
+
+def read_jsonl(spark: SparkSession, paths, schema=None, positions=True) -> DataFrame:
     """Non-blank lines with their position.
 
     Without a schema the result is ``raw`` (one JSON text per row) and with one the
-    parsed columns; a malformed line raises.  ``seq`` orders rows by file name, then
-    by the block of the file, then by line: a block is read by one task from front
-    to back, so no numbering pass over the data is needed. Only the order of ``seq`` has a
-    meaning: its values depend on how the files are split, so those of two scans must not
-    be compared.
+    parsed columns; a malformed line raises.  ``seq`` is (file, line number), the same in
+    every read however files are split.  It takes a count over the lines first; where no
+    order is needed, ``positions=False`` leaves ``seq`` and that pass out.
     """
-    order = F.struct("file_path", "file_block_start", "line").alias(ORDER)
-    lines = _lines(spark, paths).select(order, "raw")
+    lines = _lines(spark, paths) if positions else _scanned(spark, paths).where(F.col("raw") != "").select("raw")
     if schema is None:
         return lines
-    return lines.select(ORDER, F.from_json("raw", schema, {"mode": "FAILFAST"}).alias("row")).select(ORDER, "row.*")
+    kept = [ORDER] if positions else []
+    return lines.select(*kept, F.from_json("raw", schema, {"mode": "FAILFAST"}).alias("row")).select(*kept, "row.*")
 
 
 def read_table(spark: SparkSession, paths) -> DataFrame:
@@ -74,56 +85,59 @@ def read_split(spark: SparkSession, root, split, splits, format="parquet"):
     return read_examples(spark, f"{root.rstrip('/')}/{used}", format), used
 
 
+def _names(spark, paths) -> DataFrame:
+    """(file_path) of all files below the paths; their content is not read."""
+    return spark.read.format("binaryFile").load(paths).select("_metadata.file_path")
+
+
 def read_head(spark: SparkSession, paths, format, n) -> DataFrame:
     """The first n rows in file order, opening only as many files as hold them.
 
-    Files are counted from the front in growing batches until n rows are covered,
-    the way ``take`` widens its search; the rows of the last file are then cut.
+    Files are opened from the front in growing batches until n rows are covered, the way
+    ``take`` widens its search. The driver sees the names of opened files only, and of each
+    batch one row: the file in which row n lies, if it does.
     """
-    everything = read_examples(spark, paths, format)
     if not n:
-        return everything
-    files = sorted(everything.inputFiles())  # URI-encoded, like _metadata.file_path
-    counts, batch, start = {}, 1, 0
-    while start < len(files) and sum(counts.values()) < n:
-        chosen = [unquote(f) for f in files[start : start + batch]]
-        found = (
-            read_examples(spark, chosen, format)
-            .groupBy(F.col(ORDER)["file_path"].alias("file_path"))
-            .count()
-            .collect()  # one row per opened file
-        )
-        counts.update({row["file_path"]: row["count"] for row in found})
-        start, batch = start + batch, batch * 4
-    needed, covered = [], 0
-    for path in sorted(counts):
-        if covered >= n:
+        return read_examples(spark, paths, format)
+    if format not in READERS:
+        raise ValueError(f"format must be one of {sorted(READERS)}")
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    names, opened, batch, covered, last = _names(spark, paths), [], 1, 0, None
+    while last is None:
+        rest = names.where(F.col("file_path") > opened[-1]) if opened else names
+        chosen = [r["file_path"] for r in rest.orderBy("file_path").limit(batch).collect()]
+        if not chosen:
             break
-        needed.append(path)
-        covered += counts[path]
-    if not needed:
-        return everything.limit(0)
-    rows = read_examples(spark, [unquote(f) for f in needed], format)
-    if covered <= n:
-        return rows
-    keep = n - (covered - counts[needed[-1]])
-    if "row_index" in rows.schema[ORDER].dataType.names:
-        position = F.col(ORDER)
+        counts = _counted(spark, chosen, format).groupBy("file_path").agg(F.count("*").alias("n"))
+        upto = F.sum("n").over(W.orderBy("file_path")) + covered  # a row for each file of the batch
+        placed = counts.select("file_path", upto.alias("upto"), "n")
+        # the first file that reaches row n, and the rows of the batch
+        last, covered = placed.agg(
+            F.min_by(F.struct("file_path", (F.col("upto") - F.col("n")).alias("before")), F.when(F.col("upto") >= n, F.col("upto"))),
+            F.coalesce(F.max("upto"), F.lit(covered)),
+        ).first()
+        opened, batch = opened + chosen, batch * 4
+    if not opened:
+        return read_examples(spark, paths, format).limit(0)
+    if last is None:
+        return read_examples(spark, [unquote(f) for f in opened], format)
+    needed = [f for f in opened if f <= last["file_path"]]
+    rows, keep = read_examples(spark, [unquote(f) for f in needed], format), n - last["before"]
+    position = F.col(ORDER)
+    if format == "parquet":
         return rows.where((position["file_path"] != needed[-1]) | (position["row_index"] < keep))
-    last = _first_lines(read_examples(spark, unquote(needed[-1]), format), keep)
-    earlier = [unquote(f) for f in needed[:-1]]
-    return read_examples(spark, earlier, format).unionByName(last) if earlier else last
-
-
-def _first_lines(lines, keep):
-    """The first ``keep`` lines of a file.
-
-    Lines have no place in their file that two scans would agree on, so the file is written
-    once to the shared folder with the positions of one scan, and cut there.
-    """
-    path = f"{shared_folder(lines.sparkSession)}/lines-{uuid.uuid4().hex}"
-    lines.write.parquet(path)
-    return head_n(lines.sparkSession.read.schema(lines.schema).parquet(path), keep, ORDER)
+    # blank lines have numbers too, so the place of the last line is looked up
+    ends = read_examples(spark, unquote(needed[-1]), format).select(position["line"].alias("line"))
+    cut = head_n(ends, keep, "line").agg(F.max("line").alias("line")).scalar()
+    return rows.where((position["file_path"] != needed[-1]) | (position["line"] <= cut))
+
+
+def _counted(spark, files, format) -> DataFrame:
+    """(file_path) for every row of the files."""
+    read = [unquote(f) for f in files]
+    if format == "parquet":
+        return spark.read.parquet(*read).select("_metadata.file_path")
+    return _scanned(spark, read).where(F.col("raw") != "").select("file_path")
 
 
 def _load(spark, path, format, n, drop_unknown):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chatgauge.functions.chat import asked_sql, prompt_sql
-from chatgauge.operators.limits import head_n, head_n_per_task
+from chatgauge.operators.limits import head_n, head_n_per_task, select_cuts
 from chatgauge.sources import files
 from chatgauge.sources.specs import task_specs
 from chatgauge.sources.turns import answers_from_turns, label_chats, messages_from_turns, prepare_turns, prompts_from_turns
@@ -147,6 +147,85 @@ def test_first_lines_do_not_depend_on_how_files_are_split(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_line_numbers_do_not_depend_on_how_files_are_split(spark, tmp_path):
+    rng, want = random.Random(3), {}
+    for name in ("a b.jsonl", "b.jsonl", "c.jsonl"):
+        lines = [rng.choice(["", " ", f'"{name} {i} ' + "ü" * rng.randint(0, 40) + '"']) for i in range(rng.randint(50, 400))]
+        (tmp_path / name).write_text("\n".join(lines) + rng.choice(["", "\n"]))
+        want |= {(name, i): line for i, line in enumerate(lines) if line.strip()}
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    found = []
+    try:
+        for size in ("128m", "1000", "333", "64"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            rows = files.read_jsonl(spark, str(tmp_path))
+            assert size == "128m" or rows.rdd.getNumPartitions() > 10
+            found.append({(r["seq"]["file_path"].rsplit("/", 1)[1].replace("%20", " "), r["seq"]["line"]): r["raw"] for r in rows.collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert all(f == want for f in found)
+    plain = files.read_jsonl(spark, str(tmp_path), positions=False)
+    assert plain.columns == ["raw"] and sorted(r["raw"] for r in plain.collect()) == sorted(want.values())
+    typed = files.read_jsonl(spark, f"{tmp_path}/c.jsonl", "value STRING", positions=False)
+    assert typed.columns == ["value"]
+
+
+def test_head_of_many_files_sees_opened_files_only(spark, tmp_path):
+    for i in range(30):
+        (tmp_path / f"f{i:02}.jsonl").write_text("".join(f"{k}\n\n" for k in range(i * 3, i * 3 + 3)))
+    for n in (1, 3, 4, 20, 89, 90, 1000):
+        rows = files.read_head(spark, str(tmp_path), "jsonl", n)
+        assert [int(r["raw"]) for r in rows.orderBy("seq").collect()] == list(range(90))[:n]
+        assert len(rows.inputFiles()) == min(30, -(-n // 3))
+    assert files.read_head(spark, str(tmp_path), "jsonl", None).count() == 90
+
+
+@pytest.mark.parametrize("kind", ["BIGINT", "STRING", "STRUCT<a: STRING, b: INT>", "TIMESTAMP", "DOUBLE"])
+def test_selected_cuts_equal_a_sort(spark, kind):
+    rng = random.Random(8)
+    numbers = rng.sample(range(10**6), 4000)
+    made = {
+        "BIGINT": "x", "STRING": "concat('k', x)", "DOUBLE": "x / 7D - 1000", "TIMESTAMP": "timestamp_seconds(x)",
+        "STRUCT<a: STRING, b: INT>": "struct(CAST(x DIV 100000 AS STRING) AS a, CAST(x % 100000 AS INT) AS b)",
+    }[kind]
+    df = spark.createDataFrame([(x,) for x in numbers], "x BIGINT").selectExpr(f"{made} AS seq", "x").repartition(6)
+    ordered = [r["x"] for r in df.orderBy("seq").collect()]
+    for n in (11, 60, 2000, 3999, 4000, 9000):
+        assert sorted(r["x"] for r in head_n(df, n, gathered=10).collect()) == sorted(ordered[:n])
+    tasks = df.selectExpr("if(x % 5 < 4, 'hot', 'cold') AS task", "seq", "x")
+    caps = {"hot": 1700, "cold": 333, "none": 500}
+    got = sorted(r["x"] for r in head_n_per_task(tasks, caps, gathered=20).collect())
+    want = [x for x in ordered if x % 5 < 4][:1700] + [x for x in ordered if x % 5 == 4][:333]
+    assert got == sorted(want)
+    # one cap ranked, one selected
+    mixed = sorted(r["x"] for r in head_n_per_task(tasks, caps | {"cold": 15}, gathered=20).collect())
+    assert mixed == sorted([x for x in ordered if x % 5 < 4][:1700] + [x for x in ordered if x % 5 == 4][:15])
+
+
+def test_selected_cuts_refuse_ties(spark):
+    df = spark.range(3000).selectExpr("if(id BETWEEN 500 AND 2500, 700, id) AS seq", "CAST(id AS STRING) AS body").repartition(4)
+    assert head_n(df, 500, gathered=10).count() == 500 and head_n(df, 2501, gathered=10).count() == 2501
+    for n in (501, 1500, 2500):
+        with pytest.raises(ValueError, match="not unique"):
+            head_n(df, n, gathered=10)
+    nulls = spark.range(100).selectExpr("if(id < 50, NULL, id) AS seq")
+    assert head_n(nulls, 20, gathered=5).count() == 20 and head_n(nulls, 60, gathered=5).count() == 50
+
+
+def test_no_task_of_a_selection_gathers_n_rows(spark):
+    """Of half a table of 200,000 positions no stage but the scans reads more than a few thousand rows."""
+    positions = spark.range(0, 200_000, numPartitions=8).selectExpr("'' AS task", "id * 7919 % 1000003 AS position")
+    seen = []
+    collect = type(positions).collect
+    try:
+        type(positions).collect = lambda self: seen.append(collect(self)) or seen[-1]
+        cuts = select_cuts(positions, {"": 100_000})
+    finally:
+        type(positions).collect = collect
+    assert cuts[""] == sorted(i * 7919 % 1000003 for i in range(200_000))[99_999]
+    assert max(len(rows) for rows in seen) < 10_000 and len(seen) < 12
+
+
 def test_limits_shuffle_positions_only(spark, tmp_path):
     spark.range(100).selectExpr("id AS seq", "repeat('x', 50) AS body").write.parquet(f"{tmp_path}/wide")
     plan = head_n(spark.read.parquet(f"{tmp_path}/wide"), 10)._jdf.queryExecution().executedPlan().toString()
