@@ -724,7 +724,7 @@ def registry_after_removal(spark, sf_dir):
 @query(f"WITH {ENTRIES} SELECT * FROM e WHERE name = 'task-15' OR task = 'task-15' ORDER BY seq LIMIT 1")
 def registry_find(spark, sf_dir):
     entries = registry.registry_entries(supplier_models(spark, sf_dir))
-    return registry.registry_find(entries, "task-15").drop("registered_at", "removed", "version")
+    return registry.registry_find(entries, "task-15").drop("registered_at", "removed", "version", "entry_id")
 
 
 @query(f"WITH {ENTRIES} SELECT name, task, seq FROM e WHERE name <> '{GONE}'")

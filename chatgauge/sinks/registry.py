@@ -1,10 +1,10 @@
-"""Registry of evaluated models: an append-only parquet table.
+"""Registry of evaluated models: an append-only parquet table, an observed-remove set.
 
-Registering appends entries and removing appends a removal mark for a name, so no
-file is ever rewritten and writers do not lose each other's rows.  Every append is one
-version above all it has seen in the table, so order does not depend on clocks: a
-listing drops the entries of a name whose version is below that of its last removal,
-which are those the removal has seen.  ``registered_at`` is information only.
+Every registered entry has an id of its own. Removing a name appends a mark for each entry of
+that name which the removal has read, so no file is ever rewritten, writers do not lose each
+other's rows, and an entry that a removal has not seen stays, whenever its rows land. A
+listing is the entries without a mark. ``version``, one above all that an append has read,
+only orders listings; ``registered_at`` is information only.
 """
 
 from pyspark.errors import AnalysisException
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 SCHEMA = (
     "name STRING, task STRING, path STRING, accuracy DOUBLE, f1 DOUBLE, size_mb DOUBLE, "
-    "registered_at TIMESTAMP, seq BIGINT, removed BOOLEAN, version BIGINT"
+    "registered_at TIMESTAMP, seq BIGINT, removed BOOLEAN, version BIGINT, entry_id STRING"
 )
 FIELDS = ["name", "task", "path", "accuracy", "f1", "size_mb"]
 
@@ -28,7 +28,7 @@ def registry_entries(models: DataFrame, order="seq", at=None, version=1) -> Data
     stamp = F.current_timestamp() if at is None else at
     return models.select(
         *FIELDS, stamp.cast("timestamp").alias("registered_at"), F.col(order).cast("bigint").alias("seq"),
-        F.lit(False).alias("removed"), F.lit(version).cast("bigint").alias("version"),
+        F.lit(False).alias("removed"), F.lit(version).cast("bigint").alias("version"), F.uuid().alias("entry_id"),
     )
 
 
@@ -51,23 +51,20 @@ def registry_append(models: DataFrame, path, order="seq"):
 
 
 def registry_remove(spark: SparkSession, path, name):
-    """Remove every entry of that name registered so far; unknown names are no error."""
-    marks = spark.createDataFrame([(name,)], "name STRING")
-    nulls = [F.lit(None).alias(c) for c in FIELDS[1:]]
-    mark = marks.select(
-        "name", *nulls, F.current_timestamp().alias("registered_at"), F.lit(0).alias("seq"), F.lit(True).alias("removed"),
-        F.lit(_next_version(spark, path)).alias("version"),
-    )
-    columns = [f.strip().split(" ") for f in SCHEMA.split(",")]
-    mark.select(*[F.col(c).cast(t).alias(c) for c, t in columns]).write.mode("append").parquet(path)
+    """Remove every entry of that name that is listed now; unknown names are no error."""
+    log = _log(spark, path)
+    seen = _alive(log).where(F.col("name") == name)
+    seen.withColumns({"removed": F.lit(True), "registered_at": F.current_timestamp()}).write.mode("append").parquet(path)
+
+
+def _alive(log: DataFrame) -> DataFrame:
+    marks = log.where("removed").select("entry_id")
+    return log.where(~F.col("removed")).join(marks, "entry_id", "left_anti").select(log.columns)
 
 
 def current_entries(log: DataFrame) -> DataFrame:
-    """Entries of the log that no later removal of their name covers."""
-    marks = log.where("removed").groupBy("name").agg(F.max("version").alias("gone_at"))
-    kept = log.where(~F.col("removed")).join(marks, "name", "left")
-    alive = F.col("gone_at").isNull() | (F.col("version") >= F.col("gone_at"))
-    return kept.where(alive).select(*FIELDS, "registered_at", "seq", "version")
+    """Entries of the log that no removal has marked."""
+    return _alive(log).select(*FIELDS, "registered_at", "seq", "version")
 
 
 def registry_list(spark: SparkSession, path) -> DataFrame:

@@ -103,6 +103,36 @@ def test_registry_does_not_need_clocks(spark, tmp_path):
     assert registry.registry_list(spark, path).count() == 1
 
 
+def model_rows(spark, *names):
+    shape = "name STRING, task STRING, path STRING, accuracy DOUBLE, f1 DOUBLE, size_mb DOUBLE, seq BIGINT"
+    return spark.createDataFrame([(n, "t", "p", 0.5, 0.5, 1.0, k) for k, n in enumerate(names)], shape)
+
+
+def test_a_late_append_is_not_hidden_by_a_removal_that_did_not_see_it(spark, tmp_path):
+    path = f"{tmp_path}/registry"
+    registry.registry_append(model_rows(spark, "x", "y"), path)
+    # a writer takes its version, then another registers and removes, then the first one's rows land
+    late = registry.registry_entries(model_rows(spark, "x"), version=registry._next_version(spark, path))
+    registry.registry_append(model_rows(spark, "x"), path)
+    registry.registry_remove(spark, path, "x")
+    assert [r["name"] for r in registry.registry_list(spark, path).collect()] == ["y"]
+    late.write.mode("append").parquet(path)
+    assert sorted(r["name"] for r in registry.registry_list(spark, path).collect()) == ["x", "y"]
+
+
+def test_removals_marks_add_up(spark, tmp_path):
+    path = f"{tmp_path}/registry"
+    registry.registry_append(model_rows(spark, "x", "x", "y"), path)
+    marks = registry._alive(registry._log(spark, path)).where("name = 'x'").withColumn("removed", F.lit(True)).collect()
+    schema = registry._log(spark, path).schema
+    registry.registry_append(model_rows(spark, "x"), path)
+    for _ in range(2):  # two removals that have seen the same two entries
+        spark.createDataFrame(marks, schema).write.mode("append").parquet(path)
+    assert [r["name"] for r in registry.registry_list(spark, path).collect()] == ["y", "x"]
+    registry.registry_remove(spark, path, "not there")
+    assert registry.registry_list(spark, path).count() == 2
+
+
 def test_shared_folder_is_made_once_and_only_locally(spark):
     assert shared_folder(spark) == shared_folder(spark)
 
