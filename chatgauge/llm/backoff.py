@@ -249,7 +249,7 @@ def counts_by_place(rows: DataFrame, partitions: int) -> DataFrame:
         if blobs:
             yield finished(units, blobs)
 
-    dealt = rows.repartition(partitions, "partition").sortWithinPartitions("partition")
+    dealt = rows.repartitionById(partitions, "partition")
     return dealt.mapInArrow(run, "unit long, data binary")
 
 
