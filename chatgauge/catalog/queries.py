@@ -10,7 +10,7 @@ from ..functions.text import truncated
 from ..operators import class_lists, classifier, metrics, runs, subwords, timings
 from ..operators.convert import to_messages
 from ..operators.limits import head_n, head_n_per_task
-from ..operators.score import label_responses, respond
+from ..operators.score import WAVES, label_responses, respond, score_examples
 from ..operators.summary import run_summary
 from ..plans.evaluation import evaluate, evaluate_scored, evaluate_stored
 from ..session import cut_lineage, shared_folder
@@ -511,6 +511,29 @@ def predictor_metrics(spark, sf_dir):
     return evaluate(chats, quality_specs(), keyword_predictor("ich", "good.", "it is bad"), keep=False).metrics
 
 
+REPEATED_SCORED = """
+SELECT 'quality' AS task, CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS expected,
+  CASE WHEN lang = 'en' THEN 'GOOD' ELSE 'BAD' END AS predicted
+FROM documents JOIN labels USING (doc_id)"""
+
+
+@query(sql.metric_table(REPEATED_SCORED, DOC_TASK) + """
+SELECT task, total_samples, correct, tp, fp, fn, tn, accuracy, (SELECT count(DISTINCT coalesce(lang, 'None')) FROM documents JOIN labels USING (doc_id)) AS n_asked
+FROM m""")
+def repeated_prompts_metrics(spark, sf_dir):
+    """Every labelled document by a prompt that holds its language only: each distinct prompt is asked once."""
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    chats = to_messages(docs.select(
+        F.lit("quality").alias("task"), F.col("doc_id").alias("example_id"), F.col("lang").alias("question"),
+        F.when(F.col("quality") == 1, "Good, all in all.").otherwise("BAD").alias("answer"),
+    ))
+    folder = new_folder(spark, "scoring")
+    scored = score_examples(chats, quality_specs(), keyword_predictor("user\nen<", "good", "bad"), folder=folder)
+    result = evaluate_scored(scored, quality_specs()).metrics
+    n_asked = sum(spark.read.parquet(f"{folder}/answers-{WAVES}-{k}").count() for k in range(WAVES))
+    return result.select("task", "total_samples", "correct", "tp", "fp", "fn", "tn", "accuracy", F.lit(n_asked).cast("long").alias("n_asked"))
+
+
 STORED_SCORED = """
 SELECT 'quality' AS task, CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS expected,
   CASE WHEN toxic = 0 AND doc_id % 10 <> 0 THEN 'GOOD' WHEN doc_id % 10 <> 0 THEN 'BAD' END AS predicted
