@@ -550,25 +550,61 @@ def stored_answer_metrics(spark, sf_dir):
     return evaluate_stored(document_chats(spark, sf_dir).drop("toxic"), quality_specs(), answers).metrics
 
 
-@query("""
-SELECT doc_id AS example_id, CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS label, true AS in_classes, true AS beats_majority
-FROM documents JOIN labels USING (doc_id)
-WHERE CAST('0x' || md5(CAST(doc_id AS VARCHAR))[:4] AS BIGINT) % 4 = 0""")
+#: Naive Bayes over the words of the prompts, made again from the tables.
+BAYES = f"""
+chats AS (
+  SELECT doc_id AS example_id, CASE WHEN quality = 1 THEN 'GOOD' ELSE 'BAD' END AS label,
+    CAST('0x' || md5(CAST(doc_id AS VARCHAR))[:4] AS BIGINT) % 4 = 0 AS held_out,
+    '<|im_start|>system' || chr(10) || {HELPER} || '<|im_end|>' || chr(10) || '<|im_start|>user' || chr(10) || 'Is this text good or bad?' ||
+      CASE WHEN coalesce(text, '') = '' THEN '' ELSE chr(10) || chr(10) || text END || '<|im_end|>' || chr(10) || '<|im_start|>assistant' AS prompt
+  FROM documents JOIN labels USING (doc_id)),
+words AS (SELECT example_id, label, held_out, unnest(regexp_extract_all(lower(prompt), '[\\p{{L}}\\p{{N}}_]+')) AS word FROM chats),
+counts AS (
+  SELECT word, count(*) FILTER (WHERE label = 'GOOD') AS good, count(*) FILTER (WHERE label = 'BAD') AS bad FROM words WHERE NOT held_out GROUP BY word),
+sizes AS (SELECT CAST(count(*) AS DOUBLE) AS v, sum(good) AS good, sum(bad) AS bad FROM counts),
+base AS (
+  SELECT ln(count(*) FILTER (WHERE label = 'GOOD') / count(*)) AS good, ln(count(*) FILTER (WHERE label = 'BAD') / count(*)) AS bad
+  FROM chats WHERE NOT held_out),
+sums AS (
+  SELECT example_id, sum(ln((c.good + 1) / (s.good + v))) AS good, sum(ln((c.bad + 1) / (s.bad + v))) AS bad
+  FROM words JOIN counts c USING (word), sizes s GROUP BY example_id),
+judged AS (
+  SELECT example_id, label, held_out, CASE WHEN coalesce(s.good, 0) + b.good >= coalesce(s.bad, 0) + b.bad THEN 'GOOD' ELSE 'BAD' END AS predicted
+  FROM chats LEFT JOIN sums s USING (example_id), base b)"""
+
+
+def held_out_quarter():
+    return F.conv(F.substring(F.md5(F.col("example_id").cast("string")), 1, 4), 16, 10).cast("int") % 4 == 0
+
+
+def trained(spark, sf_dir):
+    """Every labelled document with the prediction of a model fitted on three quarters of them, by way of its written weights."""
+    rows = classifier.training_rows(document_chats(spark, sf_dir), ["good", "bad"])
+    marked, path = rows.withColumn("held_out", held_out_quarter()), new_folder(spark, "model")
+    classifier.fit_word_model(marked.where("NOT held_out"), ["good", "bad"]).write(path)
+    return classifier.predict_words(classifier.read_word_model(spark, path), marked)
+
+
+@query("WITH " + BAYES + " SELECT example_id, label, held_out, predicted FROM judged")
 def classifier_labels(spark, sf_dir):
-    """Train on three quarters of the labelled documents, label the last one and evaluate it.
+    """All labelled documents, labelled by a trained model; the model has not seen those held out."""
+    return trained(spark, sf_dir).select("example_id", "label", "held_out", "predicted")
 
-    What the model answers has no SQL form; whose labels they are, that they are classes,
-    and whether the metrics made from them are at least those of the commonest class have.
-    """
-    rows = classifier.training_rows(document_chats(spark, sf_dir), ["good", "bad"])
-    fold = F.conv(F.substring(F.md5(F.col("example_id").cast("string")), 1, 4), 16, 10).cast("int") % 4
-    model = classifier.fit_label_model(rows.where(fold != 0), ["good", "bad"], features=1 << 14, iterations=10)
-    found = cut_lineage(classifier.predict_labels(model, rows.where(fold == 0), ["good", "bad"]))
-    scored = found.selectExpr("'quality' AS task", "label AS expected", "predicted")
-    result = evaluate_scored(scored, quality_specs()).metrics.select("accuracy")
-    common = found.groupBy("label").count().agg((F.max("count") / F.sum("count")).alias("share"))
-    better = result.crossJoin(common).select((F.col("accuracy") >= F.col("share")).alias("beats_majority"))  # one row each
-    return found.selectExpr("example_id", "label", "predicted IN ('GOOD', 'BAD') AS in_classes").crossJoin(F.broadcast(better))
+
+@query("WITH " + BAYES + ", mm AS (" + sql.metrics(
+    "SELECT 'quality' AS task, label AS expected, predicted FROM judged WHERE held_out", DOC_TASK) + ") SELECT * FROM mm")
+def classifier_metrics(spark, sf_dir):
+    """Train, then evaluate on the rows held out."""
+    scored = trained(spark, sf_dir).where("held_out").selectExpr("'quality' AS task", "label AS expected", "predicted")
+    return evaluate_scored(scored, quality_specs()).metrics
+
+
+@query()
+def classifier_pipeline(spark, sf_dir):
+    """The same rows by a Spark ML pipeline; its solver has no SQL form."""
+    rows = classifier.training_rows(document_chats(spark, sf_dir), ["good", "bad"]).withColumn("held_out", held_out_quarter())
+    model = classifier.fit_label_model(rows.where("NOT held_out"), ["good", "bad"], features=1 << 14, iterations=10, penalties=(0.1,))
+    return classifier.predict_labels(model, rows, ["good", "bad"]).select("example_id", "label", "held_out", "predicted")
 
 
 def percent_sql(x, digits=1):

@@ -1,6 +1,13 @@
-"""A text classifier trained on labelled chats with Spark ML."""
+"""Text classifiers trained on labelled chats.
+
+``fit_label_model`` is a Spark ML pipeline (hashed words, logistic regression) that is fitted on
+a bounded number of rows. ``fit_word_model`` is multinomial naive Bayes as tables: every row
+and every word counts, weights are a table of words that is written and read like any other,
+and a prediction is a join and a sum, so that anybody who has the table can make it again.
+"""
 
 import math
+from typing import NamedTuple
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
@@ -12,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.chat import answer_sql, asked_sql, prompt_sql
 from ..functions.expr import literal
 from ..functions.labels import clean_classes, label_sql
+from ..session import cut_lineage
 
 
 def training_rows(chats: DataFrame, classes) -> DataFrame:
@@ -94,3 +102,69 @@ def predict_labels(model: PipelineModel, rows: DataFrame, classes) -> DataFrame:
     """Add ``predicted``, the class name of the model's answer."""
     name = f"element_at({literal(clean_classes(classes))}, CAST(predicted_no AS INT) + 1) AS predicted"
     return model.transform(rows).selectExpr(*rows.columns, name)
+
+
+class WordModel(NamedTuple):
+    """(word, w) with a weight for each class in ``w``, what each class adds to every text, and the classes."""
+
+    weights: DataFrame
+    base: list
+    classes: tuple
+
+    def write(self, path, mode="errorifexists"):
+        """Weights and classes as two tables below ``path``."""
+        spark = self.weights.sparkSession
+        self.weights.write.mode(mode).parquet(f"{path}/weights")
+        spark.createDataFrame([(list(self.classes), self.base)], "classes ARRAY<STRING>, base ARRAY<DOUBLE>").write.mode(mode).parquet(f"{path}/classes")
+
+
+def read_word_model(spark, path) -> WordModel:
+    row = spark.read.parquet(f"{path}/classes").first()
+    return WordModel(spark.read.parquet(f"{path}/weights"), list(row["base"]), tuple(row["classes"]))
+
+
+WORD_PATTERN = r"[\\p{L}\\p{N}_]+"  # in SQL text
+
+
+def _words(rows: DataFrame, *kept) -> DataFrame:
+    return rows.selectExpr(*kept, f"explode(regexp_extract_all(lower(prompt), '{WORD_PATTERN}', 0)) AS word")
+
+
+def fit_word_model(rows: DataFrame, classes) -> WordModel:
+    """Fit on (prompt, label); a class without rows gets no text.
+
+    Words are counted before the one shuffle, so a common word is a row for each task. Only
+    the number of rows and words of each class reaches the driver.
+    """
+    names = clean_classes(classes)
+    known = rows.where(F.col("label").isin(list(names)))
+    n_rows = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = cut_lineage(_words(known, "label").groupBy("word").agg(
+        *[F.count_if(F.col("label") == c).alias(f"n{k}") for k, c in enumerate(names)]
+    ))
+    n_words, *of_class = counts.agg(F.count("*"), *[F.coalesce(F.sum(f"n{k}"), F.lit(0)) for k in range(len(names))]).first()
+    total = sum(n_rows.values())
+    weights = ", ".join(f"ln((n{k} + 1) / {n + n_words}D)" for k, n in enumerate(of_class))
+    base = [math.log(n_rows[c] / total) if n_rows.get(c) else -math.inf for c in names]
+    return WordModel(counts.selectExpr("word", f"array({weights}) AS w"), base, names)
+
+
+def predict_words(model: WordModel, rows: DataFrame, key="example_id") -> DataFrame:
+    """Add ``predicted`` to (key, prompt, ...): the class of the largest sum, the first of equal ones.
+
+    ``key`` must be unique. Words that the model does not know count for nothing.
+    """
+    places = range(len(model.classes))
+    met = _words(rows, key).join(model.weights, "word")
+    sums = met.groupBy(key).agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in places])
+    found = rows.join(sums, key, "left")
+    scores = [f"coalesce(s{k}, 0D) + double('{model.base[k]}')" for k in places]
+    best = f"array_position(array({', '.join(scores)}), greatest({', '.join(scores)}))" if len(scores) > 1 else "1"
+    return found.selectExpr(*[f"`{c}`" for c in rows.columns], f"element_at({literal(model.classes)}, CAST({best} AS INT)) AS predicted")
+
+
+def train_and_evaluate(rows: DataFrame, classes, held_out) -> tuple[WordModel, DataFrame]:
+    """(model, rows with ``held_out`` and ``predicted``): fitted without the rows that ``held_out`` names, applied to all."""
+    marked = rows.withColumn("held_out", held_out)
+    model = fit_word_model(marked.where("NOT held_out"), classes)
+    return model, predict_words(model, marked)
