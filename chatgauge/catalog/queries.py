@@ -12,9 +12,9 @@ from ..operators.convert import to_messages
 from ..operators.limits import head_n, head_n_per_task
 from ..operators.score import WAVES, label_responses, respond, score_examples
 from ..operators.summary import run_summary
-from ..plans.evaluation import evaluate, evaluate_scored, evaluate_stored
+from ..plans.evaluation import evaluate, evaluate_counts, evaluate_scored, evaluate_stored
 from ..session import cut_lineage, shared_folder
-from ..sinks import registry, report
+from ..sinks import evaluations, registry, report
 from ..sinks.training_text import training_text, write_training_text
 from ..sources import files
 from ..sources.specs import shipped_specs, spec_frame, task_specs
@@ -358,11 +358,11 @@ def event_specs():
     return task_specs([{"task": "events", "task_type": "multiclass", "classes": EVENT_CLASSES, "quality_gate": 0.2}])
 
 
-def scored_events(spark, sf_dir):
+def scored_events(spark, sf_dir, *kept):
     guess = F.get_json_object("props", "$.k").cast("int") % 5
     names = F.array(*map(F.lit, EVENT_CLASSES))
     return table(spark, sf_dir, "events").select(
-        F.lit("events").alias("task"), F.upper("event_type").alias("expected"), F.element_at(names, guess + 1).alias("predicted")
+        F.lit("events").alias("task"), F.upper("event_type").alias("expected"), F.element_at(names, guess + 1).alias("predicted"), *kept
     )
 
 
@@ -651,7 +651,9 @@ def report_cards(spark, sf_dir):
     bench = table(spark, sf_dir, "events").agg((F.count_distinct("user_id") * 1000000).alias("total_parameters")).select(
         F.lit("events").alias("task"), F.lit("org/Model-1B").alias("base_model"), "total_parameters"
     )
-    cards = report.build_report(result.metrics, result.per_class, bench, event_specs())
+    path = new_folder(spark, "cards")
+    report.write_report(report.build_report(result.metrics, result.per_class, bench, event_specs()), path)
+    cards = report.read_report(spark, path)
     schema = (
         "base_model STRING, task_type STRING, metrics STRUCT<accuracy: DOUBLE, f1: DOUBLE, total_samples: BIGINT, "
         "quality_gate_passed: BOOLEAN, per_class: MAP<STRING, STRUCT<samples: BIGINT, tp: BIGINT>>>, "
@@ -666,6 +668,17 @@ def report_cards(spark, sf_dir):
     )
 
 
+@query("WITH mm AS (" + sql.metrics(SCORED_EVENTS + " WHERE user_id % 5 <> 0", EVENT_TASK) + ") SELECT * FROM mm")
+def merged_metrics(spark, sf_dir):
+    """Events added in two batches and partly withdrawn, then evaluated from the stored counts."""
+    path = new_folder(spark, "evaluation")
+    scored = scored_events(spark, sf_dir, "user_id", "event_id")
+    evaluations.append_scored(scored.where("event_id % 3 = 0"), path, "first")
+    evaluations.append_scored(scored.where("event_id % 3 <> 0"), path, "second")
+    evaluations.withdraw_scored(scored.where("user_id % 5 = 0"), path, "left")
+    return evaluate_counts(evaluations.stored_counts(spark, path), event_specs()).metrics
+
+
 # ---- timings, sizes, runs ------------------------------------------------------
 
 
@@ -716,6 +729,39 @@ def compare_variants(spark, sf_dir):
     return timings.compare_variants(benchmark_rows(spark, sf_dir))
 
 
+@query(sql.metric_table(SCORED_EVENTS, EVENT_TASK) + """,
+times AS (SELECT CASE WHEN event_type IN ('click', 'view') THEN 'fp16' ELSE 'int4' END AS variant,
+    CAST(sum(CAST(value / 1000 AS DECIMAL(24,9))) AS DOUBLE) / count(*) AS mean
+  FROM events WHERE CAST(props->>'$.k' AS INT) + 1 > 3 GROUP BY 1),
+size AS (SELECT CAST(count(DISTINCT user_id) * 1000000 AS DOUBLE) AS p FROM events),
+shown AS (SELECT """ + ", ".join([
+    sql.rounded("(SELECT p FROM size) * CAST(2.0 AS DOUBLE) / 1e6", 1) + " AS fp16_size_mb",
+    sql.rounded("(SELECT p FROM size) * CAST(0.6 AS DOUBLE) / 1e6", 1) + " AS int4_size_mb",
+    sql.rounded("(SELECT mean * 1000 FROM times WHERE variant = 'fp16')", 1) + " AS fp16_latency_ms",
+    sql.rounded("(SELECT mean * 1000 FROM times WHERE variant = 'int4')", 1) + " AS int4_latency_ms",
+]) + f""")
+SELECT task, 'org/Model-1B' AS base_model, {sql.rounded('accuracy', 4)} AS accuracy, {sql.rounded('f1', 4)} AS f1, shown.*,
+  printf('%.0f', (1 - int4_size_mb / fp16_size_mb) * 100) || '%' AS size_reduction,
+  'chatgauge-events-model-1b' AS name, 'outputs/events' AS path, fp16_size_mb AS size_mb
+FROM m, shown""")
+def exported_models(spark, sf_dir):
+    """Evaluation and benchmark to a card and a registry entry, both read back."""
+    cards, entries = new_folder(spark, "cards"), new_folder(spark, "registry")
+    timed = event_timings(spark, sf_dir).withColumn("model", F.lit("org/Model-1B"))
+    sizes = table(spark, sf_dir, "events").agg((F.count_distinct("user_id") * 1000000).alias("total_parameters"))
+    models = spark.createDataFrame([("events", "org/Model-1B", "outputs/events")], "task STRING, base_model STRING, path STRING")
+    bench = timings.benchmark_report(timings.latency_summary(timed), sizes.withColumn("model", F.lit("org/Model-1B")))
+    result = evaluate_scored(scored_events(spark, sf_dir), event_specs(), keep=True)
+    report.export_models(result, bench, models, event_specs(), cards, entries)
+    names = ["fp16_size_mb", "int4_size_mb", "fp16_latency_ms", "int4_latency_ms"]
+    compared = ", ".join(f"{c}: DOUBLE" for c in names) + ", size_reduction: STRING"
+    schema = f"base_model STRING, metrics STRUCT<accuracy: DOUBLE, f1: DOUBLE>, benchmark STRUCT<comparison: STRUCT<{compared}>>"
+    card = report.read_report(spark, cards).select("task", F.from_json("card", schema).alias("c")).select(
+        "task", "c.base_model", "c.metrics.accuracy", "c.metrics.f1", "c.benchmark.comparison.*"
+    )
+    return card.join(registry.registry_list(spark, entries).select("task", "name", "path", "size_mb"), "task")
+
+
 def loss_runs(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("run"), (F.col("l_extendedprice") / 10).alias("train_seconds"),

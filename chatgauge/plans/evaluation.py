@@ -27,8 +27,11 @@ def evaluate_scored(scored: DataFrame, specs, keep=False) -> Evaluation:
     that the several tables made from them do not score the examples again.
     """
     counts = confusion(scored)
-    if keep:
-        counts = cut_lineage(counts)
+    return evaluate_counts(cut_lineage(counts) if keep else counts, specs)
+
+
+def evaluate_counts(counts: DataFrame, specs) -> Evaluation:
+    """Evaluate (task, expected, predicted, n), for instance those of ``sinks.evaluations``."""
     return Evaluation(counts, metrics(counts, specs), per_class_report(counts, specs))
 
 
