@@ -5,9 +5,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..functions import chat, labels
+from ..functions.chat_templates import ChatTemplate
 from ..functions.rounding import exact_sql
 from ..functions.text import truncated
-from ..operators import class_lists, classifier, metrics, runs, subwords, timings
+from ..operators import class_lists, classifier, metrics, overlap, runs, subwords, timings
 from ..operators.convert import to_messages
 from ..operators.limits import head_n, head_n_per_task
 from ..operators.score import WAVES, label_responses, respond, score_examples
@@ -15,11 +16,12 @@ from ..operators.summary import run_summary
 from ..plans.evaluation import evaluate, evaluate_counts, evaluate_scored, evaluate_stored
 from ..session import cut_lineage, shared_folder
 from ..sinks import evaluations, registry, report
+from ..sinks.chat_lines import write_chats
 from ..sinks.training_text import training_text, write_training_text
 from ..sources import files
 from ..sources.specs import shipped_specs, spec_frame, task_specs
 from ..sources.turns import (
-    answer_places_from_turns, answers_from_turns, chats_from_turns, label_chats, messages_from_turns, prepare_turns, prompts_from_turns,
+    answer_places_from_turns, answers_from_turns, label_chats, messages_from_turns, prepare_turns, prompts_from_turns,
 )
 from . import sql
 from .predictors import keyword_predictor
@@ -114,6 +116,44 @@ def prompt_capped(spark, sf_dir):
     return prompts_from_turns(table(spark, sf_dir, "conversations"), max_tokens=60)
 
 
+#: Fixed value: the shape of a published template, with a mark for each role and the end of a turn.
+ROLE_TEMPLATE = ChatTemplate(
+    "{% for message in messages %}{% if message['role'] == 'user' %}{{ '<|user|>\n' + message['content'] + eos_token }}"
+    "{% elif message['role'] == 'system' %}{{ '<|system|>\n' + message['content'] + eos_token }}"
+    "{% else %}{{ '<|assistant|>\n' + message['content'] | trim + eos_token }}{% endif %}"
+    "{% if loop.last and add_generation_prompt %}{{ '<|assistant|>' }}{% endif %}{% endfor %}",
+    {"eos_token": "</s>\n"},
+)
+
+
+@query("""
+WITH ends AS (SELECT conv_id, max(turn) AS last_turn FROM conversations GROUP BY conv_id)
+SELECT conv_id, CAST(turn // 4096 AS BIGINT) AS part, string_agg(
+  CASE role WHEN 'user' THEN '<|user|>' || chr(10) || text WHEN 'system' THEN '<|system|>' || chr(10) || text
+    ELSE '<|assistant|>' || chr(10) || regexp_replace(text, '^[ \t\r\n\f]+|[ \t\r\n\f]+$', '', 'g') END || '</s>' || chr(10), '' ORDER BY turn)
+  || '<|assistant|>' AS prompt
+FROM conversations JOIN ends USING (conv_id) GROUP BY conv_id, turn // 4096""")
+def template_prompts(spark, sf_dir):
+    """Prompts by a model's own template, compiled to an expression."""
+    chats = messages_from_turns(table(spark, sf_dir, "conversations"))
+    return chats.selectExpr("conv_id", "part", f"{ROLE_TEMPLATE.prompt_sql('messages')} AS prompt")
+
+
+def halves(spark, sf_dir):
+    """Documents as a training and a test set by a hash of the id; exact copies fall into both."""
+    docs = table(spark, sf_dir, "documents").select(F.col("text").alias("prompt"), (F.expr("conv(substring(md5(CAST(doc_id AS STRING)), 1, 4), 16, 10)").cast("int") % 4 == 0).alias("is_test"))
+    return docs.where("NOT is_test"), docs.where("is_test")
+
+
+@query("""
+WITH split AS (SELECT text, CAST('0x' || md5(CAST(doc_id AS VARCHAR))[:4] AS BIGINT) % 4 = 0 AS is_test FROM documents WHERE text IS NOT NULL),
+per AS (SELECT text, count(*) FILTER (WHERE NOT is_test) AS a, count(*) FILTER (WHERE is_test) AS b FROM split GROUP BY text)
+SELECT count(*) AS n_prompts, CAST(coalesce(sum(a), 0) AS BIGINT) AS n_train, CAST(coalesce(sum(b), 0) AS BIGINT) AS n_test FROM per WHERE a > 0 AND b > 0""")
+def split_overlap(spark, sf_dir):
+    """How many prompts a training and a test split share."""
+    return overlap.overlap(*halves(spark, sf_dir))
+
+
 CHAT_LABELS = PROMPT_PIECES + f""",
 whole AS (SELECT conv_id, string_agg(piece, chr(10) ORDER BY turn) AS prompt FROM pieces GROUP BY conv_id),
 truth AS (SELECT conv_id, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS answer FROM conversations GROUP BY conv_id),
@@ -844,13 +884,11 @@ def registry_without_name(spark, sf_dir):
 SELECT conv_id, count(*) AS n, arg_max(text, turn) FILTER (WHERE role = 'assistant') AS expected
 FROM conversations GROUP BY conv_id""")
 def jsonl_source(spark, sf_dir):
-    """Chats written as JSON lines, every other one as a bare list, and read back."""
+    """Chats written as JSON lines turn by turn, every other one as a bare list, and read back."""
     path = new_folder(spark, "jsonl")
-    chats = chats_from_turns(table(spark, sf_dir, "conversations"))
-    tagged = F.array_prepend("messages", F.struct(F.lit("id").alias("role"), F.col("conv_id").cast("string").alias("content")))
-    wrapped = F.to_json(F.struct(tagged.alias("messages")))
-    line = F.when(F.col("conv_id") % 2 == 0, wrapped).otherwise(F.to_json(tagged))
-    chats.select(F.concat(F.lit("  "), line, F.lit("\n  ")).alias("value")).write.text(path)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    ids = turns.select("conv_id").distinct().selectExpr("conv_id", "-1 AS turn", "'id' AS role", "CAST(conv_id AS STRING) AS text")
+    write_chats(turns.unionByName(ids), path, bare=F.col("conv_id") % 2 == 1)
     read = files.load_train(spark, path, shipped_specs()[0], format="jsonl")
     m = F.col("messages")
     return read.select(

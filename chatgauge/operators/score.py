@@ -27,16 +27,17 @@ ROWS_PER_TASK = 2_000
 WAVES = 8
 
 
-def prepare(examples: DataFrame, specs, max_tokens=None, hide_answer=False, vocabulary=None) -> DataFrame:
+def prepare(examples: DataFrame, specs, max_tokens=None, hide_answer=False, vocabulary=None, template=None) -> DataFrame:
     """(task, example_id, expected, prompt) of (task, example_id, messages).
 
     Examples without ground truth stay, with null in both, since they count in n.
     Only the label of the answer is carried on, not its text. ``max_tokens`` counts tokens of
-    the vocabulary, or blank-separated ones without it.
+    the vocabulary, or blank-separated ones without it. ``template`` is a model's ``ChatTemplate``.
     """
     asked = before_answer_sql("messages") if hide_answer else asked_sql("messages")
+    rendered = template.prompt_sql if template else prompt_sql
     texts = examples.selectExpr("task", "example_id", "messages", f"nullif({answer_sql('messages')}, '') AS answer").selectExpr(
-        "task", "example_id", "answer", f"if(answer IS NULL, NULL, {prompt_sql(asked)}) AS prompt"
+        "task", "example_id", "answer", f"if(answer IS NULL, NULL, {rendered(asked)}) AS prompt"
     )
     labelled = texts.selectExpr("task", "example_id", f"{task_label_sql('answer', 'task', specs)} AS expected", "prompt")
     return capped(labelled, "prompt", max_tokens, vocabulary) if max_tokens else labelled
