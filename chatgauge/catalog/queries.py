@@ -1,7 +1,5 @@
 """Registered queries: each operator over the given tables, with the SQL it must equal."""
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import chat, labels
@@ -14,7 +12,7 @@ from ..operators.limits import head_n, head_n_per_task
 from ..operators.score import WAVES, label_responses, respond, score_examples
 from ..operators.summary import run_summary
 from ..plans.evaluation import evaluate, evaluate_counts, evaluate_scored, evaluate_stored
-from ..session import cut_lineage, shared_folder
+from ..session import new_folder
 from ..sinks import evaluations, registry, report
 from ..sinks.chat_lines import write_chats
 from ..sinks.training_text import training_text, write_training_text
@@ -43,11 +41,6 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark, name):
-    """A folder of this run's own below the folder all executors share."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 WORDS = ["THAT", "WITH", "ICH"]
 WORD_ORDER = ["THAT", "WITH", "ICH"]
 

@@ -17,7 +17,9 @@ def overfit_flags(runs: DataFrame) -> DataFrame:
         *kept, f"if(eval_loss <> 0 AND train_loss <> 0 AND NOT isnan(eval_loss - train_loss) AND eval_loss - train_loss > {LOSS_GAP!r}D, eval_loss - train_loss, NULL) AS _gap"
     )
     shown = gaps.selectExpr(
-        *kept, f"{exact_sql('_gap', 4)} AS _gap", f"{exact_sql('eval_loss', 4)} AS _eval", f"{exact_sql('train_loss', 4)} AS _train"
+        # only runs with a warning print numbers
+        *kept, f"{exact_sql('_gap', 4)} AS _gap", f"if(_gap IS NULL, NULL, {exact_sql('eval_loss', 4)}) AS _eval",
+        f"if(_gap IS NULL, NULL, {exact_sql('train_loss', 4)}) AS _train",
     )
     # fixed value: the text of the warning
     text = (

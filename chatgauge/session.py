@@ -2,6 +2,7 @@
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +17,7 @@ def local_session(cpus="*", app="chatgauge", **conf):
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -41,6 +43,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one: all intermediate tables lie in it."""
+    return f"{shared_folder(spark)}/chatgauge-{spark.sparkContext.applicationId}"
+
+
+def new_folder(spark: SparkSession, name) -> str:
+    """A path that nothing has been written to yet, below this application's folder."""
+    return f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clean_up(spark: SparkSession):
+    """Delete this application's intermediate tables, once everything made from them is written.
+
+    Results are read lazily from these tables, so only the caller knows when that is. Spark
+    has no call of its own to delete files in any store it writes to; Hadoop's is used.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(run_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the reliable checkpoint folder and continue from there."""
     spark = df.sparkSession

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from chatgauge.session import local_session  # noqa: E402
+from chatgauge.session import clean_up, local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,4 +13,5 @@ def spark():
     session = local_session(4, app="tests", **{"spark.sql.shuffle.partitions": "4"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clean_up(session)
     session.stop()

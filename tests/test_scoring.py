@@ -1,12 +1,14 @@
 """Predictors, stored answers, whole plans and the trained classifier."""
 
+import os
+
 import pytest
 
 from chatgauge.catalog.predictors import keyword_predictor
 from chatgauge.operators.classifier import bounded, choose_penalty, fit_label_model, predict_labels, training_rows
 from chatgauge.operators.score import prepare, respond, score_examples
 from chatgauge.plans.evaluation import evaluate, evaluate_stored
-from chatgauge.session import cut_lineage, shared_folder
+from chatgauge.session import clean_up, cut_lineage, new_folder, run_folder, shared_folder
 from chatgauge.sources.specs import task_specs
 
 CHATS = "task STRING, example_id BIGINT, seq BIGINT, messages ARRAY<STRUCT<role: STRING, content: STRING>>"
@@ -124,3 +126,13 @@ def test_rows_for_fitting_are_bounded_and_copies_stay_together(spark):
     kept = [r["prompt"] for r in bounded(rows, 10).collect()]
     assert len(kept) == 9 and all(kept.count(p) == 3 for p in kept)
     assert bounded(rows, 30).count() == 30 and bounded(rows.limit(0), 5).count() == 0
+
+
+def test_intermediate_tables_can_be_cleaned_up(spark):
+    path = new_folder(spark, "trial")
+    assert path.startswith(run_folder(spark)) and path != new_folder(spark, "trial")
+    spark.range(3).write.parquet(path)
+    assert os.path.isdir(path)
+    clean_up(spark)
+    clean_up(spark)  # nothing left to delete
+    assert not os.path.exists(run_folder(spark)) and os.path.isdir(shared_folder(spark))
