@@ -1,13 +1,11 @@
 """Helpers of the corpus operators: word arithmetic on Arrow text, splits and small tables."""
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_folder
+from ..session import new_folder, shared_folder
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a batch handed to Python; texts are long, so batches are kept short.
@@ -44,7 +42,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def stored(df: DataFrame, compression="snappy") -> DataFrame:
     """Like ``cut`` by a Parquet table of its own in the shared folder: for large tables of numbers."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    path = new_folder(df.sparkSession, "table")
     df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
