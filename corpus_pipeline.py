@@ -3,14 +3,18 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows it is given; ``run`` writes every
 stage's result as Parquet in the shared folder and reads it again for the next, so a lost
 executor costs no more than a stage. Every stage but the last returns the columns it got.
-"""
 
-import uuid
+Defined results: null and empty texts fail the quality rules and go; a corpus without any
+``lang`` passes language ID whole, since nothing tells languages apart; of repeated rows and
+near copies one stays; rows with a null id are kept or dropped by their text like all others;
+a null source is a source; an empty table gives an empty result. Further columns are carried
+along, whatever their names.
+"""
 
 from pyspark.sql import DataFrame, SparkSession
 
 from chatgauge.llm import apportion, gru, packing, simhash_bk, weak_rules
-from chatgauge.session import shared_folder
+from chatgauge.session import new_folder
 
 #: A document stays if its language was recognised with at least this mean probability.
 SURE = 0.4
@@ -54,7 +58,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
