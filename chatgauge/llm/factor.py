@@ -63,11 +63,10 @@ class Machine:
 
     def known(self, row, bucket):
         """Rows and numbers of the terms that the machine knows."""
-        if not len(self.buckets):
-            return row[:0], row[:0]
-        at = np.minimum(np.searchsorted(self.buckets, bucket), len(self.buckets) - 1)
-        hit = self.buckets[at] == bucket
-        return row[hit], at[hit]
+        number = np.full(BUCKETS, -1, np.int32)
+        number[self.buckets] = np.arange(len(self.buckets), dtype=np.int32)
+        at = number[bucket]
+        return row[at >= 0], at[at >= 0]
 
     def scores(self, texts):
         out = [np.zeros(0)]
