@@ -882,7 +882,7 @@ def jsonl_source(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     ids = turns.select("conv_id").distinct().selectExpr("conv_id", "-1 AS turn", "'id' AS role", "CAST(conv_id AS STRING) AS text")
     write_chats(turns.unionByName(ids), path, bare=F.col("conv_id") % 2 == 1)
-    read = files.load_train(spark, path, shipped_specs()[0], format="jsonl")
+    read = files.load_train(spark, path, shipped_specs()[0], format="jsonl", positions=False)
     m = F.col("messages")
     return read.select(
         m[0]["content"].cast("bigint").alias("conv_id"), (F.size(m) - 1).cast("bigint").alias("n"), chat.last_assistant("messages").alias("expected")

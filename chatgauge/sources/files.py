@@ -64,10 +64,15 @@ def read_table(spark: SparkSession, paths) -> DataFrame:
 READERS = {"jsonl": read_jsonl, "parquet": read_table}
 
 
-def read_examples(spark: SparkSession, paths, format) -> DataFrame:
-    """Examples in the stated format; the kind of source is never guessed from the path."""
+def read_examples(spark: SparkSession, paths, format, positions=True) -> DataFrame:
+    """Examples in the stated format; the kind of source is never guessed from the path.
+
+    ``positions=False`` leaves out ``seq`` where it costs a pass of its own (JSON lines).
+    """
     if format not in READERS:
         raise ValueError(f"format must be one of {sorted(READERS)}")
+    if format == "jsonl":
+        return read_jsonl(spark, paths, positions=positions)
     return READERS[format](spark, paths)
 
 
@@ -140,18 +145,20 @@ def _counted(spark, files, format) -> DataFrame:
     return _scanned(spark, read).where(F.col("raw") != "").select("file_path")
 
 
-def _load(spark, path, format, n, drop_unknown):
+def _load(spark, path, format, n, drop_unknown, positions):
     # the limit comes before the conversion: dropped rows still use up places
-    rows = read_head(spark, path, format, n)
+    rows = read_head(spark, path, format, n) if n else read_examples(spark, path, format, positions)
     return to_messages(rows, drop_unknown=drop_unknown)
 
 
-def load_train(spark: SparkSession, path, spec, format="jsonl") -> DataFrame:
-    """The first ``max_samples`` training examples (all if unset), as messages."""
-    return _load(spark, path, format, spec.max_samples, drop_unknown=format != "jsonl")
+def load_train(spark: SparkSession, path, spec, format="jsonl", positions=True) -> DataFrame:
+    """The first ``max_samples`` training examples (all if unset), as messages.
+
+    Where all are loaded and their order does not matter, ``positions=False`` saves JSON lines a pass.
+    """
+    return _load(spark, path, format, spec.max_samples, format != "jsonl", positions)
 
 
-def load_test(spark: SparkSession, path, spec, format="jsonl", unset=None) -> DataFrame:
+def load_test(spark: SparkSession, path, spec, format="jsonl", unset=None, positions=True) -> DataFrame:
     """The first ``max_val_samples`` test examples, or ``unset`` (None: all) where the settings name none."""
-    n = spec.max_val_samples or unset
-    return _load(spark, path, format, n, drop_unknown=format != "jsonl")
+    return _load(spark, path, format, spec.max_val_samples or unset, format != "jsonl", positions)

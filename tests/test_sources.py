@@ -170,6 +170,15 @@ def test_line_numbers_do_not_depend_on_how_files_are_split(spark, tmp_path):
     assert typed.columns == ["value"]
 
 
+def test_positions_are_left_out_where_nobody_asks(spark, jsonl):
+    spec = task_specs([{"task": "t", "max_samples": None}])[0]
+    with_seq, without = (files.load_train(spark, jsonl, spec, positions=p) for p in (True, False))
+    assert "seq" in with_seq.columns and "seq" not in without.columns
+    assert sorted(r["messages"][-1]["content"] for r in without.collect()) == sorted(answers(with_seq))
+    plan = without._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan text") == 1 and "Exchange" not in plan
+
+
 def test_head_of_many_files_sees_opened_files_only(spark, tmp_path):
     for i in range(30):
         (tmp_path / f"f{i:02}.jsonl").write_text("".join(f"{k}\n\n" for k in range(i * 3, i * 3 + 3)))
