@@ -223,6 +223,7 @@ def hard_negatives(
     names = ["anchor_id", "positive_id", "negative_id", "positive_score", "negative_score"]
     if not n_anchors:
         return spark.createDataFrame([], ", ".join(f"{c} BIGINT" for c in names)).withColumn("rank", F.lit(0))
+    dims = max(dims, 2)  # both halves have a component, if only zeros
     books = learned_books(rows, dims, sample)
     n_shards, n_blocks = -(-n // shard_rows), -(-n_anchors // block)
 

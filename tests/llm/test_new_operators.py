@@ -81,6 +81,8 @@ def test_middle_digests_round_trip(docs):
     whole = {(r["doc_id"], hashlib.sha256(r["output"].encode()).hexdigest()) for r in middle.fill_in_middle(docs).collect()}
     assert {(r["doc_id"], r["output_sha256"]) for r in made.collect()} == whole
     assert middle.fill_in_middle_digests(docs.limit(0)).collect() == []
+    empty = docs.where("text = ''")
+    assert {(r["form"], r["n"]) for r in middle.fill_in_middle(empty, "word").collect()} == {("plain", 0)}
 
 
 @settings(max_examples=60, deadline=None)
@@ -274,6 +276,9 @@ def test_hard_negatives_of_empty_tables(spark):
     assert multi_index.hard_negatives(spark.createDataFrame([], schema)).collect() == []
     assert multi_index.hard_negatives(spark.createDataFrame([(1, 1, [0.5]), (2, 2, [0.1])], schema)).collect() == []
     assert multi_index.hard_negatives(spark.createDataFrame([(50, 1, [0.5])], schema)).collect() == []
+    # vectors without components all score 0, which lies in the window of 0
+    bare = multi_index.hard_negatives(spark.createDataFrame([(50, 1, []), (51, 1, []), (52, 2, [])], schema)).collect()
+    assert [(r["anchor_id"], r["positive_id"], r["negative_id"], r["negative_score"]) for r in bare] == [(50, 51, 52, 0)]
 
 
 def test_cells_come_by_falling_bound_and_hold_every_row():
