@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chatgauge.functions.subwords import PATTERN, Subwords, merged_lengths, read_ranks
+from chatgauge.functions.subwords import HELD, PATTERN, Subwords, merged_lengths, read_ranks, worker_subwords
 from chatgauge.operators.score import prepare
 from chatgauge.operators.subwords import Vocabulary, capped, token_capped, with_token_count
 from chatgauge.sinks.training_text import training_text
@@ -87,6 +87,23 @@ def test_a_worker_remembers_a_bounded_number_of_pieces(ranks, monkeypatch):
     assert words.count(" ".join(f"x{i}y" for i in range(100))) > 200 and len(words.known) <= 10
 
 
+def test_a_count_and_a_cap_share_one_worker(spark):
+    vocabulary = Vocabulary(spark, FILES[0])
+    rows = spark.createDataFrame(enumerate(TEXTS), "id long, text string")
+    counted = with_token_count(rows, "text", vocabulary)
+    plan = token_capped(counted, "text", 5, vocabulary, flag="more", size="kept").drop("text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("EvalPython") == 1, plan
+
+
+def test_a_worker_keeps_one_memory_for_a_vocabulary(ranks):
+    words = worker_subwords(ranks)
+    assert words.count("unlikelyword") and worker_subwords(ranks) is words and words.known
+    assert all(isinstance(sizes, bytes) for sizes in words.known.values())
+    others = [worker_subwords(dict(ranks)) for _ in range(HELD)]
+    assert worker_subwords(ranks, r"\S+") not in [words, *others] and worker_subwords(others[-1].ranks) is others[-1]
+    assert worker_subwords(ranks) is not words and worker_subwords(ranks).count("unlikelyword") == words.count("unlikelyword")
+
+
 def test_vocabularies_are_checked(spark, tmp_path, monkeypatch):
     (tmp_path / "small").write_text("QQ== 0\n")
     with pytest.raises(ValueError, match="every byte"):
