@@ -149,14 +149,31 @@ def fit_word_model(rows: DataFrame, classes) -> WordModel:
     return WordModel(counts.selectExpr("word", f"array({weights}) AS w"), base, names)
 
 
+#: Share of the model's words from which on a word is common: at most 10,000 words have it, as shares add up to one.
+COMMON = 1e-4
+
+
+def weights_of_words(model: WordModel, words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Weights of the (key, word) rows that the model knows: (of common words, of all others).
+
+    Common words get theirs from a broadcast, where they are: shuffled by word, the rows of one would all
+    go to one task. A word that is common in ``words`` alone is left to the splitting of skewed joins.
+    """
+    share = " + ".join(f"{math.exp(b)!r}D * exp(w[{k}])" for k, b in enumerate(model.base))
+    marked = model.weights.withColumn("common", F.expr(f"{share} > {COMMON!r}D"))
+    common, others = (marked.where(c).drop("common") for c in ("common", "NOT common"))
+    rest = words.join(F.broadcast(common.select("word")), "word", "left_anti")
+    return words.join(F.broadcast(common), "word"), rest.join(others, "word")
+
+
 def predict_words(model: WordModel, rows: DataFrame, key="example_id") -> DataFrame:
     """Add ``predicted`` to (key, prompt, ...): the class of the largest sum, the first of equal ones.
 
     ``key`` must be unique. Words that the model does not know count for nothing.
     """
     places = range(len(model.classes))
-    met = _words(rows, key).join(model.weights, "word")
-    sums = met.groupBy(key).agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in places])
+    common, others = weights_of_words(model, _words(rows, key))
+    sums = common.unionByName(others).groupBy(key).agg(*[F.sum(F.col("w")[k]).alias(f"s{k}") for k in places])
     found = rows.join(sums, key, "left")
     scores = [f"coalesce(s{k}, 0D) + double('{model.base[k]}')" for k in places]
     best = f"array_position(array({', '.join(scores)}), greatest({', '.join(scores)}))" if len(scores) > 1 else "1"

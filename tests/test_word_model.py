@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from chatgauge.operators.classifier import fit_word_model, predict_words, read_word_model, train_and_evaluate
+from chatgauge.operators.classifier import fit_word_model, predict_words, read_word_model, train_and_evaluate, weights_of_words
 
 ROWS = [
     (1, "Click the link, click!", "YES"), (2, "lunch at noon", "NO"), (3, "noon link", "NO"), (4, "", "YES"), (5, "the the the", "YES"),
@@ -41,6 +41,26 @@ def test_predictions_equal_counts_by_hand(rows, classes):
     assert got == by_hand(ROWS, ROWS, [c.upper() for c in classes])
 
 
+@pytest.mark.parametrize("share", [0.0, 0.15, 2.0])
+def test_common_words_add_up_with_the_others(rows, monkeypatch, share):
+    monkeypatch.setattr("chatgauge.operators.classifier.COMMON", share)
+    got = {r["example_id"]: r["predicted"] for r in predict_words(fit_word_model(rows, ["yes", "no"]), rows).collect()}
+    assert got == by_hand(ROWS, ROWS, ["YES", "NO"])
+
+
+def test_a_word_of_every_text_is_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr("chatgauge.operators.classifier.COMMON", 0.01)
+    data = [(i, f"the the own{i} a{i} b{i} the", "YES" if i % 2 else "NO") for i in range(200)]
+    rows = spark.createDataFrame(data, "example_id BIGINT, prompt STRING, label STRING")
+    words = rows.selectExpr("example_id", "explode(split(prompt, ' ')) AS word")
+    common, others = weights_of_words(fit_word_model(rows, ["yes", "no", "never"]), words)
+    assert [(r["word"], r["n"]) for r in common.groupBy("word").agg(F.count("*").alias("n")).collect()] == [("the", 600)]
+    rest = others.groupBy("word").agg(F.count("*").alias("n")).collect()
+    assert len(rest) == 600 and {r["n"] for r in rest} == {1}
+    plan = common._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(word" not in plan
+
+
 def test_written_weights_give_the_same_predictions(spark, rows, tmp_path):
     model = fit_word_model(rows, ["yes", "no"])
     model.write(f"{tmp_path}/m")
