@@ -107,7 +107,8 @@ class Units:
         low, high = self.low.copy(), self.high.copy()
         while (open_ := low < high).any():
             middle = (low + high) // 2
-            reached = self.begun(middle + 1) - self.base >= goal
+            # a place already found may be the end of the run, where no byte follows
+            reached = self.begun(np.minimum(middle + 1, self.high)) - self.base >= goal
             high = np.where(open_ & reached, middle, high)
             low = np.where(open_ & ~reached, middle + 1, low)
         if self.unit == "line":

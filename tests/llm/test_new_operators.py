@@ -85,6 +85,22 @@ def test_middle_digests_round_trip(docs):
     assert {(r["form"], r["n"]) for r in middle.fill_in_middle(empty, "word").collect()} == {("plain", 0)}
 
 
+@pytest.mark.parametrize("unit", ["character", "word", "line"])
+@pytest.mark.parametrize("last", ["", "b", "b c", "b\n"])
+def test_middle_last_text_found_before_the_others(unit, last):
+    """The last text's end is found while others are still searched, in runs that fill a rank block and in others."""
+    for n in (1, 31, 62, 63, 64, 65, 127, 128, 191):
+        texts = [("a b\n" * 50)[: max(0, n - len(last))], last]
+        for k in range(4):
+            h = np.array([[7 * n + k, 11 * n, 0, 99], [k, k + 1, 0, 99]])
+            made = dict(zip(middle.NAMES, middle.transformed(pa.array(texts), h, unit)))
+            for i, text in enumerate(texts):
+                ends = unit_ends(text, unit)
+                a, b = sorted(int(x) % len(ends) for x in h[i, :2])
+                expected = output_by_hand("psm" if text else "plain", text[: ends[a]], text[ends[a] : ends[b]], text[ends[b] :])
+                assert (made["n"][i].as_py(), made["output"][i].as_py()) == (len(ends) - 1, expected.encode())
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 7), max_size=400), st.data())
 def test_ranks_count_symbols(symbols, data):
